@@ -30,7 +30,7 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     be ties.
     """
     columns = columns or [n for n, t in df.dtypes if t == "double" and n not in EXACT]
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.selectExpr(*[f"round(`{c}`, 6) AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
 def _spec(name: str):
@@ -190,7 +190,7 @@ def seeded_kmeans(spark, d):
 def _embedding_columns(spark, d) -> tuple[DataFrame, list[str]]:
     names = [f"v_{i}" for i in range(DIMENSIONS)]
     wide = view.embeddings(spark, d).select(
-        "vec_id", *[F.get("components", F.lit(i)).alias(n) for i, n in enumerate(names)]
+        "vec_id", *[F.expr(f"get(components, {i}) AS {n}") for i, n in enumerate(names)]
     )
     return wide, names
 
@@ -218,8 +218,7 @@ def random_kmeans(spark, d):
 
 
 def pca_variance(spark, d):
-    table = roles.role_table(_stored_features(spark, d), roles.classic_roles(view.players(spark, d)))
-    rows = table.filter(F.col("role") == "DF")
+    rows = jobs.role_input(_stored_features(spark, d), view.players(spark, d)).filter(F.col("role") == "DF")
     columns = fixed.FEATURES
     model = roles.principal_components(columns, len(columns), roles.scaled_columns("DF")).fit(rows)
     return roles.explained_variance(model, spark)
@@ -238,32 +237,30 @@ def _examples(players: DataFrame) -> dict[str, DataFrame]:
 
 
 def _trained(spark, d):
-    features, people = _stored_features(spark, d), view.players(spark, d)
-    models = jobs.train_roles(features, roles.classic_roles(people), _examples(people))
-    return models, features, people
+    people = view.players(spark, d)
+    table = jobs.role_input(_stored_features(spark, d), people)
+    return jobs.train_roles(table, _examples(people)), table, people
 
 
 def role_clusters(spark, d):
-    models, features, people = _trained(spark, d)
-    return tables.value_counts(jobs.score_roles(models, features, people), "label")
+    models, table, _ = _trained(spark, d)
+    return tables.value_counts(jobs.score_roles(models, table), "label")
 
 
 def role_report(spark, d):
-    models, features, people = _trained(spark, d)
-    return jobs.role_report(models, features, people, view.teams(spark, d))
+    models, table, people = _trained(spark, d)
+    return jobs.role_report(models, table, people, view.teams(spark, d))
 
 
 def unknown_role(spark, d):
-    models, features, people = _trained(spark, d)
-    table = roles.role_table(features, roles.classic_roles(people))
+    models, table, _ = _trained(spark, d)
     return roles.role_costs(models, table.filter(F.col("role").isNull()))
 
 
 def seed_check(spark, d):
-    models, features, people = _trained(spark, d)
-    labelled = jobs.score_roles(models, features, people)
-    names = view.player_names(spark, d)
-    return roles.seed_check(labelled, _examples(people)["DF"], names)
+    models, table, people = _trained(spark, d)
+    labelled = jobs.score_roles(models, table)
+    return roles.seed_check(labelled, _examples(people)["DF"], view.player_names(spark, d))
 
 
 # --- feature search -----------------------------------------------------------

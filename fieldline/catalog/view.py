@@ -5,7 +5,7 @@ The oracle side writes the same view in SQL, see ``view_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldline.sources.readers import normalise_events
@@ -15,61 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(key: Column, options: dict, default) -> Column:
-    chain = F  # first call is F.when, later ones Column.when
-    for value, result in options.items():
-        chain = chain.when(key == value, result)
-    return chain.otherwise(default)
+EVENT_TYPE = """
+CASE WHEN k = 99 THEN 6L ELSE
+  CASE event_type WHEN 'click' THEN 8L WHEN 'view' THEN 10L WHEN 'purchase' THEN 1L WHEN 'signup' THEN 2L ELSE 3L END
+END AS eventId"""
+
+RAW_EVENT = [
+    "event_id AS id",
+    "user_id AS playerId",
+    "CAST(dayofmonth(ts) AS BIGINT) AS matchId",
+    "CASE WHEN hour(ts) < 12 THEN '1H' ELSE '2H' END AS matchPeriod",
+    "user_id % 2 AS teamId",
+    "eventId",
+    """CASE eventId WHEN 6 THEN 60L WHEN 8 THEN element_at(array(80L, 83L, 85L, 86L), k % 4 + 1) WHEN 10 THEN 100L
+         WHEN 1 THEN IF(k % 2 = 0, 12L, 10L) WHEN 2 THEN 20L ELSE element_at(array(30L, 32L, 33L), k % 3 + 1)
+       END AS subEventId""",
+    "event_type AS eventName",
+    "(hour(ts) % 12) * 3600 + minute(ts) * 60 + CAST(extract(SECOND FROM ts) AS DOUBLE) AS eventSec",
+    """transform(array_compact(array(
+         IF(k % 5 < 3, 1801L, NULL), IF(k % 11 = 0, 101L, NULL), IF(k % 13 = 0, 301L, NULL),
+         IF(k % 17 = 0, 302L, NULL), IF(k % 19 = 0, 1401L, NULL), IF(k % 23 = 0, 1702L, NULL),
+         IF(k % 2 = 0, 401L, 402L), IF(k % 3 = 0, 703L, NULL))), t -> named_struct('id', t)) AS tags""",
+    """IF(event_id % 4 = 0,
+         array(named_struct('y', y, 'x', x)),
+         array(named_struct('y', y, 'x', x), named_struct('y', y_end, 'x', x_end))) AS positions""",
+]
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    n = F.col("event_id")
-    hour, minute = F.hour("ts"), F.minute("ts")
-    second = F.extract(F.lit("SECOND"), "ts").cast("double")
-    e = e.withColumn("k", k)
-    k = F.col("k")
-    event = F.when(k == 99, 6).otherwise(
-        _choose(F.col("event_type"), {"click": 8, "view": 10, "purchase": 1, "signup": 2}, 3)
-    )
-    e = e.withColumn("eventId", event.cast("bigint"))
-    sub = _choose(
-        F.col("eventId"),
-        {
-            6: F.lit(60),
-            8: F.element_at(F.array(*[F.lit(v) for v in (80, 83, 85, 86)]), k % 4 + 1),
-            10: F.lit(100),
-            1: F.when(k % 2 == 0, 12).otherwise(10),
-            2: F.lit(20),
-        },
-        F.element_at(F.array(*[F.lit(v) for v in (30, 32, 33)]), k % 3 + 1),
-    )
-    tag_rules = [
-        (1801, k % 5 < 3), (101, k % 11 == 0), (301, k % 13 == 0), (302, k % 17 == 0), (1401, k % 19 == 0),
-        (1702, k % 23 == 0), (401, k % 2 == 0), (402, k % 2 == 1), (703, k % 3 == 0),
-    ]
-    tags = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(t).cast("bigint").alias("id"))) for t, c in tag_rules]))
-    x = F.when(k == 98, 100).otherwise(k).cast("double")
-    y = (n * 7 % 101).cast("double")
-    still = n % 50 == 1
-    x_end = F.when(still, x).otherwise(((k * 31 + n) % 101).cast("double"))
-    y_end = F.when(still, y).otherwise((n * 13 % 101).cast("double"))
-    start = F.struct(y.alias("y"), x.alias("x"))
-    end = F.struct(y_end.alias("y"), x_end.alias("x"))
-    return e.select(
-        n.alias("id"),
-        F.col("user_id").alias("playerId"),
-        F.dayofmonth("ts").cast("bigint").alias("matchId"),
-        F.when(hour < 12, "1H").otherwise("2H").alias("matchPeriod"),
-        (F.col("user_id") % 2).alias("teamId"),
-        "eventId",
-        sub.cast("bigint").alias("subEventId"),
-        F.col("event_type").alias("eventName"),
-        ((hour % 12) * 3600 + minute * 60 + second).alias("eventSec"),
-        tags.alias("tags"),
-        F.when(n % 4 == 0, F.array(start)).otherwise(F.array(start, end)).alias("positions"),
+    numbered = table(spark, sf_dir, "events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    placed = numbered.selectExpr(
+        "*",
+        EVENT_TYPE,
+        "CAST(IF(k = 98, 100, k) AS DOUBLE) AS x",
+        "CAST(event_id * 7 % 101 AS DOUBLE) AS y",
+        "CAST(IF(event_id % 50 = 1, IF(k = 98, 100, k), (k * 31 + event_id) % 101) AS DOUBLE) AS x_end",
+        "CAST(IF(event_id % 50 = 1, event_id * 7 % 101, event_id * 13 % 101) AS DOUBLE) AS y_end",
     )
+    return placed.selectExpr(*RAW_EVENT)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +60,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    code = _choose(
-        F.col("c_mktsegment"),
-        {"AUTOMOBILE": F.lit("DF"), "BUILDING": F.lit("MD"), "FURNITURE": F.lit("FW"), "MACHINERY": F.lit("GK")},
-        F.lit(None),
-    )
-    return c.select(
-        key.alias("wyId"),
-        F.col("c_name").alias("shortName"),
-        F.col("c_name").alias("lastName"),
-        (key % 2).alias("currentTeamId"),
-        (key % 30 + 165).cast("double").alias("height"),
-        (key % 35 + 60).cast("double").alias("weight"),
-        F.struct(code.alias("code2"), F.lit(None).cast("string").alias("code3")).alias("role"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS wyId",
+        "c_name AS shortName",
+        "c_name AS lastName",
+        "c_custkey % 2 AS currentTeamId",
+        "CAST(c_custkey % 30 + 165 AS DOUBLE) AS height",
+        "CAST(c_custkey % 35 + 60 AS DOUBLE) AS weight",
+        """named_struct('code2', CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'DF' WHEN 'BUILDING' THEN 'MD'
+             WHEN 'FURNITURE' THEN 'FW' WHEN 'MACHINERY' THEN 'GK' END, 'code3', CAST(NULL AS STRING)) AS role""",
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,13 +69,18 @@ def select_event(event: int | None = None, sub_event: int | None = None, tag: in
     An unconstrained type or subtype must still be present, so events without
     one never match. Works in ``filter`` and in ``count_if``.
     """
+    return F.expr(event_condition(event, sub_event, tag))
+
+
+def event_condition(event: int | None = None, sub_event: int | None = None, tag: int | None = None) -> str:
+    """The predicate of ``select_event`` as SQL text."""
     parts = [
-        F.col("eventId").isNotNull() if event is None else F.col("eventId") == event,
-        F.col("subEventId").isNotNull() if sub_event is None else F.col("subEventId") == sub_event,
+        "eventId IS NOT NULL" if event is None else f"eventId = {int(event)}",
+        "subEventId IS NOT NULL" if sub_event is None else f"subEventId = {int(sub_event)}",
     ]
     if tag is not None:
-        parts.append(has_tag(tag))
-    return reduce(lambda a, b: a & b, parts)
+        parts.append(f"array_contains(tags, {int(tag)}L)")
+    return " AND ".join(parts)
 
 
 def matches_spec(spec: EventSpec) -> Column:
@@ -84,12 +88,12 @@ def matches_spec(spec: EventSpec) -> Column:
 
 
 def has_tag(tag: int) -> Column:
-    return F.array_contains("tags", F.lit(tag).cast("bigint"))
+    return F.expr(f"array_contains(tags, {int(tag)}L)")
 
 
 def all_present(keys: Iterable[str]) -> Column:
     """Grouping keeps only rows whose keys are all there."""
-    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
 
 
 def home_name(label: Column, aliases: Mapping[str, str] = fixed.HOME_ALIASES) -> Column:

@@ -31,19 +31,23 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def top_cells(cells: Sequence[str] = tuple(fixed.CELLS), keep: int = 3) -> list[Column]:
-    """The ``keep`` largest of the cell counts in a row; the others become 0.
+def least_kept(cells: Sequence[str] = tuple(fixed.CELLS), keep: int = 3) -> Column:
+    """The ``keep``-th largest cell of a row as a struct (v, i).
 
     Equal counts are decided for the later cell.
     """
-    ranked = F.sort_array(F.array(*[F.struct(F.col(c).alias("v"), F.lit(i).alias("i")) for i, c in enumerate(cells)]), asc=False)
-    least = F.element_at(ranked, keep)
-    kept = []
-    for i, c in enumerate(cells):
-        value = F.col(c)
-        in_top = (value > least["v"]) | ((value == least["v"]) & (F.lit(i) >= least["i"]))
-        kept.append(F.when(in_top, value).otherwise(F.lit(0).cast("double")).alias(c))
-    return kept
+    entries = ", ".join(f"named_struct('v', `{c}`, 'i', {i})" for i, c in enumerate(cells))
+    return F.expr(f"element_at(sort_array(array({entries}), false), {int(keep)})")
+
+
+def cells_from(least: str, cells: Sequence[str] = tuple(fixed.CELLS)) -> list[Column]:
+    """The cells that rank at or above the struct ``least``; the others become 0."""
+    return [
+        F.expr(
+            f"CASE WHEN `{c}` > {least}.v OR (`{c}` = {least}.v AND {i} >= {least}.i) THEN `{c}` ELSE 0D END AS `{c}`"
+        )
+        for i, c in enumerate(cells)
+    ]
 
 
 def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
@@ -51,11 +55,12 @@ def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
 
     Equal distances are decided for the lower index.
     """
-    options = []
-    for i, centre in enumerate(centres):
-        target = F.array(*[F.lit(float(v)) for v in centre])
-        options.append(F.struct(squared_distance(point, target).alias("d"), F.lit(i).alias("i")))
-    return F.array_min(F.array(*options))
+    rows = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
+    options = F.transform(
+        F.expr(f"array({rows})"),
+        lambda centre, i: F.struct(squared_distance(point, centre).alias("d"), i.alias("i")),
+    )
+    return F.array_min(options)
 
 
 def pick_label(index: Column, labels: Sequence[str]) -> Column:

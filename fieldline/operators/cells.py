@@ -30,6 +30,6 @@ def cell_shares(events: DataFrame) -> DataFrame:
     the player counts, so the events are read once.
     """
     counts = cell_counts(without_no_player(events))
-    totals = counts.groupBy(*PERIOD).agg(*[F.sum(c).alias(f"all_{c}") for c in fixed.CELLS])
+    totals = counts.groupBy(*PERIOD).agg(*[F.expr(f"sum(`{c}`) AS all_{c}") for c in fixed.CELLS])
     both = salted_join(counts, totals, PERIOD, spread=["playerId"])
-    return both.select(*GROUP, *[F.try_divide(F.col(c), F.col(f"all_{c}")).alias(c) for c in fixed.CELLS])
+    return both.selectExpr(*GROUP, *[f"try_divide(`{c}`, all_{c}) AS `{c}`" for c in fixed.CELLS])

@@ -29,9 +29,12 @@ def _is_foul() -> Column:
 
 
 def cell_activity(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts of events, accurate passes, shots and fouls per key."""
+    """Counts of events, accurate passes, shots and fouls per key.
+
+    Cells are never NULL, so only the other keys are checked.
+    """
     return (
-        events.filter(ev.all_present(keys))
+        events.filter(ev.all_present([k for k in keys if k not in CELL]))
         .groupBy(*keys)
         .agg(
             F.count("*").alias("n_events"),
@@ -73,14 +76,20 @@ def grid_frequencies(events: DataFrame) -> DataFrame:
     that fall into each cell, for the cells in which the team had an event.
 
     Everything is counted per match, team and cell first; what follows works
-    on at most 25 rows per team and match.
+    on at most 25 rows per team and match. Each of them counts once for its own
+    team and once, mirrored, for the fouled one.
     """
     per_match = cell_activity(events, ["matchId", *TEAM_CELL])
-    own = per_match.select(*TEAM_CELL, "n_events", "n_accurate_pass", "n_shot", F.lit(0).cast("bigint").alias("n_foul"))
-    suffered = suffered_fouls(per_match).select(
-        *TEAM_CELL, *[F.lit(0).cast("bigint").alias(c) for c in COUNTS[:3]], "n_foul"
+    none = F.lit(0).cast("bigint")
+    own = F.struct(*TEAM_CELL, *COUNTS[:3], none.alias("n_foul"))
+    suffered = F.struct(
+        F.col("opponent").alias("teamId"),
+        *[ev.mirror_cell(F.col(c)).alias(c) for c in CELL],
+        *[none.alias(c) for c in COUNTS[:3]],
+        "n_foul",
     )
-    cells = own.unionByName(suffered).groupBy(*TEAM_CELL).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    sides = with_opponent(per_match).select(F.inline(F.array(own, suffered)))
+    cells = sides.groupBy(*TEAM_CELL).agg(*[F.sum(c).alias(c) for c in COUNTS])
     team = Window.partitionBy("teamId")
     shares = [
         F.coalesce(F.try_divide(F.col(c), F.sum(c).over(team)), F.lit(0.0)).alias(name)

@@ -39,11 +39,7 @@ def angle_measures() -> list[Column]:
 
 def cell_measures() -> list[Column]:
     """25 cell counts, named by their cell, 0 where nothing happened."""
-    out = []
-    for cell in fixed.CELLS:
-        here = (F.col("numero_cella_x") == int(cell[0])) & (F.col("numero_cella_y") == int(cell[1]))
-        out.append(F.count_if(here).alias(cell))
-    return out
+    return [F.expr(f"count_if(numero_cella_x = {c[0]} AND numero_cella_y = {c[1]}) AS `{c}`") for c in fixed.CELLS]
 
 
 def elapsed_time(events: DataFrame, keys: Sequence[str] = tuple(GROUP)) -> DataFrame:
@@ -165,7 +161,8 @@ def group_measures(
         *keys, *ORDER, "x", "y", "angle", "numero_cella_x", "numero_cella_y"
     )
     ordinary, hot = split_hot(rows, keys, hot_rows, max_hot, sizes)
-    return _ordinary_groups(ordinary, keys).unionByName(_hot_groups(hot, keys, ranges))
+    measures = _ordinary_groups(ordinary, keys)
+    return measures if hot is None else measures.unionByName(_hot_groups(hot, keys, ranges))
 
 
 def position_dispersion(events: DataFrame, keys: Sequence[str] = tuple(GROUP), **skew) -> DataFrame:

@@ -16,7 +16,9 @@ ALL_EVENTS = "n_all"
 
 
 def spec_counts(specs: Sequence[EventSpec]) -> list[Column]:
-    return [F.count_if(ev.matches_spec(s)).alias(s.count_column) for s in specs]
+    return [
+        F.expr(f"count_if({ev.event_condition(s.event, s.sub_event, s.tag)}) AS {s.count_column}") for s in specs
+    ]
 
 
 def group_counts(events: DataFrame, keys: Sequence[str], specs: Sequence[EventSpec] = ()) -> DataFrame:
@@ -25,14 +27,9 @@ def group_counts(events: DataFrame, keys: Sequence[str], specs: Sequence[EventSp
     return events.filter(ev.all_present(keys)).groupBy(*keys).agg(*counts)
 
 
-def _positive_share(part: Column, whole: Column) -> Column:
-    """A share exists only where the part was seen at all."""
-    return F.when(part > 0, part / whole)
-
-
 def with_team_totals(counts: DataFrame, specs: Sequence[EventSpec]) -> DataFrame:
     """Player counts of a match period beside the totals of the team."""
-    totals = counts.groupBy(*TEAM_PERIOD).agg(*[F.sum(s.count_column).alias(f"team_{s.name}") for s in specs])
+    totals = counts.groupBy(*TEAM_PERIOD).agg(*[F.expr(f"sum({s.count_column}) AS team_{s.name}") for s in specs])
     return salted_join(counts, totals, TEAM_PERIOD, spread=["playerId"])
 
 
@@ -65,17 +62,17 @@ def shares_from_counts(counts: DataFrame, specs: Sequence[EventSpec] = tuple(fix
         .groupBy(*GROUP)
         .agg(
             F.sum(ALL_EVENTS).alias(ALL_EVENTS),
-            *[F.sum(s.count_column).alias(s.count_column) for s in specs],
-            *[F.sum(f"team_{s.name}").alias(f"team_{s.name}") for s in team],
+            *[F.expr(f"sum({s.count_column}) AS {s.count_column}") for s in specs],
+            *[F.expr(f"sum(team_{s.name}) AS team_{s.name}") for s in team],
         )
     )
     shares = []
     for s in specs:
-        whole = F.col(f"team_{s.name}") if s.share_of == "team" else F.col(ALL_EVENTS)
-        share = _positive_share(F.col(s.count_column), whole)
+        whole = f"team_{s.name}" if s.share_of == "team" else ALL_EVENTS
         names = fixed.FOUL_SHARE_NAMES if s.name == "foul" else [s.share_column]
-        shares += [share.alias(n) for n in names]
-    return summed.select(*GROUP, *shares)
+        # a share exists only where the part was seen at all
+        shares += [f"CASE WHEN {s.count_column} > 0 THEN {s.count_column} / {whole} END AS {n}" for n in names]
+    return summed.selectExpr(*GROUP, *shares)
 
 
 def event_shares(events: DataFrame, specs: Sequence[EventSpec] = tuple(fixed.SHARE_SPECS)) -> DataFrame:

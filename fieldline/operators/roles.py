@@ -25,16 +25,16 @@ TOLERANCE = 1e-4
 Centres = list[list[float]]
 
 
-def override_role(roles: DataFrame, ids: Sequence[int] | DataFrame, role: str) -> DataFrame:
+def override_role(roles: DataFrame, ids: Sequence[int] | DataFrame, role: str, key: str = "wyId") -> DataFrame:
     """Give the listed players another classic role.
 
     ``ids`` is a list or, for many players, a table with ``playerId``.
     """
     if isinstance(ids, DataFrame):
-        listed = ids.select(F.col("playerId").alias("wyId")).distinct().withColumn("_listed", F.lit(True))
-        marked = roles.join(listed, "wyId", "left")
+        listed = ids.select(F.col("playerId").alias(key)).distinct().withColumn("_listed", F.lit(True))
+        marked = roles.join(listed, key, "left")
         return marked.withColumn("role", F.when(F.col("_listed"), role).otherwise(F.col("role"))).drop("_listed")
-    return roles.withColumn("role", F.when(F.col("wyId").isin(list(ids)), role).otherwise(F.col("role")))
+    return roles.withColumn("role", F.when(F.col(key).isin(list(ids)), role).otherwise(F.col("role")))
 
 
 def classic_roles(players: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def component_columns(df: DataFrame, k: int) -> DataFrame:
     """The array of components as columns c_0 .. c_{k-1}."""
     return df.select(
         *[c for c in df.columns if c != "components"],
-        *[F.get("components", F.lit(i)).alias(f"c_{i}") for i in range(k)],
+        *[F.expr(f"get(components, {i}) AS c_{i}") for i in range(k)],
     )
 
 
@@ -110,8 +110,8 @@ def explained_variance(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 def group_means(points: DataFrame, group: str, size: int, point: str = "components") -> DataFrame:
     """Mean vector per group."""
-    mean = F.array(*[F.avg(F.get(point, F.lit(i))) for i in range(size)])
-    return points.groupBy(group).agg(mean.alias("centre"), F.count("*").alias("n"))
+    mean = ", ".join(f"avg(get(`{point}`, {i}))" for i in range(size))
+    return points.groupBy(group).agg(F.expr(f"array({mean}) AS centre"), F.count("*").alias("n"))
 
 
 def example_groups(spark: SparkSession, groups: Sequence[Sequence[int]]) -> DataFrame:
@@ -140,8 +140,8 @@ def _shift(old: Centres, new: Centres) -> float:
 
 
 def _tolerance(points: DataFrame, point: str, size: int) -> float:
-    spread = points.agg(*[F.var_pop(F.get(point, F.lit(i))) for i in range(size)]).first()
-    return TOLERANCE * sum(v or 0.0 for v in spread) / size
+    total = " + ".join(f"var_pop(get(`{point}`, {i}))" for i in range(size))
+    return TOLERANCE * (points.agg(F.expr(total)).first()[0] or 0.0) / size
 
 
 def seeded_kmeans(

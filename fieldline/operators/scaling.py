@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldline import fixed
-from fieldline.functions.vectors import top_cells
+from fieldline.functions.vectors import cells_from, least_kept
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -21,27 +21,25 @@ def impute(df: DataFrame, mean_of: Sequence[str] = tuple(fixed.MEAN_FILLED), kee
 
     The means come from one scalar subquery over the whole table.
     """
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in mean_of]).alias("m")).scalar()
-    filled = {c: F.coalesce(F.col(c), means[c]) for c in mean_of}
+    means = df.agg(F.expr("struct(" + ", ".join(f"avg(`{c}`) AS `{c}`" for c in mean_of) + ") AS m")).scalar()
     zeros = [c for c in numeric_columns(df) if c not in {*mean_of, *keep_null}]
-    return df.withColumns(filled).na.fill(0, zeros)
+    filled = {c: F.expr(f"coalesce(`{c}`, _means.`{c}`)") for c in mean_of}
+    return df.withColumn("_means", means).withColumns(filled).drop("_means").na.fill(0, zeros)
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale columns to [0, 1] over the table; a constant column becomes 0."""
-    bounds = [F.min(c).alias(f"lo_{c}") for c in columns] + [F.max(c).alias(f"hi_{c}") for c in columns]
-    found = df.agg(F.struct(*bounds).alias("b")).scalar()
-    return df.withColumns(
-        {
-            c: F.when(F.col(c).isNotNull(), F.coalesce(
-                F.try_divide(F.col(c) - found[f"lo_{c}"], found[f"hi_{c}"] - found[f"lo_{c}"]), F.lit(0.0)
-            ))
-            for c in columns
-        }
-    )
+    bounds = ", ".join(f"min(`{c}`) AS `lo_{c}`, max(`{c}`) AS `hi_{c}`" for c in columns)
+    found = df.agg(F.expr(f"struct({bounds}) AS b")).scalar()
+    scaled = {}
+    for c in columns:
+        share = f"try_divide(`{c}` - _bounds.`lo_{c}`, _bounds.`hi_{c}` - _bounds.`lo_{c}`)"
+        scaled[c] = F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN coalesce({share}, 0D) END")
+    return df.withColumn("_bounds", found).withColumns(scaled).drop("_bounds")
 
 
 def keep_top_cells(df: DataFrame, keep: int = 3) -> DataFrame:
     """Zero all but the ``keep`` most visited cells of each row."""
     others = [c for c in df.columns if c not in fixed.CELLS]
-    return df.select(*others, *top_cells(keep=keep))
+    ranked = df.withColumn("_least", least_kept(keep=keep))
+    return ranked.select(*others, *cells_from("_least"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldline import fixed
-from fieldline.functions.vectors import cosine, dot
+from fieldline.functions.vectors import cosine
 
 MAX_DROPS = 10
 
@@ -21,7 +21,7 @@ def matched_pairs(
     ``by`` and ``side`` together identify a row, so each key gives one pair and
     the pairs are found by one grouping, without a join.
     """
-    vector = F.array(*[F.col(n).cast("double") for n in names])
+    vector = F.expr("array(" + ", ".join(f"CAST(`{n}` AS DOUBLE)" for n in names) + ")")
 
     def of(value) -> Column:
         return F.max(F.when(F.col(side) == value, vector))
@@ -38,6 +38,25 @@ def pair_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cosine", cosine(F.col("a"), F.col("b")))
 
 
+ITEM = "struct<name:string,ab:double,aa:double,bb:double>"
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(items: Column) -> Column:
+    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+    return F.aggregate(
+        items, zero, lambda s, v: F.struct(*[(s[c] + v[c]).alias(c) for c in ("ab", "aa", "bb")])
+    )
+
+
+def _score(ab: Column, aa: Column, bb: Column) -> Column:
+    return F.try_divide(ab, F.sqrt(F.greatest(aa, F.lit(0.0)) * F.greatest(bb, F.lit(0.0))))
+
+
 def _round(state: Column) -> Column:
     """Remove the feature whose absence raises the cosine most, if any does.
 
@@ -45,28 +64,26 @@ def _round(state: Column) -> Column:
     needs only that feature's own products. Equal scores go to the earlier
     feature, and a feature that is 0 in both rows never counts as a gain.
     """
-    a, b, names = state["a"], state["b"], state["names"]
-    ab, aa, bb = dot(a, b), dot(a, a), dot(b, b)
-
-    def without(x: Column, y: Column) -> Column:
-        rest = F.greatest(aa - x * x, F.lit(0.0)) * F.greatest(bb - y * y, F.lit(0.0))
-        return F.try_divide(ab - x * y, F.sqrt(rest))
-
-    scores = F.zip_with(a, b, without)
-    best = F.array_max(scores)
-    gain = best > F.try_divide(ab, F.sqrt(aa * bb))
-    place = F.array_position(scores, best).cast("int")
-
-    def drop(values: Column) -> Column:
-        return F.filter(values, lambda _, i: i + 1 != place)
-
-    removed = F.struct(
-        drop(a).alias("a"),
-        drop(b).alias("b"),
-        drop(names).alias("names"),
-        F.array_append(state["dropped"], F.element_at(names, place)).alias("dropped"),
-    )
-    return F.when(gain, removed).otherwise(state)
+    items = state["items"]
+
+    def scored(total: Column) -> Column:
+        scores = F.transform(
+            items, lambda v: _score(total["ab"] - v["ab"], total["aa"] - v["aa"], total["bb"] - v["bb"])
+        )
+        return F.struct(scores.alias("scores"), _score(total["ab"], total["aa"], total["bb"]).alias("now"))
+
+    def chosen(s: Column) -> Column:
+        best = F.array_max(s["scores"])
+        return F.when(best > s["now"], F.array_position(s["scores"], best).cast("int")).otherwise(F.lit(0))
+
+    def remove(place: Column) -> Column:
+        removed = F.struct(
+            F.filter(items, lambda _, i: i + 1 != place).alias("items"),
+            F.array_append(state["dropped"], F.get(items, place - 1)["name"]).alias("dropped"),
+        )
+        return F.when(place > 0, removed).otherwise(state)
+
+    return _bind(_bind(_bind(_sums(items), scored), chosen), remove)
 
 
 def dropped_features(
@@ -76,11 +93,15 @@ def dropped_features(
 
     All rounds run inside one expression per row: no shuffle between rounds.
     """
+    labels = F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")")
+    products = F.zip_with(
+        "a", "b", lambda x, y: F.struct((x * y).alias("ab"), (x * x).alias("aa"), (y * y).alias("bb"))
+    )
+    items = F.zip_with(
+        labels, products, lambda n, p: F.struct(n.alias("name"), *[p[c].alias(c) for c in ("ab", "aa", "bb")])
+    )
     start = F.struct(
-        F.col("a").alias("a"),
-        F.col("b").alias("b"),
-        F.array(*[F.lit(n) for n in names]).alias("names"),
-        F.array().cast("array<string>").alias("dropped"),
+        items.cast(f"array<{ITEM}>").alias("items"), F.array().cast("array<string>").alias("dropped")
     )
     state = F.aggregate(F.sequence(F.lit(1), F.lit(max_drops)), start, lambda s, _: _round(s))
     return pairs.withColumn("dropped", state["dropped"]).drop("a", "b")

@@ -52,12 +52,17 @@ def split_hot(
     hot_rows: int = HOT_ROWS,
     max_hot: int = MAX_HOT,
     sizes: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys); together they are all rows.
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None); together all rows.
 
-    The list of hot keys is bounded by ``max_hot`` and therefore broadcast.
-    Without a hot key the second part is empty and is dropped at run time.
+    The key sizes are looked at first (one number comes back), so that without
+    a hot key the plan has no second part. The list of hot keys is bounded by
+    ``max_hot`` and therefore broadcast.
     """
-    hot = F.broadcast(hot_keys(key_sizes(rows, keys) if sizes is None else sizes, keys, hot_rows, max_hot))
     present = rows.filter(all_present(keys))
+    sizes = key_sizes(rows, keys) if sizes is None else sizes
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None or largest <= hot_rows:
+        return present, None
+    hot = F.broadcast(hot_keys(sizes, keys, hot_rows, max_hot))
     return present.join(hot, list(keys), "left_anti"), present.join(hot, list(keys), "left_semi")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def player_features(
     measures = motion.group_measures(events, GROUP, hot_rows, max_hot, sizes, ranges)
     wide = measures.join(rates.shares_from_counts(counts), GROUP, "left")
     season = salted_join(wide, _player_level(counts, players), ["playerId"], ["matchId", "matchPeriod"], how="left")
-    return season.select(*GROUP, *[F.col(c).cast("double").alias(c) for c in fixed.FEATURES])
+    return season.selectExpr(*GROUP, *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in fixed.FEATURES])
 
 
 def _player_level(counts: DataFrame, players: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def _player_level(counts: DataFrame, players: DataFrame) -> DataFrame:
     per_match = (
         counts.filter(F.col("playerId").isNotNull())
         .groupBy("playerId", "matchId")
-        .agg(*[F.sum(s.count_column).alias(s.count_column) for s in specs])
+        .agg(*[F.expr(f"sum({s.count_column}) AS {s.count_column}") for s in specs])
     )
     season = per_match.groupBy("playerId").agg(
         *rates.season_measures(fixed.SEASON_SPECS),
@@ -111,64 +113,69 @@ def role_examples(spark, examples: Mapping[str, Sequence[Sequence[int]]] | None
     return {r: roles.example_groups(spark, g) for r, g in (examples or fixed.ROLE_EXAMPLES).items()}
 
 
-def training_roles(players: DataFrame) -> dict[str, DataFrame]:
-    """Classic roles for training: known midfielders and forwards count as
-    such in their own model, whatever the player table says."""
-    classic = roles.classic_roles(players)
-    known = {r: [p for g in groups for p in g] for r, groups in fixed.ROLE_EXAMPLES.items()}
-    return {
-        "DF": classic,
-        "FW": roles.override_role(classic, known["FW"], "FW"),
-        "MD": roles.override_role(classic, known["MD"], "MD"),
-    }
+def known_roles() -> dict[str, list[int]]:
+    """Known midfielders and forwards count as such in their own model,
+    whatever the player table says."""
+    return {r: [p for group in fixed.ROLE_EXAMPLES[r] for p in group] for r in ("FW", "MD")}
+
+
+def role_input(features: DataFrame, players: DataFrame) -> DataFrame:
+    """The table that training and scoring read, several times each, so it is
+    written out: features with role, gaps filled, top cells kept."""
+    return materialise(roles.role_table(features, roles.classic_roles(players)), "role-input")
 
 
 def train_roles(
-    features: DataFrame,
-    role_tables: Mapping[str, DataFrame] | DataFrame,
+    table: DataFrame,
     examples: Mapping[str, DataFrame],
     labels: Mapping[str, Sequence[str]] | None = None,
+    overrides: Mapping[str, Sequence[int]] | None = None,
     max_iterations: int = roles.MAX_ITERATIONS,
 ) -> dict[str, roles.RoleModel]:
-    """Fit the three role models. ``features`` should be a stored table, as
-    each fit reads it several times. A role without rows gets no model."""
-    labels = labels or fixed.ROLE_NAMES
-    models = {}
-    for role, known in examples.items():
-        own = role_tables if isinstance(role_tables, DataFrame) else role_tables[role]
-        table = roles.role_table(features, own)
-        if table.filter(F.col("role") == role).isEmpty():
-            continue
-        models[role] = roles.train_role(table, role, known, labels[role], max_iterations=max_iterations)
-    return models
+    """Fit the role models on ``role_input``; a role without rows gets none.
+
+    ``overrides`` adds players to a role in that role's own model. The roles
+    are independent, so their Spark jobs are submitted side by side.
+    """
+    labels, overrides = labels or fixed.ROLE_NAMES, overrides or {}
+
+    def fit(role: str) -> roles.RoleModel | None:
+        own = roles.override_role(table, overrides[role], role, "playerId") if role in overrides else table
+        if own.filter(F.col("role") == role).isEmpty():
+            return None
+        return roles.train_role(own, role, examples[role], labels[role], max_iterations=max_iterations)
 
+    with ThreadPool(len(examples)) as pool:
+        fitted = pool.map(inheritable_thread_target(table.sparkSession)(fit), list(examples))
+    return {role: model for role, model in zip(examples, fitted) if model is not None}
 
-def score_roles(models: Mapping[str, roles.RoleModel], features: DataFrame, players: DataFrame) -> DataFrame:
-    """Label of every feature row: (playerId, matchId, role, label)."""
-    return roles.label_roles(models, roles.role_table(features, roles.classic_roles(players)))
+
+def score_roles(models: Mapping[str, roles.RoleModel], table: DataFrame) -> DataFrame:
+    """Label of every row of ``role_input``: (playerId, matchId, role, label)."""
+    return roles.label_roles(models, table)
 
 
 def role_report(
-    models: Mapping[str, roles.RoleModel], features: DataFrame, players: DataFrame, teams: DataFrame
+    models: Mapping[str, roles.RoleModel], table: DataFrame, players: DataFrame, teams: DataFrame
 ) -> DataFrame:
     """Each player's distinct labels with name, team and appearances."""
-    table = roles.role_table(features, roles.classic_roles(players))
     labels = roles.label_roles(models, table).select("playerId", "label").distinct()
     people = players.select(F.col("wyId").alias("playerId"), "shortName", "currentTeamId")
     clubs = teams.select(F.col("wyId").alias("currentTeamId"), "officialName")
-    rows = (
-        rates.appearances(table)
-        .join(people, "playerId", "left")
-        .join(clubs, "currentTeamId", "left")
-        .join(labels, "playerId", "left")
+    named = salted_join(
+        rates.appearances(table).join(people, "playerId", "left"), clubs, ["currentTeamId"], ["playerId"], how="left"
+    )
+    return (
+        named.join(labels, "playerId", "left")
+        .select(
+            F.col("playerId").alias("id_calciatore"),
+            F.col("shortName").alias("nome_calciatore"),
+            F.col("officialName").alias("nome_squadra"),
+            F.col("label").alias("wyrole"),
+            "numero_presenze",
+        )
+        .orderBy("id_calciatore")
     )
-    return rows.select(
-        F.col("playerId").alias("id_calciatore"),
-        F.col("shortName").alias("nome_calciatore"),
-        F.col("officialName").alias("nome_squadra"),
-        F.col("label").alias("wyrole"),
-        "numero_presenze",
-    ).orderBy("id_calciatore")
 
 
 def feature_search(pairs: DataFrame) -> DataFrame:

@@ -305,10 +305,10 @@ SEARCH = (
     CASE WHEN gain THEN list_append(dropped, names[pos]) ELSE dropped END,
     step + 1, gain
   FROM (
-    SELECT *, list_position(sc, list_max(sc)) AS pos, coalesce(list_max(sc) > ab / sqrt(aa * bb), false) AS gain
+    SELECT *, list_position(sc, list_max(sc)) AS pos, coalesce(list_max(sc) > round(ab / sqrt(aa * bb), 12), false) AS gain
     FROM (
       SELECT *, [CASE WHEN aa - z[1] * z[1] > 0 AND bb - z[2] * z[2] > 0
-               THEN (ab - z[1] * z[2]) / sqrt((aa - z[1] * z[1]) * (bb - z[2] * z[2])) END
+               THEN round((ab - z[1] * z[2]) / sqrt((aa - z[1] * z[1]) * (bb - z[2] * z[2])), 12) END
                FOR z IN list_zip(a, b)] AS sc
       FROM (
         SELECT *, {_DOT.format('a', 'b')} AS ab, {_DOT.format('a', 'a')} AS aa, {_DOT.format('b', 'b')} AS bb
@@ -552,6 +552,7 @@ FROM grid a JOIN grid b ON a.team = 0 AND b.team = 1 AND a.cx = b.cx AND a.cy =
         "group_count": _with(
             EV, body="SELECT count(*) AS n_groups FROM (SELECT DISTINCT match, period, player FROM ev)"
         ),
+        "idle_players": "SELECT c_custkey AS \"playerId\" FROM customer EXCEPT SELECT user_id FROM events",
         "name_search": _with(
             PL, body="SELECT wy AS \"wyId\", name AS \"lastName\" FROM pl WHERE regexp_matches(name, '7.*9')"
         ),

@@ -160,6 +160,11 @@ def role_override(spark, d):
     return roles.override_role(roles.classic_roles(view.players(spark, d)), scorers, "FW")
 
 
+def idle_players(spark, d):
+    known = view.players(spark, d).select(F.col("wyId").alias("playerId"))
+    return tables.difference(known, view.events(spark, d).select("playerId"))
+
+
 def top_tacklers(spark, d):
     return jobs.top_tacklers(view.events(spark, d), view.player_names(spark, d))
 
@@ -346,6 +351,7 @@ def queries() -> dict[str, Query]:
         "value_counts": lambda s, d: tables.value_counts(view.events(s, d), "matchPeriod"),
         "distinct_roles": lambda s, d: tables.distinct_values(roles.classic_roles(view.players(s, d)), "role"),
         "group_count": lambda s, d: tables.number_of_groups(view.events(s, d), GROUP),
+        "idle_players": idle_players,
         "name_search": lambda s, d: tables.find_player(view.players(s, d), "7.*9").select("wyId", "lastName"),
         "seed_centroids": seed_centroids,
         "seeded_kmeans": seeded_kmeans,

@@ -54,7 +54,8 @@ def _sums(items: Column) -> Column:
 
 
 def _score(ab: Column, aa: Column, bb: Column) -> Column:
-    return F.try_divide(ab, F.sqrt(F.greatest(aa, F.lit(0.0)) * F.greatest(bb, F.lit(0.0))))
+    """Cosine to 12 decimals: noise of the last digits must not pick a feature."""
+    return F.round(F.try_divide(ab, F.sqrt(F.greatest(aa, F.lit(0.0)) * F.greatest(bb, F.lit(0.0)))), 12)
 
 
 def _round(state: Column) -> Column:

@@ -305,14 +305,16 @@ SEARCH = (
     CASE WHEN gain THEN list_append(dropped, names[pos]) ELSE dropped END,
     step + 1, gain
   FROM (
-    SELECT *, list_position(sc, list_max(sc)) AS pos, coalesce(list_max(sc) > round(ab / sqrt(aa * bb), 12), false) AS gain
+    SELECT *, list_position(sc, list_max(sc)) AS pos, coalesce(list_max(sc) > round(ab / sqrt(nullif(aa * bb, 0)), 12), false) AS gain
     FROM (
-      SELECT *, [CASE WHEN aa - z[1] * z[1] > 0 AND bb - z[2] * z[2] > 0
-               THEN round((ab - z[1] * z[2]) / sqrt((aa - z[1] * z[1]) * (bb - z[2] * z[2])), 12) END
-               FOR z IN list_zip(a, b)] AS sc
+      SELECT *, [round(list_sum(pab[1:i - 1] || pab[i + 1:])
+                 / sqrt(nullif(list_sum(paa[1:i - 1] || paa[i + 1:]) * list_sum(pbb[1:i - 1] || pbb[i + 1:]), 0)), 12)
+               FOR i IN range(1, len(a) + 1)] AS sc
       FROM (
-        SELECT *, {_DOT.format('a', 'b')} AS ab, {_DOT.format('a', 'a')} AS aa, {_DOT.format('b', 'b')} AS bb
-        FROM rnd WHERE live AND step < 10
+        SELECT *, list_sum(pab) AS ab, list_sum(paa) AS aa, list_sum(pbb) AS bb FROM (
+          SELECT *, [z[1] * z[2] FOR z IN list_zip(a, b)] AS pab, [z * z FOR z IN a] AS paa, [z * z FOR z IN b] AS pbb
+          FROM rnd WHERE live AND step < 10
+        )
       )
     )
   )

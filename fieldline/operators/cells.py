@@ -12,6 +12,7 @@ from fieldline.functions import events as ev
 from fieldline.operators.motion import cell_measures
 from fieldline.operators.skew import salted_join
 from fieldline.schema import GROUP, NO_PLAYER, PERIOD
+from fieldline.session import materialise
 
 
 def without_no_player(events: DataFrame) -> DataFrame:
@@ -27,9 +28,9 @@ def cell_shares(events: DataFrame) -> DataFrame:
     """Player's events in a cell / all events in the cell in that period.
 
     NULL where nobody had an event in the cell. Period totals are summed from
-    the player counts, so the events are read once.
+    the player counts, which are written out, so the events are read once.
     """
-    counts = cell_counts(without_no_player(events))
+    counts = materialise(cell_counts(without_no_player(events)), "cell-counts")
     totals = counts.groupBy(*PERIOD).agg(*[F.expr(f"sum(`{c}`) AS all_{c}") for c in fixed.CELLS])
     both = salted_join(counts, totals, PERIOD, spread=["playerId"])
     return both.selectExpr(*GROUP, *[f"try_divide(`{c}`, all_{c}) AS `{c}`" for c in fixed.CELLS])

@@ -11,6 +11,7 @@ from fieldline import fixed
 from fieldline.functions import events as ev
 from fieldline.operators.skew import salted_join
 from fieldline.schema import CELL
+from fieldline.session import materialise
 
 TEAM_CELL = ["teamId", *CELL]
 COUNTS = ["n_events", "n_accurate_pass", "n_shot", "n_foul"]
@@ -163,9 +164,10 @@ def match_grid_frequencies(events: DataFrame) -> DataFrame:
     """Season cell counts of a team over its totals in each match.
 
     One row per match, team and cell the team used in the season. Cells of a
-    team (25 at most) travel as one array to the team's matches.
+    team (25 at most) travel as one array to the team's matches. The counts per
+    match and cell are written out, so the events are read once.
     """
-    per_match = cell_activity(events, ["matchId", *TEAM_CELL])
+    per_match = materialise(cell_activity(events, ["matchId", *TEAM_CELL]), "match-cells")
     sums = [F.sum(c).alias(c) for c in COUNTS[:3]]
     totals = per_match.groupBy("matchId", "teamId").agg(*sums)
     season = (
@@ -187,9 +189,8 @@ def home_teams(matches: DataFrame, teams: DataFrame) -> DataFrame:
     named = matches.select(
         F.col("wyId").alias("matchId"), ev.home_name(F.col("label")).alias("name")
     )
-    return named.join(teams.select("name", F.col("wyId").alias("home_team")), "name", "left").select(
-        "matchId", "home_team"
-    )
+    ids = teams.select("name", F.col("wyId").alias("home_team"))
+    return salted_join(named, ids, ["name"], spread=["matchId"], how="left").select("matchId", "home_team")
 
 
 def normalise_sides(events: DataFrame, home: DataFrame) -> DataFrame:

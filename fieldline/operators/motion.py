@@ -55,14 +55,46 @@ def angle_stats(events: DataFrame, keys: Sequence[str] = tuple(GROUP)) -> DataFr
     return events.filter(ev.all_present(keys)).groupBy(*keys).agg(*angle_measures())
 
 
-def previous_event(events: DataFrame, keys: Sequence[str] = tuple(GROUP)) -> DataFrame:
-    """Each event beside the time of the one before it in its group.
+def previous_event(
+    events: DataFrame,
+    keys: Sequence[str] = tuple(GROUP),
+    hot_rows: int = HOT_ROWS,
+    max_hot: int = MAX_HOT,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Each event beside the time of the one before it in its group."""
+    order = Window.partitionBy(*keys).orderBy(*ORDER)
+    ordinary, hot = split_hot(events, keys, hot_rows, max_hot)
+    plain = ordinary.withColumn("previous_sec", F.lag("eventSec").over(order))
+    return plain if hot is None else plain.unionByName(_previous_in_hot(hot, keys, ranges))
+
 
-    The output has a row per event, so a hot group stays one sorted run; the
-    aggregates in this module do not go through here.
+def _in_ranges(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """Rows in ranges of (group, event order), numbered in ``_piece``.
+
+    Range bounds follow the data down to the event id, so even a group with
+    one single time is divided.
     """
-    order = Window.partitionBy(*keys).orderBy(*ORDER)
-    return events.filter(ev.all_present(keys)).withColumn("previous_sec", F.lag("eventSec").over(order))
+    order = [*keys, *ORDER]
+    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    return ranged.withColumn("_piece", F.spark_partition_id())
+
+
+def _previous_in_hot(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """Look back within each range; the first row of a range takes the last
+    time of the range before it. Those first rows are one per range."""
+    inner = Window.partitionBy(*keys, "_piece")
+    order = inner.orderBy(*ORDER)
+    pieces = _in_ranges(rows, keys, ranges).withColumns(
+        {
+            "_back": F.lag("eventSec").over(order),
+            "_place": F.when(F.row_number().over(order) == 1, F.lit(-1)).otherwise(F.col("_piece")),
+            "_end": F.max("eventSec").over(inner),
+        }
+    )
+    firsts = Window.partitionBy(*keys, "_place").orderBy("_piece")
+    found = F.when(F.col("_place") == -1, F.lag("_end").over(firsts)).otherwise(F.col("_back"))
+    return pieces.withColumn("previous_sec", found).drop("_piece", "_back", "_place", "_end")
 
 
 def _own_centroid(keys: Sequence[str]) -> dict[str, Column]:
@@ -107,17 +139,10 @@ def _hot_spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
     """Path length of hot groups over ranges of their event order.
 
-    Range bounds follow the data down to the event id, so even a group with
-    one single time is divided. Each range adds its own steps; the step from
-    one range to the next is added from their ends.
+    Each range adds its own steps; the step from one range to the next is
+    added from their ends.
     """
-    order = [*keys, *ORDER]
-    ranged = (
-        rows.select(*order, "x", "y").repartitionByRange(ranges, *order)
-        if ranges
-        else rows.select(*order, "x", "y").repartitionByRange(*order)
-    )
-    pieces = ranged.withColumn("_piece", F.spark_partition_id())
+    pieces = _in_ranges(rows.select(*keys, *ORDER, "x", "y"), keys, ranges)
     inner = [*keys, "_piece"]
     at, point = F.struct(*ORDER), F.struct("x", "y")
     ends = (

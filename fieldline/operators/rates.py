@@ -11,6 +11,7 @@ from fieldline import fixed
 from fieldline.functions import events as ev
 from fieldline.operators.skew import salted_join
 from fieldline.schema import GROUP, TEAM_PERIOD, EventSpec
+from fieldline.session import materialise
 
 ALL_EVENTS = "n_all"
 
@@ -27,6 +28,15 @@ def group_counts(events: DataFrame, keys: Sequence[str], specs: Sequence[EventSp
     return events.filter(ev.all_present(keys)).groupBy(*keys).agg(*counts)
 
 
+def player_counts(events: DataFrame, specs: Sequence[EventSpec]) -> DataFrame:
+    """Stored counts per match, period, team and player.
+
+    Written out because totals are taken from it as well: the log, far larger,
+    is then read once.
+    """
+    return materialise(group_counts(events, [*TEAM_PERIOD, "playerId"], specs), "player-counts")
+
+
 def with_team_totals(counts: DataFrame, specs: Sequence[EventSpec]) -> DataFrame:
     """Player counts of a match period beside the totals of the team."""
     totals = counts.groupBy(*TEAM_PERIOD).agg(*[F.expr(f"sum({s.count_column}) AS team_{s.name}") for s in specs])
@@ -35,7 +45,7 @@ def with_team_totals(counts: DataFrame, specs: Sequence[EventSpec]) -> DataFrame
 
 def share_of_team(events: DataFrame, spec: EventSpec) -> DataFrame:
     """Player's events of a kind / the team's, per match and period."""
-    counts = group_counts(events.filter(ev.matches_spec(spec)), [*TEAM_PERIOD, "playerId"], [spec])
+    counts = player_counts(events.filter(ev.matches_spec(spec)), [spec])
     return with_team_totals(counts, [spec]).select(
         *GROUP, "teamId", (F.col(spec.count_column) / F.col(f"team_{spec.name}")).alias(f"{spec.name}_pct_WRT")
     )
@@ -77,7 +87,7 @@ def shares_from_counts(counts: DataFrame, specs: Sequence[EventSpec] = tuple(fix
 
 def event_shares(events: DataFrame, specs: Sequence[EventSpec] = tuple(fixed.SHARE_SPECS)) -> DataFrame:
     """All shares for the players seen in at least one kind of event."""
-    shares = shares_from_counts(group_counts(events, [*TEAM_PERIOD, "playerId"], specs), specs)
+    shares = shares_from_counts(player_counts(events, specs), specs)
     seen = F.coalesce(*[c for c in shares.columns if c not in GROUP]).isNotNull()
     return shares.filter(seen)
 

@@ -292,9 +292,5 @@ def label_roles(models: Mapping[str, RoleModel], table: DataFrame) -> DataFrame:
 
 def seed_check(labelled: DataFrame, examples: DataFrame, names: DataFrame) -> DataFrame:
     """Labels that the rows of each known player received, with the name."""
-    counts = (
-        labelled.join(examples.select("playerId"), "playerId", "left_semi")
-        .groupBy("playerId", "label")
-        .agg(F.count("*").alias("n"))
-    )
-    return counts.join(names, "playerId", "left")
+    counts = labelled.groupBy("playerId", "label").agg(F.count("*").alias("n"))
+    return counts.join(examples.select("playerId"), "playerId", "left_semi").join(names, "playerId", "left")

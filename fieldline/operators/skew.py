@@ -65,4 +65,5 @@ def split_hot(
     if largest is None or largest <= hot_rows:
         return present, None
     hot = F.broadcast(hot_keys(sizes, keys, hot_rows, max_hot))
-    return present.join(hot, list(keys), "left_anti"), present.join(hot, list(keys), "left_semi")
+    ordinary, large = (present.join(hot, list(keys), how) for how in ("left_anti", "left_semi"))
+    return ordinary.select(*rows.columns), large.select(*rows.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldline.functions.events import all_present
+from fieldline.operators.skew import salted_join
 from fieldline.schema import NO_PLAYER
 
 
@@ -109,7 +110,14 @@ def merge_measures(tables: Mapping[str, DataFrame] | Sequence[DataFrame], keys:
 def assemble_measures(
     by_match: Sequence[DataFrame], by_player: Sequence[DataFrame], match_keys: Sequence[str] = ("matchId", "playerId")
 ) -> DataFrame:
-    """All measures in one table, without the 'no player' id."""
-    wide = merge_measures(by_match, match_keys)
-    season = merge_measures(by_player, ["playerId"])
-    return wide.join(season, "playerId", "full").filter(F.col("playerId") != NO_PLAYER)
+    """All measures in one table, without the 'no player' id.
+
+    A full outer join on the player, in two parts so that a player with very
+    many rows can be spread: rows with their season, and season-only players.
+    """
+    wide = merge_measures(by_match, match_keys).filter(F.col("playerId") != NO_PLAYER)
+    season = merge_measures(by_player, ["playerId"]).filter(F.col("playerId") != NO_PLAYER)
+    spread = [k for k in match_keys if k != "playerId"]
+    played = salted_join(wide, season, ["playerId"], spread, how="left")
+    only_season = season.join(wide.select("playerId").distinct(), "playerId", "left_anti")
+    return played.unionByName(only_season, allowMissingColumns=True)

@@ -91,6 +91,16 @@ def test_previous_event(make_events):
     }
 
 
+@pytest.mark.parametrize("same_time", [False, True])
+def test_previous_event_of_hot_groups(make_events, same_time):
+    events = make_events(*walk(90, 1, same_time), *walk(25, 2, same_time, 4, 500), *walk(3, 3, start=900))
+    want = by_key(motion.previous_event(events).select("id", "previous_sec"), "id")
+    for skew in ({"hot_rows": 10, "ranges": 6}, {"hot_rows": 10}, {"hot_rows": 10, "max_hot": 1, "ranges": 4}):
+        got = motion.previous_event(events, **skew)
+        assert got.columns == motion.previous_event(events).columns
+        assert by_key(got.select("id", "previous_sec"), "id") == want
+
+
 def test_split_hot_keeps_every_row(make_events):
     events = make_events(*walk(30, 1), *walk(5, 2, start=100), *walk(20, 3, start=200))
     ordinary, hot = split_hot(events, GROUP, hot_rows=10)

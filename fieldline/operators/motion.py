@@ -111,24 +111,37 @@ def _plain_measures() -> list[Column]:
     return [
         F.avg("x").alias("posizione_media_x"),
         F.avg("y").alias("posizione_media_y"),
-        event_rate_measure().alias("tempo_medio_tra_eventi"),
+        elapsed_measure().alias("_elapsed"),
         *angle_measures(),
         *cell_measures(),
     ]
 
 
+def _with_rate(measures: DataFrame) -> DataFrame:
+    """Rate from elapsed time and distinct events (``_ids``).
+
+    Distinct events are counted apart from the other measures: in one
+    aggregate, every event would carry the state of all of them.
+    """
+    rate = F.try_divide(F.col("_elapsed"), F.col("_ids"))
+    return measures.withColumn("tempo_medio_tra_eventi", rate).drop("_elapsed", "_ids")
+
+
 def _spread_measure() -> Column:
     """Mean distance to the centroid, published as 'standard_deviation'."""
     return F.avg(ev.point_distance(F.col("_cx"), F.col("_cy"), F.col("x"), F.col("y"))).alias("standard_deviation")
 
 
 def _ordinary_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    beside = rows.withColumns({**_own_centroid(keys), "_step": _steps(keys)})
-    return beside.groupBy(*keys).agg(
+    last_id = F.lag("id").over(Window.partitionBy(*keys).orderBy("id"))
+    beside = rows.withColumns({**_own_centroid(keys), "_step": _steps(keys), "_last_id": last_id})
+    measures = beside.groupBy(*keys).agg(
         *_plain_measures(),
         _spread_measure(),
         F.coalesce(F.sum("_step"), F.lit(0.0)).alias("total_distance"),
+        F.expr("count_if(id IS NOT NULL AND NOT id <=> _last_id)").alias("_ids"),
     )
+    return _with_rate(measures)
 
 
 def _hot_spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,7 +179,8 @@ def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataF
 
 
 def _hot_groups(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
-    plain = rows.groupBy(*keys).agg(*_plain_measures())
+    ids = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("id").alias("_ids"))
+    plain = _with_rate(rows.groupBy(*keys).agg(*_plain_measures()).join(ids, list(keys)))
     return plain.join(_hot_spread(rows, keys), list(keys)).join(_hot_path(rows, keys, ranges), list(keys))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -24,6 +25,10 @@ TOLERANCE = 1e-4
 
 Centres = list[list[float]]
 
+# The last step of a PCA decomposes a small matrix on the driver, in a library
+# that is not safe to call from two threads at once.
+_DECOMPOSITION = Lock()
+
 
 def override_role(roles: DataFrame, ids: Sequence[int] | DataFrame, role: str, key: str = "wyId") -> DataFrame:
     """Give the listed players another classic role.
@@ -249,7 +254,8 @@ def train_role(
     labels = list(labels or fixed.ROLE_CODES[role])
     k = k or fixed.ROLE_COMPONENTS[role]
     rows = table.filter(F.col("role") == role).select("playerId", *columns)
-    projection = principal_components(columns, k, scaled_columns(role)).fit(rows)
+    with _DECOMPOSITION:
+        projection = principal_components(columns, k, scaled_columns(role)).fit(rows)
     points = transform_components(projection, rows).select("playerId", "components")
     centres = seed_centres(points, examples, len(labels), k)
     return RoleModel(role, projection, seeded_kmeans(points, centres, max_iterations=max_iterations), labels)

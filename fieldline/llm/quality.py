@@ -78,7 +78,8 @@ def with_counts(docs: DataFrame, text: str = "text", into: str = "counts") -> Da
         F.regexp_count(source, F.lit(r"[!?]{2,}")).cast("long").alias("n_shouts"),
         F.regexp_count(source, F.lit(r"\p{Nd}")).cast("long").alias("n_digits"),
     )
-    return split.withColumn(into, counted).drop(*names.values())
+    # Generated, so that no filter or projection above is given copies of these expressions.
+    return split.withColumn(into, F.explode(F.array(counted))).drop(*names.values())
 
 
 def base_failed(counts: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldline.llm import decontaminate, mixing, quality, simhash, tokens
+from fieldline.llm import decontaminate, mixing, pii, quality, repeats, simhash, tokens
 from fieldline.session import new_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    masked = pii.pseudonymise(table(spark, folder, "documents"))
+    return masked.select("doc_id", "text", *[F.col("pii")[f"n_{k}"].alias(f"n_{k}") for k in pii.KINDS])
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -44,12 +49,17 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents")).drop("posterior")
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.order(table(spark, folder, "documents")).drop("key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op3_decontaminate, op4_tokens, op5_quality, op9_mix]
+    own = [op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op7_repeats, op9_mix]
     return {f.__name__: f for f in own}
 
 

@@ -14,7 +14,9 @@ first; an empty table writes files without rows; other columns are not written.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,21 @@ CACHE_WORDS = 400_000
 CACHE_BYTES = 32 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+# Lower-case letters of Latin-1, and the characters that byte-level models write for the bytes 128 to 255.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+_PRINTED = [*range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b if b in _PRINTED else 289 + [x for x in range(127, 256) if x not in _PRINTED].index(b)) for b in range(128, 256)}
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Encodes texts word by word, each word once while it is remembered.
+class Encoder(dict):
+    """Encodes texts word by word and remembers the ids of each word, as bytes.
 
     For tokenizers that drop white space and lower-case: neither a merge nor a
     normalisation reaches across ASCII white space, so the ids of a text are
-    those of its words in turn, and A-Z may be lower-cased beforehand.
+    those of its words in turn, and A-Z may be lower-cased beforehand. A word of
+    Latin-1 letters, or one such with a full stop or comma, is in normal form
+    and is not split further; it goes to the merge model directly.
     """
 
     def __init__(self, path: str):
@@ -51,50 +59,33 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."} | {"": []}
         self.bytes = 0
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, flat)
-        self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words))))
-        self.bytes += sum(map(len, words))
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        tail = text[-1] if text[-1] in ",." else ""
+        stem = text[:-1] if tail else text
+        if _LATIN.fullmatch(stem):
+            if not stem.isascii():
+                stem = stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.merge(stem)] + self.tails[tail]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = packed = array("i", ids).tobytes()
+        self.bytes += len(word)
+        return packed
 
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        if len(self.slots) > CACHE_WORDS or self.bytes > CACHE_BYTES:
-            self._forget()
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                own = text.translate(_LOWER).split()
-                counts[k] = len(own)
-                words += own
-        if unknown := list(set(words).difference(self.slots)):
-            self._learn(unknown)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[slots]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        bounds = np.concatenate(([0], np.cumsum(counts)))
-        lengths = ends[bounds[1:]] - ends[bounds[:-1]]
-        take = np.arange(ends[-1]) + np.repeat(self.starts[slots] - ends[:-1], sizes)
-        ids = self.ids[take]
-        if end_id is not None:
-            ids = np.insert(ids, ends[bounds[1:]], end_id)
-            lengths = lengths + 1
-        return ids, lengths
+        if len(self) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.clear()
+            self.bytes = 0
+        end = b"" if end_id is None else array("i", [end_id]).tobytes()
+        found = [b"".join(map(self.__getitem__, t.translate(_LOWER).split())) + end if t else end for t in texts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype=np.int32), lengths
 
 
 def encoder(path: str) -> Encoder:
@@ -152,13 +143,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, tokens.
 
     The number of parts is the number of tasks that wrote, so their totals are
-    few; only the columns n_tokens and part are read for them.
+    few (16 bytes for each file) and are broadcast; only the columns n_tokens and
+    part are read for them.
     """
     rows = spark.read.parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     window = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias("_base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("offset") + F.col("_base")).alias("start"), "n_tokens", "tokens")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("offset") + F.col("_base")).alias("start"), "n_tokens", "tokens")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

@@ -117,13 +117,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden-section search over its logarithm."""
+    """The temperature with the least log loss, by golden-section search over its logarithm.
+
+    The right class counts (n + 1) / (n + 2), as in Platt's targets, so that a sample without an error does not make the
+    model certain.
+    """
     if not len(labels):
         return 1.0
 
     def loss(log_t: float) -> float:
-        p = _softmax(scores / np.exp(log_t))[np.arange(len(labels)), labels]
-        return -np.log(np.maximum(p, 1e-12)).mean()
+        p = np.maximum(_softmax(scores / np.exp(log_t)), 1e-12)
+        right, doubt = np.log(p[np.arange(len(labels)), labels]), 1 / (len(labels) + 2)
+        wrong = (np.log(p).sum(axis=1) - right) / max(scores.shape[1] - 1, 1)
+        return -((1 - doubt) * right + doubt * wrong).mean()
 
     a, b, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldline.llm import decontaminate, mixing, pii, quality, repeats, simhash, tokens
+from fieldline.llm import decontaminate, langid, lmscore, mixing, pii, quality, repeats, secrets, simhash, tokens
 from fieldline.session import new_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -49,17 +49,39 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents")).drop("posterior")
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.scores(table(spark, folder, "documents"))
+
+
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.detect(table(spark, folder, "documents"))
+
+    def joined(column: str) -> Column:
+        named = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(named, ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.order(table(spark, folder, "documents")).drop("key")
 
 
+def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op7_repeats, op9_mix]
+    own = [op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op6_lm_score, op7_repeats, op8_secrets, op9_mix, op10_langid]
     return {f.__name__: f for f in own}
 
 

@@ -47,12 +47,7 @@ evc AS (
     CASE WHEN y > 0 AND y <= 100 THEN CAST(ceil(y / 20) AS INTEGER) - 1 ELSE 0 END AS cy,
     CASE WHEN x_end IS NULL THEN NULL
          WHEN x_end = x AND y_end = y THEN pi() / 2
-         WHEN y_end >= y AND x_end = x THEN pi() / 2
-         WHEN y_end < y AND x_end = x THEN 3 * pi() / 2
-         WHEN y_end >= y AND x_end > x THEN atan((y_end - y) / (x_end - x))
-         WHEN y_end >= y THEN pi() - abs(atan((y_end - y) / (x_end - x)))
-         WHEN x_end > x THEN 2 * pi() - abs(atan((y_end - y) / (x_end - x)))
-         ELSE pi() + abs(atan((y_end - y) / (x_end - x))) END AS angle
+         ELSE atan2(y_end - y, x_end - x) + CASE WHEN y_end < y THEN 2 * pi() ELSE 0 END END AS angle
   FROM ev
 )
 """
@@ -201,6 +196,18 @@ def _features(body: str, *more: str) -> str:
     return _with(*FEATURE_CTES, FEATURES, *more, body=body)
 
 
+# Gaps filled with the player's own means.
+BY_PLAYER = (
+    "fpl AS (SELECT player, match, period, "
+    + ", ".join(
+        f'coalesce("{c}", avg("{c}") OVER (PARTITION BY player), 0) AS "{c}"'
+        if c in fixed.MEAN_FILLED
+        else f'coalesce("{c}", 0) AS "{c}"'
+        for c in fixed.FEATURES
+    )
+    + " FROM feat)"
+)
+
 # Feature rows of all players with their role, players without events included,
 # gaps filled.
 TABLE_CTES = (
@@ -280,14 +287,14 @@ def _share_query(kind: str, of: str) -> str:
     )
 
 
-_SCALED = fixed.SCALED_DF
+_SCALED = list(dict.fromkeys([*fixed.SCALED_DF, *fixed.SCALED_FW_MD]))
 
 
 # --- greedy feature removal ---------------------------------------------------
 _VEC = "[" + ", ".join(f'"{c}"' for c in fixed.PLAY_FEATURES) + "]"
 _NAMES = "[" + ", ".join(f"'{c}'" for c in fixed.PLAY_FEATURES) + "]"
 PAIRS = (
-    f"halves AS (SELECT player, match, period, {_VEC} AS v FROM ful WHERE period IS NOT NULL)",
+    f"halves AS (SELECT player, match, period, {_VEC} AS v FROM fpl)",
     """pairs AS (
   SELECT a.match, a.player, a.v AS a, b.v AS b FROM halves a
   JOIN halves b ON a.match = b.match AND a.player = b.player AND a.period = '1H' AND b.period = '2H'
@@ -326,7 +333,7 @@ SEARCH = (
 
 
 def _search(body: str, *more: str) -> str:
-    return _features(body, *TABLE_CTES, *PAIRS, *SEARCH, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+    return _features(body, BY_PLAYER, *PAIRS, *SEARCH, *more).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # --- k-means on the embeddings --------------------------------------------------
@@ -352,7 +359,8 @@ def _kmeans(rounds: int) -> str:
     return _with(*parts, body=body)
 
 
-KMEANS_ROUNDS = 3
+# Enough to be past convergence: later rounds change nothing.
+KMEANS_ROUNDS = 40
 
 
 def oracle_sql() -> dict[str, str]:
@@ -466,9 +474,12 @@ WHERE won > (SELECT quantile_cont(won, 0.75) FROM tck WHERE won > 0)""",
         ),
         "grid_matrix": _with(
             EV, GRID,
-            body="SELECT team AS nome_squadra, cy AS numero_cella_y, "
-            + ", ".join(f"round(avg(m1) FILTER (WHERE cx = {i}), 6) AS x{i}" for i in range(5))
-            + " FROM grid GROUP BY team, cy",
+            body=" UNION ALL ".join(
+                f"SELECT team AS nome_squadra, {m} AS tipo_griglia, cy AS numero_cella_y, "
+                + ", ".join(f"round(avg(m{m}) FILTER (WHERE cx = {i}), 6) AS x{i}" for i in range(5))
+                + " FROM grid GROUP BY team, cy"
+                for m in range(1, 5)
+            ),
         ),
         "grid_similarity": _with(
             EV, GRID,
@@ -499,16 +510,15 @@ FROM grid a JOIN grid b ON a.team = 0 AND b.team = 1 AND a.cx = b.cx AND a.cy =
         # features
         "player_features": _features(f"SELECT {GK}, {rounded(fixed.FEATURES)} FROM feat"),
         "impute": _features(
-            f"SELECT {ident}, role, {rounded(fixed.MEAN_FILLED)}, round(angle_std, 6) AS angle_std, gol, "
-            "round(total_distance, 6) AS total_distance FROM ful".replace("gol,", "round(gol, 6) AS gol,"),
-            *TABLE_CTES,
+            f"SELECT {ident}, role, {rounded(fixed.FEATURES)} FROM ful", *TABLE_CTES
         ),
+        "impute_by_player": _features(f"SELECT {ident}, {rounded(fixed.FEATURES)} FROM fpl", BY_PLAYER),
         "top_cells": _features(f"SELECT {ident}, {cells} FROM kept", *TABLE_CTES, *TOP_CELLS),
         "minmax": _features(
             f"SELECT {ident}, "
             + ", ".join(
-                f"round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0 "
-                f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 6) AS {c}"
+                f'round(CASE WHEN max("{c}") OVER () = min("{c}") OVER () THEN 0 '
+                f'ELSE ("{c}" - min("{c}") OVER ()) / (max("{c}") OVER () - min("{c}") OVER ()) END, 6) AS "{c}"'
                 for c in _SCALED
             )
             + " FROM ful",
@@ -525,21 +535,25 @@ FROM grid a JOIN grid b ON a.team = 0 AND b.team = 1 AND a.cx = b.cx AND a.cy =
         ),
         "assemble_measures": _with(
             EV, SEASON, FOOT,
-            "m AS (SELECT match, player, (max(sec) - min(sec)) / count(DISTINCT id) AS tempo_medio_tra_eventi, "
-            "avg(angle) AS angle_mean, stddev_samp(angle) AS angle_std, "
+            "mc AS (SELECT match, team, player, count(*) AS n_all, "
+            + ", ".join(f"count(*) FILTER (WHERE {w}) AS {n}" for n, w in KINDS.items())
+            + " FROM evc GROUP BY ALL)",
+            "ms AS (SELECT match, player, "
             + ", ".join(
-                f"CASE WHEN count(*) FILTER (WHERE {KINDS[n]}) > 0 THEN "
-                f"count(*) FILTER (WHERE {KINDS[n]})::DOUBLE / count(*) END AS {n}_pct_WRP"
-                for n in OF_PLAYER
+                f"CASE WHEN {n} > 0 THEN {n}::DOUBLE / "
+                + ("n_all" if n in OF_PLAYER else f"sum({n}) OVER (PARTITION BY match, team)")
+                + f" END AS {column}"
+                for n in KINDS
+                for column in (
+                    ["foul_pct_WRT_x", "foul_pct_WRT_y"] if n == "foul" else [f"{n}_pct_{'WRP' if n in OF_PLAYER else 'WRT'}"]
+                )
             )
-            + ", "
-            + ", ".join(f'"{c}"' for c in fixed.CELLS[:0])
-            + " any_value(0) AS z FROM evc GROUP BY ALL)",
+            + " FROM mc)",
+            "mp AS (SELECT match, player, (max(sec) - min(sec)) / count(DISTINCT id) AS tempo_medio_tra_eventi, "
+            "avg(angle) AS angle_mean, stddev_samp(angle) AS angle_std FROM evc GROUP BY ALL)",
+            "m AS (SELECT ms.*, mp.* EXCLUDE (match, player) FROM ms JOIN mp ON ms.match = mp.match AND ms.player = mp.player)",
             body='SELECT m.player AS "playerId", m.match AS "matchId", '
-            + rounded(
-                ["tempo_medio_tra_eventi", "angle_mean", "angle_std", "accurate_pass_pct_WRP", "accurate_shot_pct_WRP",
-                 "assist", "gol", "yellow_card", "ambidestro"]
-            )
+            + rounded([*SHARE_COLUMNS, "tempo_medio_tra_eventi", "angle_mean", "angle_std", "assist", "gol", "yellow_card", "ambidestro"])
             + " FROM m LEFT JOIN sea ON sea.player = m.player LEFT JOIN foot ON foot.player = m.player "
             "WHERE m.player <> 0",
         ),
@@ -570,12 +584,31 @@ WITH lng AS (
   SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS val, generate_subscripts(embedding, 1) AS d FROM embeddings
 ), mu AS (SELECT d, avg(val) AS m FROM lng GROUP BY d)
 SELECT vec_id, round(sum((val - m) ** 2), 6) AS energy FROM lng JOIN mu USING (d) GROUP BY vec_id
+""",
+        "pca_moments": """
+WITH lng AS (
+  SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS val, generate_subscripts(embedding, 1) AS d FROM embeddings
+),
+dev AS (SELECT vec_id, d, val - avg(val) OVER (PARTITION BY d) AS v FROM lng),
+c1 AS (
+  SELECT a.d AS i, b.d AS j, sum(a.v * b.v) / (SELECT count(*) - 1 FROM embeddings) AS c
+  FROM dev a JOIN dev b ON a.vec_id = b.vec_id GROUP BY ALL
+),
+c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c1 a JOIN c1 b ON a.j = b.i GROUP BY ALL)
+SELECT 1 AS power, round(sum(c), 6) AS total FROM c1 WHERE i = j
+UNION ALL SELECT 2, round(sum(c), 6) FROM c2 WHERE i = j
+UNION ALL SELECT 3, round(sum(a.c * b.c), 6) FROM c1 a JOIN c2 b ON a.i = b.j AND a.j = b.i
+UNION ALL SELECT 4, round(sum(c * c), 6) FROM c2
+""",
+        "pca_crossed": """
+SELECT DISTINCT CAST(d - 2 AS INTEGER) AS component, true AS uncorrelated
+FROM (SELECT generate_subscripts(embedding, 1) AS d FROM embeddings) WHERE d > 1
 """,
         # search
         "pair_cosine": _features(
             f'SELECT match AS "matchId", player AS "playerId", round({_DOT.format("a", "b")} / '
             f'sqrt({_DOT.format("a", "a")} * {_DOT.format("b", "b")}), 6) AS cosine FROM pairs',
-            *TABLE_CTES, *PAIRS,
+            BY_PLAYER, *PAIRS,
         ),
         "dropped_features": _search(
             'SELECT match AS "matchId", player AS "playerId", array_to_string(dropped, \',\') AS dropped, '
@@ -585,8 +618,9 @@ SELECT vec_id, round(sum((val - m) ** 2), 6) AS energy FROM lng JOIN mu USING (d
             "SELECT feature, count(*) AS n FROM (SELECT unnest(dropped) AS feature FROM fin) GROUP BY feature"
         ),
         "feature_difference": _search(
-            "SELECT feature FROM dr WHERE team = 0 EXCEPT SELECT feature FROM dr WHERE team = 1",
-            "dr AS (SELECT player % 2 AS team, unnest(dropped) AS feature FROM fin)",
+            "SELECT place, feature FROM dr WHERE team = 0 EXCEPT SELECT place, feature FROM dr WHERE team = 1",
+            "dr AS (SELECT player % 2 AS team, unnest(dropped) AS feature, "
+            "CAST(generate_subscripts(dropped, 1) - 1 AS INTEGER) AS place FROM fin)",
         ),
         "most_dropped_feature": _search(
             "SELECT team AS \"teamId\", arg_min(feature, {'n': -n, 'f': feature}) AS feature FROM "

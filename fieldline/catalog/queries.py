@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.catalog import view
-from fieldline.catalog.oracles import KMEANS_ROUNDS
 from fieldline.functions import events as ev
 from fieldline.functions.vectors import nearest
 from fieldline.operators import cells, grid, motion, rates, roles, scaling, search, tables
@@ -101,7 +100,7 @@ def suffered_fouls(spark, d):
 
 
 def grid_matrix(spark, d):
-    return rounded(grid.grid_matrix(jobs.grid_frequency(view.events(spark, d)), fixed.GRID_METRICS[0]))
+    return rounded(grid.grid_matrix(jobs.grid_frequency(view.events(spark, d))))
 
 
 # --- features ---------------------------------------------------------------
@@ -121,8 +120,15 @@ IDENT = ["playerId", "matchId", "matchPeriod"]
 
 
 def impute(spark, d):
-    shown = [*fixed.MEAN_FILLED, "angle_std", "gol", "total_distance"]
-    return rounded(_filled(spark, d).select(*IDENT, "role", *shown))
+    return rounded(_filled(spark, d).select(*IDENT, "role", *fixed.FEATURES))
+
+
+def _filled_by_player(spark, d) -> DataFrame:
+    return scaling.impute(_stored_features(spark, d), keep_null=["matchId"], by=["playerId"])
+
+
+def impute_by_player(spark, d):
+    return rounded(_filled_by_player(spark, d).select(*IDENT, *fixed.FEATURES))
 
 
 def top_cells(spark, d):
@@ -130,8 +136,9 @@ def top_cells(spark, d):
 
 
 def minmax(spark, d):
-    scaled = scaling.min_max_scale(_filled(spark, d), fixed.SCALED_DF)
-    return rounded(scaled.select(*IDENT, *fixed.SCALED_DF), fixed.SCALED_DF)
+    columns = list(dict.fromkeys([*fixed.SCALED_DF, *fixed.SCALED_FW_MD]))
+    scaled = scaling.min_max_scale(materialise(_filled(spark, d), "filled"), columns)
+    return rounded(scaled.select(*IDENT, *columns), columns)
 
 
 def distance_histogram(spark, d):
@@ -143,15 +150,8 @@ def distance_histogram(spark, d):
 
 def assemble_measures(spark, d):
     events = view.events(spark, d)
-    keys = ["matchId", "playerId"]
-    per_match = [motion.event_rate(events, keys), motion.angle_stats(events, keys)]
-    for spec in fixed.SHARE_SPECS:
-        if spec.share_of == "player":
-            counts = rates.group_counts(events, keys, [spec]).filter(F.col(spec.count_column) > 0)
-            share = F.col(spec.count_column) / F.col(rates.ALL_EVENTS)
-            per_match.append(counts.select(*keys, share.alias(spec.share_column)))
     per_player = [rates.season_means(events), rates.foot_balance(events)]
-    return rounded(jobs.assemble_measures(per_match, per_player))
+    return rounded(jobs.assemble_measures(jobs.match_measures(events), per_player))
 
 
 # --- tables -----------------------------------------------------------------
@@ -171,6 +171,7 @@ def top_tacklers(spark, d):
 
 # --- vectors and roles --------------------------------------------------------
 DIMENSIONS = 64
+VARIANCE_COMPONENTS = {"DF": 54, "FW": 54, "MD": 48}
 
 
 def seed_centroids(spark, d):
@@ -186,7 +187,7 @@ def _label_centres(points: DataFrame) -> list[list[float]]:
 
 def seeded_kmeans(spark, d):
     points = view.embeddings(spark, d)
-    centres = roles.seeded_kmeans(points, _label_centres(points), max_iterations=KMEANS_ROUNDS, tolerance=0.0)
+    centres = roles.seeded_kmeans(points, _label_centres(points), tolerance=1e-18)  # until no point changes its centre
     near = nearest(F.col("components"), centres)
     found = points.select("vec_id", near.alias("near"))
     return rounded(found.select("vec_id", F.col("near.i").alias("cluster"), F.col("near.d").alias("cost")))
@@ -223,10 +224,32 @@ def random_kmeans(spark, d):
 
 
 def pca_variance(spark, d):
-    rows = jobs.role_input(_stored_features(spark, d), view.players(spark, d)).filter(F.col("role") == "DF")
-    columns = fixed.FEATURES
-    model = roles.principal_components(columns, len(columns), roles.scaled_columns("DF")).fit(rows)
-    return roles.explained_variance(model, spark)
+    table, found = jobs.role_input(_stored_features(spark, d), view.players(spark, d)), None
+    for role, k in VARIANCE_COMPONENTS.items():
+        rows = table.filter(F.col("role") == role)
+        model = roles.principal_components(fixed.FEATURES, k, roles.scaled_columns(role)).fit(rows)
+        part = roles.explained_variance(model, spark).withColumn("role", F.lit(role))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def pca_moments(spark, d):
+    """Sums of the first four powers of all component variances: the traces of powers of the covariance matrix."""
+    wide, names = _embedding_columns(spark, d)
+    model = roles.principal_components(names, DIMENSIONS).fit(wide)
+    parts = roles.transform_components(model, wide)
+    spread = parts.agg(*[F.var_samp(F.get("components", F.lit(i))).alias(f"v{i}") for i in range(DIMENSIONS)])
+    powers = [F.struct(F.lit(p).alias("power"), sum(F.col(f"v{i}") ** p for i in range(DIMENSIONS)).alias("total")) for p in range(1, 5)]
+    return rounded(spread.select(F.inline(F.array(*powers))))
+
+
+def pca_crossed(spark, d):
+    """Covariances of neighbouring components: all zero for principal components."""
+    wide, names = _embedding_columns(spark, d)
+    parts = roles.transform_components(roles.principal_components(names, DIMENSIONS).fit(wide), wide)
+    crossed = [F.covar_samp(F.get("components", F.lit(i)), F.get("components", F.lit(i + 1))).alias(f"c{i}") for i in range(DIMENSIONS - 1)]
+    rows = [F.struct(F.lit(i).alias("component"), (F.abs(F.col(f"c{i}")) < 1e-9).alias("uncorrelated")) for i in range(DIMENSIONS - 1)]
+    return parts.agg(*crossed).select(F.inline(F.array(*rows)))
 
 
 def _examples(players: DataFrame) -> dict[str, DataFrame]:
@@ -265,13 +288,17 @@ def unknown_role(spark, d):
 def seed_check(spark, d):
     models, table, people = _trained(spark, d)
     labelled = jobs.score_roles(models, table)
-    return roles.seed_check(labelled, _examples(people)["DF"], view.player_names(spark, d))
+    found, names = None, view.player_names(spark, d)
+    for role, examples in _examples(people).items():
+        part = roles.seed_check(labelled, examples, names).withColumn("examples_of", F.lit(role))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 # --- feature search -----------------------------------------------------------
 def _pairs(spark, d) -> DataFrame:
-    """First and second half of each player's matches."""
-    return search.matched_pairs(_filled(spark, d), ["matchId", "playerId"], "matchPeriod", "1H", "2H")
+    """First and second half of each player's matches, gaps filled with the player's own means."""
+    return search.matched_pairs(_filled_by_player(spark, d), ["matchId", "playerId"], "matchPeriod", "1H", "2H")
 
 
 def pair_cosine(spark, d):
@@ -287,8 +314,8 @@ def dropped_features(spark, d):
 
 def feature_difference(spark, d):
     dropped = search.dropped_features(_pairs(spark, d)).withColumn("teamId", F.col("playerId") % 2)
-    counts = search.drop_counts(dropped, ["teamId"])
-    sides = [counts.filter(F.col("teamId") == t).select("feature") for t in TEAMS]
+    counts = search.drop_counts(dropped, ["teamId"], places=True)
+    sides = [counts.filter(F.col("teamId") == t).select("place", "feature") for t in TEAMS]
     return tables.difference(*sides)
 
 
@@ -343,6 +370,7 @@ def queries() -> dict[str, Query]:
         "match_grid_frequency_sides": lambda s, d: rounded(jobs.match_grid_frequency(view.events(s, d), _home(s, d))),
         "player_features": lambda s, d: rounded(_features(s, d)),
         "impute": impute,
+        "impute_by_player": impute_by_player,
         "top_cells": top_cells,
         "minmax": minmax,
         "distance_histogram": distance_histogram,
@@ -357,6 +385,8 @@ def queries() -> dict[str, Query]:
         "seeded_kmeans": seeded_kmeans,
         "random_kmeans": random_kmeans,
         "pca_energy": pca_energy,
+        "pca_moments": pca_moments,
+        "pca_crossed": pca_crossed,
         "pca_components": pca_components,
         "pca_variance": pca_variance,
         "role_clusters": role_clusters,

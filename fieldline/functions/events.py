@@ -105,15 +105,19 @@ def home_name(label: Column, aliases: Mapping[str, str] = fixed.HOME_ALIASES) ->
     return chain.otherwise(word) if aliases else word
 
 
-def attack_left_to_right(value: Column, team: Column, home: Column, period: Column) -> Column:
+def attack_left_to_right(
+    value: Column, team: Column, home: Column, period: Column, opposite: Column | None = None
+) -> Column:
     """Coordinate turned so that each team attacks the same way in both halves.
 
+    ``opposite`` is the turned value, by default that of a coordinate.
+
     Turned for the away side in the first half and the home side in the second;
     a match whose home side is not known counts every team as away.
     """
     at_home = F.coalesce(team == home, F.lit(False))
     turned = (~at_home & (period == "1H")) | (at_home & (period == "2H"))
-    return F.when(turned, 100 - value).otherwise(value)
+    return F.when(turned, 100 - value if opposite is None else opposite).otherwise(value)
 
 
 def nan_to_null(value: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,17 +52,26 @@ def cells_from(least: str, cells: Sequence[str] = tuple(fixed.CELLS)) -> list[Co
     ]
 
 
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each centre."""
+    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
 def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
     """Struct (d, i): squared distance to the nearest centre and its index.
 
-    Equal distances are decided for the lower index.
+    Equal distances are decided for the lower index. Runs on Arrow batches, so
+    that a batch is a few matrix operations and centres are not part of the
+    query's text.
     """
-    rows = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
-    options = F.transform(
-        F.expr(f"array({rows})"),
-        lambda centre, i: F.struct(squared_distance(point, centre).alias("d"), i.alias("i")),
-    )
-    return F.array_min(options)
+    table = np.array(centres, dtype=float)
+
+    @F.pandas_udf("struct<d: double, i: int>")
+    def find(points: pd.Series) -> pd.DataFrame:
+        found = distances(np.stack(points.to_numpy()), table) if len(points) else np.zeros((0, len(table)))
+        return pd.DataFrame({"d": found.min(axis=1), "i": found.argmin(axis=1).astype(np.int32)})
+
+    return find(point)
 
 
 def pick_label(index: Column, labels: Sequence[str]) -> Column:

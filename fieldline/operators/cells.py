@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions import events as ev
 from fieldline.operators.motion import cell_measures
-from fieldline.operators.skew import salted_join
 from fieldline.schema import GROUP, NO_PLAYER, PERIOD
-from fieldline.session import materialise
 
 
 def without_no_player(events: DataFrame) -> DataFrame:
@@ -27,10 +25,10 @@ def cell_counts(events: DataFrame, keys: Sequence[str] = tuple(GROUP)) -> DataFr
 def cell_shares(events: DataFrame) -> DataFrame:
     """Player's events in a cell / all events in the cell in that period.
 
-    NULL where nobody had an event in the cell. Period totals are summed from
-    the player counts, which are written out, so the events are read once.
+    NULL where nobody had an event in the cell. A window adds up the period's
+    players, who are few, after the events have been counted.
     """
-    counts = materialise(cell_counts(without_no_player(events)), "cell-counts")
-    totals = counts.groupBy(*PERIOD).agg(*[F.expr(f"sum(`{c}`) AS all_{c}") for c in fixed.CELLS])
-    both = salted_join(counts, totals, PERIOD, spread=["playerId"])
-    return both.selectExpr(*GROUP, *[f"try_divide(`{c}`, all_{c}) AS `{c}`" for c in fixed.CELLS])
+    period = Window.partitionBy(*PERIOD)
+    return cell_counts(without_no_player(events)).select(
+        *GROUP, *[F.try_divide(F.col(c), F.sum(c).over(period)).alias(c) for c in fixed.CELLS]
+    )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions import events as ev
-from fieldline.operators.skew import salted_join
 from fieldline.schema import CELL
 from fieldline.session import materialise
 
@@ -103,12 +102,12 @@ def grid_frequencies(events: DataFrame) -> DataFrame:
     )
 
 
-def grid_matrix(grid: DataFrame, metric: str) -> DataFrame:
-    """Team's grid with one row per cell y and one column per cell x."""
-    columns = [
-        F.avg(F.when(F.col(CELL[0]) == i, F.col(metric))).alias(f"x{i}") for i in range(fixed.GRID_SIDE)
-    ]
-    return grid.groupBy("nome_squadra", CELL[1]).agg(*columns)
+def grid_matrix(grid: DataFrame, metrics: Sequence[str] = tuple(fixed.GRID_METRICS)) -> DataFrame:
+    """Team's grids with one row per metric (numbered from 1) and cell y, and one column per cell x."""
+    entries = [F.struct(F.lit(i + 1).alias("tipo_griglia"), F.col(m).alias("_value")) for i, m in enumerate(metrics)]
+    long = grid.select("nome_squadra", *CELL, F.inline(F.array(*entries)))
+    columns = [F.avg(F.when(F.col(CELL[0]) == i, F.col("_value"))).alias(f"x{i}") for i in range(fixed.GRID_SIDE)]
+    return long.groupBy("nome_squadra", "tipo_griglia", CELL[1]).agg(*columns)
 
 
 def _side_by_side(grid: DataFrame, team_a, team_b) -> DataFrame:
@@ -160,14 +159,33 @@ def grid_dominance(grid: DataFrame, team_a, team_b, tie: str | None = None) -> D
     )
 
 
-def match_grid_frequencies(events: DataFrame) -> DataFrame:
+def side_activity(events: DataFrame, home: DataFrame) -> DataFrame:
+    """``cell_activity`` per match and team with sides normalised.
+
+    Events are counted by their cell as recorded and as turned round; which of
+    the two holds is settled for the counts, so the log does not meet the
+    matches.
+    """
+    turned = {f"_{c}": ev.grid_cell(F.lit(100.0) - F.col(axis)) for c, axis in zip(CELL, ("x", "y"))}
+    counts = cell_activity(events.withColumns(turned), ["matchId", "matchPeriod", *TEAM_CELL, *turned])
+    joined = counts.join(home, "matchId", "left")
+    cell = {
+        c: ev.attack_left_to_right(F.col(c), F.col("teamId"), F.col("home_team"), F.col("matchPeriod"), F.col(f"_{c}"))
+        for c in CELL
+    }
+    return joined.withColumns(cell).groupBy("matchId", *TEAM_CELL).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def match_grid_frequencies(events: DataFrame, home: DataFrame | None = None) -> DataFrame:
     """Season cell counts of a team over its totals in each match.
 
     One row per match, team and cell the team used in the season. Cells of a
     team (25 at most) travel as one array to the team's matches. The counts per
-    match and cell are written out, so the events are read once.
+    match and cell are written out, so the events are read once. With ``home``
+    (matchId, home_team) sides are normalised.
     """
-    per_match = materialise(cell_activity(events, ["matchId", *TEAM_CELL]), "match-cells")
+    counts = cell_activity(events, ["matchId", *TEAM_CELL]) if home is None else side_activity(events, home)
+    per_match = materialise(counts, "match-cells")
     sums = [F.sum(c).alias(c) for c in COUNTS[:3]]
     totals = per_match.groupBy("matchId", "teamId").agg(*sums)
     season = (
@@ -176,7 +194,7 @@ def match_grid_frequencies(events: DataFrame) -> DataFrame:
         .groupBy("teamId")
         .agg(F.collect_list(F.struct(*CELL, *[f"cell_{c}" for c in COUNTS[:3]])).alias("cells"))
     )
-    rows = salted_join(totals, season, ["teamId"], spread=["matchId"]).select("*", F.inline("cells"))
+    rows = totals.join(season, "teamId").select("*", F.inline("cells"))
     shares = [
         F.coalesce(F.try_divide(F.col(f"cell_{c}"), F.col(c)), F.lit(0.0)).alias(name)
         for c, name in zip(COUNTS[:3], ["events_freq", "acc_pass_freq", "shot_freq"])
@@ -190,16 +208,16 @@ def home_teams(matches: DataFrame, teams: DataFrame) -> DataFrame:
         F.col("wyId").alias("matchId"), ev.home_name(F.col("label")).alias("name")
     )
     ids = teams.select("name", F.col("wyId").alias("home_team"))
-    return salted_join(named, ids, ["name"], spread=["matchId"], how="left").select("matchId", "home_team")
+    return named.join(ids, "name", "left").select("matchId", "home_team")
 
 
 def normalise_sides(events: DataFrame, home: DataFrame) -> DataFrame:
     """Turn coordinates so that sides agree over halves, and redo the cells.
 
-    The join with the matches is salted by event, so a match with very many
-    events is spread out.
+    The matches, one row each, are broadcast where their size allows it, else
+    adaptive execution splits a match with very many events.
     """
-    joined = salted_join(events, home, ["matchId"], spread=["id"], how="left")
+    joined = events.join(home, "matchId", "left")
     turned = {
         c: ev.attack_left_to_right(F.col(c), F.col("teamId"), F.col("home_team"), F.col("matchPeriod"))
         for c in ("x", "y")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions import events as ev
-from fieldline.operators.skew import HOT_ROWS, MAX_HOT, split_hot
+from fieldline.operators.skew import HOT_ROWS, split_hot
 from fieldline.schema import GROUP
 
 ORDER = ["eventSec", "id"]
@@ -59,28 +59,25 @@ def previous_event(
     events: DataFrame,
     keys: Sequence[str] = tuple(GROUP),
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
-    ranges: int | None = None,
 ) -> DataFrame:
     """Each event beside the time of the one before it in its group."""
     order = Window.partitionBy(*keys).orderBy(*ORDER)
-    ordinary, hot = split_hot(events, keys, hot_rows, max_hot)
+    ordinary, hot, ranges, _ = split_hot(events, keys, hot_rows)
     plain = ordinary.withColumn("previous_sec", F.lag("eventSec").over(order))
     return plain if hot is None else plain.unionByName(_previous_in_hot(hot, keys, ranges))
 
 
-def _in_ranges(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+def _in_ranges(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
     """Rows in ranges of (group, event order), numbered in ``_piece``.
 
     Range bounds follow the data down to the event id, so even a group with
     one single time is divided.
     """
     order = [*keys, *ORDER]
-    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
-    return ranged.withColumn("_piece", F.spark_partition_id())
+    return rows.repartitionByRange(ranges, *order).withColumn("_piece", F.spark_partition_id())
 
 
-def _previous_in_hot(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+def _previous_in_hot(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
     """Look back within each range; the first row of a range takes the last
     time of the range before it. Those first rows are one per range."""
     inner = Window.partitionBy(*keys, "_piece")
@@ -144,12 +141,12 @@ def _ordinary_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _with_rate(measures)
 
 
-def _hot_spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _hot_spread(rows: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
     centroids = rows.groupBy(*keys).agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-    return rows.join(F.broadcast(centroids), list(keys)).groupBy(*keys).agg(_spread_measure())
+    return rows.join(F.broadcast(centroids) if few else centroids, list(keys)).groupBy(*keys).agg(_spread_measure())
 
 
-def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
     """Path length of hot groups over ranges of their event order.
 
     Each range adds its own steps; the step from one range to the next is
@@ -178,19 +175,17 @@ def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataF
     )
 
 
-def _hot_groups(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+def _hot_groups(rows: DataFrame, keys: Sequence[str], ranges: int, few: bool) -> DataFrame:
     ids = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("id").alias("_ids"))
     plain = _with_rate(rows.groupBy(*keys).agg(*_plain_measures()).join(ids, list(keys)))
-    return plain.join(_hot_spread(rows, keys), list(keys)).join(_hot_path(rows, keys, ranges), list(keys))
+    return plain.join(_hot_spread(rows, keys, few), list(keys)).join(_hot_path(rows, keys, ranges), list(keys))
 
 
 def group_measures(
     events: DataFrame,
     keys: Sequence[str] = tuple(GROUP),
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
     sizes: DataFrame | None = None,
-    ranges: int | None = None,
 ) -> DataFrame:
     """Centroid, spread, pace, angles, path and cells, one row per group.
 
@@ -199,9 +194,9 @@ def group_measures(
     rows = events.select(
         *keys, *ORDER, "x", "y", "angle", "numero_cella_x", "numero_cella_y"
     )
-    ordinary, hot = split_hot(rows, keys, hot_rows, max_hot, sizes)
+    ordinary, hot, ranges, few = split_hot(rows, keys, hot_rows, sizes)
     measures = _ordinary_groups(ordinary, keys)
-    return measures if hot is None else measures.unionByName(_hot_groups(hot, keys, ranges))
+    return measures if hot is None else measures.unionByName(_hot_groups(hot, keys, ranges, few))
 
 
 def position_dispersion(events: DataFrame, keys: Sequence[str] = tuple(GROUP), **skew) -> DataFrame:

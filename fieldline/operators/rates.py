@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions import events as ev
-from fieldline.operators.skew import salted_join
 from fieldline.schema import GROUP, TEAM_PERIOD, EventSpec
 from fieldline.session import materialise
 
@@ -40,15 +39,14 @@ def player_counts(events: DataFrame, specs: Sequence[EventSpec]) -> DataFrame:
 def with_team_totals(counts: DataFrame, specs: Sequence[EventSpec]) -> DataFrame:
     """Player counts of a match period beside the totals of the team."""
     totals = counts.groupBy(*TEAM_PERIOD).agg(*[F.expr(f"sum({s.count_column}) AS team_{s.name}") for s in specs])
-    return salted_join(counts, totals, TEAM_PERIOD, spread=["playerId"])
+    return counts.join(totals, TEAM_PERIOD)
 
 
 def share_of_team(events: DataFrame, spec: EventSpec) -> DataFrame:
     """Player's events of a kind / the team's, per match and period."""
-    counts = player_counts(events.filter(ev.matches_spec(spec)), [spec])
-    return with_team_totals(counts, [spec]).select(
-        *GROUP, "teamId", (F.col(spec.count_column) / F.col(f"team_{spec.name}")).alias(f"{spec.name}_pct_WRT")
-    )
+    counts = group_counts(events.filter(ev.matches_spec(spec)), [*TEAM_PERIOD, "playerId"], [spec])
+    team = F.sum(spec.count_column).over(Window.partitionBy(*TEAM_PERIOD))  # a team's players: few rows
+    return counts.select(*GROUP, "teamId", (F.col(spec.count_column) / team).alias(f"{spec.name}_pct_WRT"))
 
 
 def share_of_player(events: DataFrame, spec: EventSpec) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from threading import Lock
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions.events import role_code
-from fieldline.functions.vectors import nearest, pick_label
+from fieldline.functions.vectors import distances, nearest, pick_label
 from fieldline.operators.scaling import impute, keep_top_cells
-from fieldline.operators.skew import salted_join
+from fieldline.session import discard, materialise
 
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
@@ -52,14 +54,17 @@ def with_roles(features: DataFrame, roles: DataFrame) -> DataFrame:
     Players without any event stay, with their own id and no match.
     """
     roles = roles.select(F.col("wyId").alias("playerId"), "role")
-    active = salted_join(features, roles, ["playerId"], spread=["matchId", "matchPeriod"], how="left")
+    active = features.join(roles, "playerId", "left")
     idle = roles.join(features.select("playerId").distinct(), "playerId", "left_anti")
     return active.unionByName(idle, allowMissingColumns=True)
 
 
 def filled_table(features: DataFrame, roles: DataFrame) -> DataFrame:
-    """Feature rows with roles and gaps filled over all roles together."""
-    return impute(with_roles(features, roles), keep_null=["matchId", "playerId"])
+    """Feature rows with roles and gaps filled over all roles together.
+
+    Stored before the means are taken, so that they are read from the table.
+    """
+    return impute(materialise(with_roles(features, roles), "with-roles"), keep_null=["matchId", "playerId"])
 
 
 def role_table(features: DataFrame, roles: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def example_groups(spark: SparkSession, groups: Sequence[Sequence[int]]) -> Data
 
 def seed_centroids(points: DataFrame, examples: DataFrame, size: int) -> DataFrame:
     """Mean component vector of the rows of each group of known players."""
-    known = salted_join(points, examples, ["playerId"], spread=["components"])
+    known = points.join(examples, "playerId")
     return group_means(known, "seed_group", size)
 
 
@@ -149,6 +154,31 @@ def _tolerance(points: DataFrame, point: str, size: int) -> float:
     return TOLERANCE * (points.agg(F.expr(total)).first()[0] or 0.0) / size
 
 
+def _cluster_sums(points: DataFrame, centres: Centres) -> dict[int, list[float]]:
+    """Mean of the points nearest to each centre.
+
+    A task adds up its batches with numpy and sends k x (d + 1) numbers; Spark
+    sums them, and as many reach the driver.
+    """
+    table = np.array(centres)
+    k, d = table.shape
+
+    def run(batches):
+        total = np.zeros((k, d + 1))
+        for batch in batches:
+            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, d))
+            near = distances(x, table).argmin(axis=1)
+            hot = (near[:, None] == np.arange(k)).astype(float)
+            total += hot.T @ np.hstack([x, np.ones((len(x), 1))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["at", "x"])
+
+    sums = np.zeros(k * (d + 1))
+    for row in points.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        sums[row["at"]] = row["x"]
+    sums = sums.reshape(k, d + 1)
+    return {i: (sums[i, :d] / sums[i, d]).tolist() for i in range(k) if sums[i, d]}
+
+
 def seeded_kmeans(
     points: DataFrame,
     centres: Centres,
@@ -156,26 +186,26 @@ def seeded_kmeans(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float | None = None,
 ) -> Centres:
-    """k-means from given first centres.
+    """k-means from given first centres, to convergence.
 
-    Each round is one aggregate that returns k mean vectors; only those reach
-    the driver. A centre without points stays where it is. Ends when the
-    centres move less than ``tolerance`` (by default a small part of the mean
-    variance of the points).
+    The points are stored once and each round reads them in Arrow batches (see
+    ``_cluster_sums``). A centre without points stays where it is. Ends when
+    the centres move less than ``tolerance`` (by default a small part of the
+    mean variance of the points); warns if that does not happen within
+    ``max_iterations`` rounds.
     """
     size = len(centres[0])
-    cached = points.select(F.col(point).alias("components")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        limit = _tolerance(cached, "components", size) if tolerance is None else tolerance
-        for _ in range(max_iterations):
-            assigned = cached.withColumn("cluster", nearest(F.col("components"), centres)["i"])
-            means = {r["cluster"]: r["centre"] for r in group_means(assigned, "cluster", size).collect()}
-            moved = [list(means.get(i, c)) for i, c in enumerate(centres)]
-            shift, centres = _shift(centres, moved), moved
-            if shift <= limit:
-                break
-    finally:
-        cached.unpersist()
+    stored = materialise(points.select(F.col(point).alias("components")), "kmeans-points")
+    limit = _tolerance(stored, "components", size) if tolerance is None else tolerance
+    for _ in range(max_iterations):
+        means = _cluster_sums(stored, centres)
+        moved = [means.get(i, list(c)) for i, c in enumerate(centres)]
+        shift, centres = _shift(centres, moved), moved
+        if shift <= limit:
+            break
+    else:
+        warnings.warn(f"k-means still moves after {max_iterations} rounds (by {shift:g}, tolerance {limit:g})", stacklevel=2)
+    discard(stored)
     return centres
 
 
@@ -254,8 +284,10 @@ def train_role(
     labels = list(labels or fixed.ROLE_CODES[role])
     k = k or fixed.ROLE_COMPONENTS[role]
     rows = table.filter(F.col("role") == role).select("playerId", *columns)
+    *before, last = principal_components(columns, k, scaled_columns(role)).getStages()
+    prepared = Pipeline(stages=before).fit(rows)
     with _DECOMPOSITION:
-        projection = principal_components(columns, k, scaled_columns(role)).fit(rows)
+        projection = PipelineModel(stages=[*prepared.stages, last.fit(prepared.transform(rows))])
     points = transform_components(projection, rows).select("playerId", "components")
     centres = seed_centres(points, examples, len(labels), k)
     return RoleModel(role, projection, seeded_kmeans(points, centres, max_iterations=max_iterations), labels)

@@ -16,15 +16,28 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def impute(df: DataFrame, mean_of: Sequence[str] = tuple(fixed.MEAN_FILLED), keep_null: Sequence[str] = ()) -> DataFrame:
+def impute(
+    df: DataFrame,
+    mean_of: Sequence[str] = tuple(fixed.MEAN_FILLED),
+    keep_null: Sequence[str] = (),
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Column mean for ``mean_of``, 0 for every other number.
 
-    The means come from one scalar subquery over the whole table.
+    The means come from one scalar subquery over the whole table, or from the
+    row's own group if ``by`` is given; a group without any value gets 0. Give
+    a stored table: it is read once for the means and once for the rows.
     """
-    means = df.agg(F.expr("struct(" + ", ".join(f"avg(`{c}`) AS `{c}`" for c in mean_of) + ") AS m")).scalar()
-    zeros = [c for c in numeric_columns(df) if c not in {*mean_of, *keep_null}]
-    filled = {c: F.expr(f"coalesce(`{c}`, _means.`{c}`)") for c in mean_of}
-    return df.withColumn("_means", means).withColumns(filled).drop("_means").na.fill(0, zeros)
+    zeros = [c for c in numeric_columns(df) if c not in {*mean_of, *keep_null, *by}]
+    means = F.expr("struct(" + ", ".join(f"avg(`{c}`) AS `{c}`" for c in mean_of) + ") AS _means")
+    if by:
+        groups = df.groupBy(*by).agg(means).select(F.struct(*by).alias("_group"), "_means")
+        beside = df.join(groups, F.struct(*[df[c] for c in by]).eqNullSafe(groups["_group"]), "left").drop("_group")
+    else:
+        beside = df.withColumn("_means", df.agg(means).scalar())
+    last = "0D" if by else "NULL"
+    filled = {c: F.expr(f"coalesce(`{c}`, _means.`{c}`, {last})") for c in mean_of}
+    return beside.withColumns(filled).drop("_means").na.fill(0, zeros)
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -21,7 +21,8 @@ def matched_pairs(
     """Pair the ``left`` row with the ``right`` row of ``side`` that share ``by``.
 
     ``by`` and ``side`` together identify a row, so each key gives one pair and
-    the pairs are found by one grouping, without a join.
+    the pairs are found by one grouping, without a join. A second row on either
+    side of a key is an error, not a choice between the two.
     """
     vector = F.expr("array(" + ", ".join(f"CAST(`{n}` AS DOUBLE)" for n in names) + ")")
 
@@ -31,8 +32,10 @@ def matched_pairs(
     return (
         features.filter(F.col(side).isin(left, right))
         .groupBy(*by)
-        .agg(of(left).alias("a"), of(right).alias("b"))
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .agg(of(left).alias("a"), of(right).alias("b"), *[F.count_if(F.col(side) == v).alias(n) for v, n in ((left, "_n"), (right, "_m"))])
+        .filter((F.col("_n") > 0) & (F.col("_m") > 0))
+        .filter(F.when((F.col("_n") == 1) & (F.col("_m") == 1), True).otherwise(F.raise_error(F.lit("two rows for one side of a pair"))))
+        .drop("_n", "_m")
     )
 
 
@@ -90,7 +93,7 @@ def dropped_features(
 ) -> DataFrame:
     """Names removed from each pair, in order of removal, at most ``max_drops``.
 
-    A row-wise step on Arrow batches: all rounds run where the pair is, with no
+    A missing number counts as 0, as in ``impute``. A row-wise step on Arrow batches: all rounds run where the pair is, with no
     shuffle between them. (Nested array functions can say the same, but took
     over ten times as long per pair.)
     """
@@ -100,16 +103,14 @@ def dropped_features(
     def remove(a: pd.Series, b: pd.Series) -> pd.Series:
         if a.empty:
             return pd.Series([], dtype=object)
-        drops = greedy_drops(np.stack(a.to_numpy()), np.stack(b.to_numpy()), max_drops)
+        sides = [np.nan_to_num(np.stack([np.asarray(v, dtype=float) for v in x]), nan=0.0) for x in (a, b)]
+        drops = greedy_drops(*sides, max_drops)
         return pd.Series([[labels[i] for i in row] for row in drops], dtype=object)
 
     return pairs.withColumn("dropped", remove("a", "b")).drop("a", "b")
 
 
-def drop_counts(dropped: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """How many pairs removed each feature."""
-    return (
-        dropped.select(*keys, F.explode("dropped").alias("feature"))
-        .groupBy(*keys, "feature")
-        .agg(F.count("*").alias("n"))
-    )
+def drop_counts(dropped: DataFrame, keys: Sequence[str] = (), places: bool = False) -> DataFrame:
+    """How many pairs removed each feature, at each ``place`` in the order of removal if asked."""
+    removed = dropped.select(*keys, F.posexplode("dropped").alias("place", "feature"))
+    return removed.groupBy(*keys, *(["place"] if places else []), "feature").agg(F.count("*").alias("n"))

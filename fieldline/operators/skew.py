@@ -1,69 +1,58 @@
-"""Ways to keep a key that holds much of the data from ending in one task."""
+"""Ways to keep a key that holds much of the data from ending in one task.
+
+Joins with a table of one row per key are plain joins: adaptive execution
+splits a hot key's rows by their measured size and leaves the rest alone. Only
+windows, which need a group's rows in one place, are treated here.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldline.functions.events import all_present
 
-SALTS = 16
-
 # A key with more rows than this does not go to a single task.
 HOT_ROWS = 2_000_000
-# At most this many keys are treated one by one (and broadcast: a few MB). Keys
-# are taken by size, so any key left out holds under 1/MAX_HOT of all rows.
-MAX_HOT = 100_000
+# Lists of hot keys up to this length (a few MB) are broadcast; longer ones are joined by their keys.
+BROADCAST_KEYS = 50_000
 
 
-def salted_join(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join many rows per key to one row per key, splitting each key.
+class Split(NamedTuple):
+    """Rows of ordinary keys, and rows of hot keys or None; together all rows.
 
-    ``spread`` names columns of ``rows`` that differ within a key. ``per_key``
-    is repeated once per salt, so a key of ``rows`` is dealt over ``salts``
-    tasks. When ``per_key`` is small, Spark still broadcasts it by its size.
+    ``ranges`` is the number of pieces of at most HOT_ROWS rows (on average)
+    that the hot rows are to be cut into, ``few`` whether one row per hot key
+    may be broadcast.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+    ordinary: DataFrame
+    hot: DataFrame | None
+    ranges: int
+    few: bool
 
 
 def key_sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter(all_present(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
 
 
-def hot_keys(sizes: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """The keys too large for one task, largest first, at most ``max_hot``."""
-    return sizes.filter(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(max_hot).select(*keys)
-
-
-def split_hot(
-    rows: DataFrame,
-    keys: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
-    sizes: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None); together all rows.
+def split_hot(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> Split:
+    """Take out every key with more than ``hot_rows`` rows, however many there are.
 
-    The key sizes are looked at first (one number comes back), so that without
-    a hot key the plan has no second part. The list of hot keys is bounded by
-    ``max_hot`` and therefore broadcast.
+    The number of hot keys and of their rows is asked for first (one row comes
+    back): it settles how many ranges the rows need, and without a hot key the
+    plan has no second part.
     """
     present = rows.filter(all_present(keys))
     sizes = key_sizes(rows, keys) if sizes is None else sizes
-    largest = sizes.agg(F.max("_rows")).first()[0]
-    if largest is None or largest <= hot_rows:
-        return present, None
-    hot = F.broadcast(hot_keys(sizes, keys, hot_rows, max_hot))
-    ordinary, large = (present.join(hot, list(keys), how) for how in ("left_anti", "left_semi"))
-    return ordinary.select(*rows.columns), large.select(*rows.columns)
+    hot = sizes.filter(F.col("_rows") > hot_rows)
+    n_keys, n_rows = hot.agg(F.count("*"), F.sum("_rows")).first()
+    if not n_keys:
+        return Split(present, None, 0, True)
+    few = n_keys <= BROADCAST_KEYS
+    listed = F.broadcast(hot.select(*keys)) if few else hot.select(*keys)
+    ordinary, large = (present.join(listed, list(keys), how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+    return Split(ordinary, large, -(-int(n_rows) // hot_rows), few)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldline.functions.events import all_present
-from fieldline.operators.skew import salted_join
 from fieldline.schema import NO_PLAYER
 
 
@@ -36,8 +35,12 @@ def shape(df: DataFrame) -> tuple[int, int]:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of ``a`` that ``b`` does not have."""
-    return a.subtract(b)
+    """Distinct rows of ``a`` that ``b`` does not have.
+
+    Both sides are made distinct before they meet, so that a log on either side
+    is shuffled after its partial aggregate only.
+    """
+    return a.distinct().subtract(b.distinct())
 
 
 def find_player(players: DataFrame, name: str) -> DataFrame:
@@ -90,15 +93,18 @@ def merge_measures(tables: Mapping[str, DataFrame] | Sequence[DataFrame], keys:
 
     Each table has one row per key and its own columns. Stacking them and
     grouping once costs one shuffle instead of one per join. A key that occurs
-    twice in a table is an error.
+    twice in a table is an error, and so is a column name in two tables.
     """
     parts = list(tables.values()) if isinstance(tables, Mapping) else list(tables)
+    names = [c for p in parts for c in p.columns if c not in keys]
+    if twice := sorted({c for c in names if names.count(c) > 1}):
+        raise ValueError(f"columns in more than one table: {twice}")
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [p.withColumn("_source", F.lit(i)) for i, p in enumerate(parts)],
     ).filter(all_present(keys))
     values = [c for c in stacked.columns if c not in {*keys, "_source"}]
-    once = F.count("*") == F.bit_count(F.expr("bit_or(shiftleft(1L, _source))"))
+    once = F.count("*") == F.size(F.collect_set("_source"))
     return (
         stacked.groupBy(*keys)
         .agg(*[F.max(c).alias(c) for c in values], once.alias("_once"))
@@ -112,12 +118,12 @@ def assemble_measures(
 ) -> DataFrame:
     """All measures in one table, without the 'no player' id.
 
-    A full outer join on the player, in two parts so that a player with very
-    many rows can be spread: rows with their season, and season-only players.
+    A full outer join on the player, in two parts so that adaptive execution can
+    split a player with very many rows: rows with their season, and season-only
+    players.
     """
     wide = merge_measures(by_match, match_keys).filter(F.col("playerId") != NO_PLAYER)
     season = merge_measures(by_player, ["playerId"]).filter(F.col("playerId") != NO_PLAYER)
-    spread = [k for k in match_keys if k != "playerId"]
-    played = salted_join(wide, season, ["playerId"], spread, how="left")
+    played = wide.join(season, "playerId", "left")
     only_season = season.join(wide.select("playerId").distinct(), "playerId", "left_anti")
     return played.unionByName(only_season, allowMissingColumns=True)

@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldline import fixed
+from fieldline.functions.events import all_present
 from fieldline.operators import cells, grid, motion, rates, roles, search, tables
-from fieldline.operators.skew import HOT_ROWS, MAX_HOT, salted_join
+from fieldline.operators.skew import HOT_ROWS
 from fieldline.schema import GROUP, TEAM_PERIOD
 from fieldline.session import materialise
 
@@ -52,8 +53,7 @@ def grid_dominance(events: DataFrame, team_a, team_b, tie: str | None = None) ->
 
 def match_grid_frequency(events: DataFrame, home: DataFrame | None = None) -> DataFrame:
     """Grid frequencies per match; sides are normalised if homes are given."""
-    played = cells.without_no_player(events)
-    return grid.match_grid_frequencies(played if home is None else grid.normalise_sides(played, home))
+    return grid.match_grid_frequencies(cells.without_no_player(events), home)
 
 
 def cell_share_features(events: DataFrame) -> DataFrame:
@@ -64,8 +64,6 @@ def player_features(
     events: DataFrame,
     players: DataFrame,
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
-    ranges: int | None = None,
 ) -> DataFrame:
     """The wide feature table: 54 features per match, period and player.
 
@@ -82,9 +80,9 @@ def player_features(
         "player-counts",
     )
     sizes = counts.groupBy(*GROUP).agg(F.sum(rates.ALL_EVENTS).alias("_rows"))
-    measures = motion.group_measures(events, GROUP, hot_rows, max_hot, sizes, ranges)
+    measures = motion.group_measures(events, GROUP, hot_rows, sizes)
     wide = measures.join(rates.shares_from_counts(counts), GROUP, "left")
-    season = salted_join(wide, _player_level(counts, players), ["playerId"], ["matchId", "matchPeriod"], how="left")
+    season = wide.join(_player_level(counts, players), "playerId", "left")
     return season.selectExpr(*GROUP, *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in fixed.FEATURES])
 
 
@@ -104,6 +102,27 @@ def _player_level(counts: DataFrame, players: DataFrame) -> DataFrame:
     return season.join(bodies, "playerId", "left")
 
 
+def match_measures(events: DataFrame) -> list[DataFrame]:
+    """The 18 measures per match and player, one table each: 16 shares, pace, and angles.
+
+    All shares come from one stored count per match, team and player; pace and
+    angles from one aggregate per match and player.
+    """
+    keys = ["matchId", "playerId"]
+    counts = materialise(rates.group_counts(events, ["matchId", "teamId", "playerId"], fixed.SHARE_SPECS), "match-counts")
+    team = Window.partitionBy("matchId", "teamId")
+    out = []
+    for s in fixed.SHARE_SPECS:
+        part, names = F.col(s.count_column), fixed.FOUL_SHARE_NAMES if s.name == "foul" else [s.share_column]
+        whole = F.sum(part).over(team) if s.share_of == "team" else F.col(rates.ALL_EVENTS)
+        own = counts.select(*keys, part.alias("_part"), whole.alias("_whole")).groupBy(*keys).agg(F.sum("_part").alias("_part"), F.sum("_whole").alias("_whole"))
+        out += [own.filter("_part > 0").select(*keys, (F.col("_part") / F.col("_whole")).alias(n)) for n in names]
+    pace = materialise(
+        events.filter(all_present(keys)).groupBy(*keys).agg(motion.event_rate_measure().alias("tempo_medio_tra_eventi"), *motion.angle_measures()), "match-pace"
+    )
+    return [*out, pace.select(*keys, "tempo_medio_tra_eventi"), pace.select(*keys, "angle_mean", "angle_std")]
+
+
 def assemble_measures(by_match: Sequence[DataFrame], by_player: Sequence[DataFrame]) -> DataFrame:
     return tables.assemble_measures(by_match, by_player)
 
@@ -162,17 +181,14 @@ def role_report(
     labels = roles.label_roles(models, table).select("playerId", "label").distinct()
     people = players.select(F.col("wyId").alias("playerId"), "shortName", "currentTeamId")
     clubs = teams.select(F.col("wyId").alias("currentTeamId"), "officialName")
-    named = salted_join(
-        rates.appearances(table).join(people, "playerId", "left"), clubs, ["currentTeamId"], ["playerId"], how="left"
-    )
+    named = rates.appearances(table).join(people, "playerId", "left").join(clubs, "currentTeamId", "left")
     return (
         named.join(labels, "playerId", "left")
         .select(
-            F.col("playerId").alias("id_calciatore"),
-            F.col("shortName").alias("nome_calciatore"),
-            F.col("officialName").alias("nome_squadra"),
-            F.col("label").alias("wyrole"),
-            "numero_presenze",
+            *[
+                F.col(c).alias(name)
+                for c, name in zip(("playerId", "shortName", "officialName", "label", "numero_presenze"), fixed.REPORT_COLUMNS)
+            ]
         )
         .orderBy("id_calciatore")
     )
@@ -185,4 +201,6 @@ def feature_search(pairs: DataFrame) -> DataFrame:
 
 def feature_difference(pairs_a: DataFrame, pairs_b: DataFrame) -> DataFrame:
     """Features removed for some pair of ``a`` and for none of ``b``."""
-    return tables.difference(feature_search(pairs_a).select("feature"), feature_search(pairs_b).select("feature"))
+    return tables.difference(
+        *[search.drop_counts(search.dropped_features(p)).select("feature") for p in (pairs_a, pairs_b)]
+    )

@@ -37,7 +37,7 @@ def expected(rows):
     }
 
 
-HOT = [{}, {"hot_rows": 10}, {"hot_rows": 10, "ranges": 5}, {"hot_rows": 10, "max_hot": 1, "ranges": 3}]
+HOT = [{}, {"hot_rows": 40}, {"hot_rows": 10}, {"hot_rows": 3}]
 
 
 @pytest.mark.parametrize("skew", HOT)
@@ -95,7 +95,7 @@ def test_previous_event(make_events):
 def test_previous_event_of_hot_groups(make_events, same_time):
     events = make_events(*walk(90, 1, same_time), *walk(25, 2, same_time, 4, 500), *walk(3, 3, start=900))
     want = by_key(motion.previous_event(events).select("id", "previous_sec"), "id")
-    for skew in ({"hot_rows": 10, "ranges": 6}, {"hot_rows": 10}, {"hot_rows": 10, "max_hot": 1, "ranges": 4}):
+    for skew in ({"hot_rows": 30}, {"hot_rows": 10}, {"hot_rows": 2}):
         got = motion.previous_event(events, **skew)
         assert got.columns == motion.previous_event(events).columns
         assert by_key(got.select("id", "previous_sec"), "id") == want
@@ -103,12 +103,13 @@ def test_previous_event_of_hot_groups(make_events, same_time):
 
 def test_split_hot_keeps_every_row(make_events):
     events = make_events(*walk(30, 1), *walk(5, 2, start=100), *walk(20, 3, start=200))
-    ordinary, hot = split_hot(events, GROUP, hot_rows=10)
+    ordinary, hot, ranges, few = split_hot(events, GROUP, hot_rows=10)
+    assert ranges == 5 and few  # 50 hot rows in pieces of ten
     assert {r["playerId"] for r in hot.collect()} == {1, 3} and {r["playerId"] for r in ordinary.collect()} == {2}
     assert hot.count() + ordinary.count() == 55
-    _, hot = split_hot(events, GROUP, hot_rows=10, max_hot=1)
-    assert {r["playerId"] for r in hot.collect()} == {1}  # the largest first
-    assert split_hot(events, GROUP)[1] is None
+    pieces = motion._in_ranges(hot, GROUP, ranges).groupBy("_piece").count().collect()
+    assert 5 <= len(pieces) <= ranges + 1 and max(r["count"] for r in pieces) <= 20
+    assert split_hot(events, GROUP).hot is None
 
 
 def test_cell_shares(make_events):
@@ -130,7 +131,7 @@ def test_player_features_columns_and_players(spark, make_events):
         event(91, player=7, team=None),
     )
     players = spark.createDataFrame([(1, 180.0, 75.0)], "wyId long, height double, weight double")
-    for skew in ({}, {"hot_rows": 5, "ranges": 3}):
+    for skew in ({}, {"hot_rows": 5}):
         wide = jobs.player_features(events, players, **skew)
         assert wide.columns == GROUP + fixed.FEATURES and len(fixed.FEATURES) == 54
         got = by_key(wide, *GROUP)

@@ -81,3 +81,12 @@ def test_counts_and_difference(spark):
     same = spark.createDataFrame([(b, b)], "a array<double>, b array<double>")
     assert [tuple(r) for r in jobs.feature_search(pairs).collect()] == [("foul_pct_WRT_x", 1)]
     assert [r[0] for r in jobs.feature_difference(pairs, same).collect()] == ["foul_pct_WRT_x"]
+
+
+def test_pairs_refuse_a_second_row_and_read_gaps_as_zero(spark):
+    names = ["f", "g", "h"]
+    rows = spark.createDataFrame([(1, "a", 1.0, None, 2.0), (1, "b", 1.0, 3.0, 2.0)], "k long, s string, f double, g double, h double")
+    pairs = search.matched_pairs(rows, ["k"], "s", "a", "b", names)
+    assert search.dropped_features(pairs, names).collect()[0]["dropped"] == ["g"]
+    with pytest.raises(Exception, match="two rows"):
+        search.matched_pairs(rows.union(rows), ["k"], "s", "a", "b", names).collect()

@@ -4,7 +4,6 @@ from conftest import by_key
 
 from fieldline import fixed
 from fieldline.operators import scaling, tables
-from fieldline.operators.skew import salted_join
 
 
 def test_value_counts_and_distinct(spark):
@@ -65,13 +64,24 @@ def test_assemble_keeps_players_of_either_side(spark):
     assert got == {1: {"matchId": 1, "a": 0.5, "p": 2.0}, 9: {"matchId": None, "a": None, "p": 3.0}}
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("salts", [1, 7])
-def test_salted_join_equals_the_join(spark, how, salts):
-    rows = spark.range(200).selectExpr("id", "IF(id % 3 = 0, 1, id % 17) AS k")
-    dim = spark.range(10).selectExpr("id AS k", "id * 2 AS v")
-    got = sorted(salted_join(rows, dim, ["k"], ["id"], how, salts).select("id", "k", "v").collect(), key=str)
-    assert got == sorted(rows.join(dim, "k", how).select("id", "k", "v").collect(), key=str)
+def test_merging_refuses_equal_names_and_repeated_keys(spark):
+    a = spark.createDataFrame([(1, 1, 1.0)], "matchId long, playerId long, a double")
+    with pytest.raises(ValueError, match="more than one table"):
+        tables.merge_measures([a, a], ["matchId", "playerId"])
+    many = [a.select("matchId", "playerId", a["a"].alias(f"m{i}")) for i in range(70)]
+    assert len(tables.merge_measures(many, ["matchId", "playerId"]).collect()) == 1
+    with pytest.raises(Exception, match="occurs twice"):
+        tables.merge_measures([a.union(a)], ["matchId", "playerId"]).collect()
+
+
+def test_impute_by_group(spark):
+    df = spark.createDataFrame(
+        [(1, 10, 2.0, None), (1, 11, None, 5.0), (2, 12, None, None), (None, 13, 4.0, 1.0), (None, 14, None, 2.0)],
+        "playerId long, matchId long, angle_mean double, gol double",
+    )
+    rows = {r["matchId"]: r for r in scaling.impute(df, mean_of=["angle_mean"], keep_null=["matchId"], by=["playerId"]).collect()}
+    assert [rows[m]["angle_mean"] for m in (10, 11, 12, 13, 14)] == [2.0, 2.0, 0.0, 4.0, 4.0]
+    assert [rows[m]["gol"] for m in (10, 11, 12, 13, 14)] == [0.0, 5.0, 0.0, 1.0, 2.0] and rows[13]["playerId"] is None
 
 
 def test_impute_means_and_zeros(spark):

@@ -7,8 +7,8 @@ wherever they stand. Consecutive windows with one trigger form a phrase; its
 content (the phrase and the parse that follows, to the depth of LENGTH bytes)
 is a dictionary word, kept as hashes of 128 bits. A word that occurs twice
 settles all its windows at once, without touching their bytes. What remains are
-phrases at the edges of repeats: trigger and the REACH bytes after it occur
-elsewhere with other surroundings. Only their windows are compared one by one,
+phrases at the edges of repeats: trigger and the LENGTH - REACH bytes after it
+occur elsewhere with other surroundings. Only their windows are compared one by one,
 as suffixes of the dictionary in order of their first LENGTH bytes, a window
 being equal to its neighbour or alone.
 
@@ -38,7 +38,8 @@ from fieldline.llm.batches import gathered, map_batches, texts_of
 from fieldline.session import discard, materialise
 
 LENGTH = 400
-REACH = 200
+# Longer: fewer phrases, but fewer bytes after a trigger (LENGTH - REACH) that all its windows share.
+REACH = 256
 GRAM = 16
 CHUNK_BYTES = 32 << 20
 
@@ -86,7 +87,7 @@ def words_of(text: bytes, length: int = LENGTH, reach: int = REACH) -> tuple[np.
     """(first, last, context, word) of each phrase: hashes of the bytes after the trigger, and of all bytes of its windows."""
     first, last, trigger = parse(text, length, reach)
     view, digest = memoryview(text), xxhash.xxh3_64_intdigest
-    context = np.array([digest(view[t : t + reach]) for t in trigger.tolist()], dtype=np.uint64)
+    context = np.array([digest(view[t : t + length - reach]) for t in trigger.tolist()], dtype=np.uint64)
     word = np.array([digest(view[a : b + length], 7) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64)
     return first, last, context, word
 

@@ -1,4 +1,4 @@
-"""The registered queries of this package and their SQL."""
+"""The registered queries of this package; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -83,7 +83,3 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op6_lm_score, op7_repeats, op8_secrets, op9_mix, op10_langid]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -346,7 +346,7 @@ def _kmeans(rounds: int) -> str:
     for r in range(rounds + 1):
         parts.append(
             f"""a{r} AS (
-  SELECT vec_id, arg_min(c, {{'dist': dist, 'c': c}}) AS c, min(dist) AS dist
+  SELECT vec_id, arg_min(c, {{'dist': round(dist, 9), 'c': c}}) AS c, min(dist) AS dist
   FROM (SELECT vec_id, c, sum((val - m) ** 2) AS dist FROM lng JOIN c{r} USING (d) GROUP BY vec_id, c)
   GROUP BY vec_id
 )"""
@@ -363,6 +363,64 @@ def _kmeans(rounds: int) -> str:
 KMEANS_ROUNDS = 40
 
 
+# --- role models with all components ---------------------------------------------
+# A full projection turns the scaled columns without changing a distance, so the
+# models can be had from the columns themselves.
+ROLE_ROUNDS = 60
+
+
+def _role_model(role: str) -> list[str]:
+    """Distances of the role's and of unknown rows to the final centres, in ``near_<role>`` (rid, c, dist)."""
+    r, scaled = role.lower(), fixed.SCALED_DF if role == "DF" else fixed.SCALED_FW_MD
+    bounds = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in scaled)
+    values = ", ".join(
+        f'CASE WHEN "hi_{c}" > "lo_{c}" THEN ("{c}" - "lo_{c}") / ("hi_{c}" - "lo_{c}") ELSE 0 END' if c in scaled else f'CAST("{c}" AS DOUBLE)'
+        for c in fixed.FEATURES
+    )
+    parts = [
+        f"b_{r} AS (SELECT {bounds} FROM rws WHERE role = '{role}')",
+        f"v_{r} AS (SELECT rid, player, role, [{values}] AS v FROM rws, b_{r} WHERE role = '{role}' OR role IS NULL)",
+        f"l_{r} AS MATERIALIZED (SELECT rid, player, role, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM v_{r})",
+        f"c0_{r} AS MATERIALIZED (SELECT CAST(floor(player / 5) % {len(fixed.ROLE_NAMES[role])} AS INTEGER) AS c, d, avg(val) AS m "
+        f"FROM l_{r} WHERE role = '{role}' GROUP BY ALL)",
+    ]
+    for k in range(ROLE_ROUNDS + 1):
+        only = f"WHERE role = '{role}'" if k < ROLE_ROUNDS else ""
+        parts.append(
+            f"""a{k}_{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, {{'dist': round(dist, 9), 'c': c}}) AS c, min(dist) AS dist
+  FROM (SELECT rid, c, sum((val - m) ** 2) AS dist FROM l_{r} JOIN c{k}_{r} USING (d) {only} GROUP BY rid, c) GROUP BY rid
+)"""
+        )
+        if k < ROLE_ROUNDS:
+            parts.append(
+                f"c{k + 1}_{r} AS MATERIALIZED (SELECT a.c, d, avg(val) AS m FROM l_{r} JOIN a{k}_{r} a USING (rid) GROUP BY a.c, d)"
+            )
+    labels = "[" + ", ".join(f"'{x}'" for x in fixed.ROLE_NAMES[role]) + "]"
+    parts.append(f"near_{r} AS (SELECT rws.*, {labels}[c + 1] AS label, dist FROM a{ROLE_ROUNDS}_{r} JOIN rws USING (rid))")
+    return parts
+
+
+def _roles(body: str, *more: str) -> str:
+    names = [r.lower() for r in fixed.ROLE_NAMES]
+    return _features(
+        body,
+        *TABLE_CTES,
+        *TOP_CELLS,
+        "rws AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM kept)",
+        *[part for role in fixed.ROLE_NAMES for part in _role_model(role)],
+        "costs AS (" + " UNION ALL ".join(f"SELECT '{r.upper()}' AS role, sum(dist) AS cost FROM near_{r} WHERE role IS NULL" for r in names) + ")",
+        "labelled AS ("
+        + " UNION ALL ".join(
+            f"SELECT player, match, role, label FROM near_{r} WHERE role = '{r.upper()}' "
+            f"OR (role IS NULL AND '{r.upper()}' = (SELECT arg_min(role, cost) FROM costs))"
+            for r in names
+        )
+        + ")",
+        *more,
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     tags = ", ".join(
         f"CASE WHEN t{t} THEN '{t}' END" for t in (1801, 101, 301, 302, 1401, 1702, 401, 402, 703)
@@ -604,6 +662,18 @@ UNION ALL SELECT 4, round(sum(c * c), 6) FROM c2
 SELECT DISTINCT CAST(d - 2 AS INTEGER) AS component, true AS uncorrelated
 FROM (SELECT generate_subscripts(embedding, 1) AS d FROM embeddings) WHERE d > 1
 """,
+        # roles
+        "role_clusters_full": _roles("SELECT label, count(*) AS n FROM labelled GROUP BY label"),
+        "unknown_role_full": _roles("SELECT role, round(cost, 6) AS cost FROM costs"),
+        "seed_check_full": _roles(
+            "SELECT player AS \"playerId\", label, count(*) AS n, any_value(name) AS name, ANY_VALUE(pl.role) AS examples_of "
+            "FROM labelled JOIN pl ON pl.wy = labelled.player WHERE pl.role IN ('DF', 'MD', 'FW') GROUP BY player, label"
+        ),
+        "role_report_full": _roles(
+            f"""SELECT {", ".join(f"{c} AS {n}" for c, n in zip(("app.player", "pl.name", "n_name", "label", "n"), fixed.REPORT_COLUMNS))}
+FROM (SELECT player, count(DISTINCT match) AS n FROM kept GROUP BY player) app
+LEFT JOIN pl ON pl.wy = app.player LEFT JOIN nation ON n_nationkey = pl.team LEFT JOIN (SELECT DISTINCT player, label FROM labelled) lab ON lab.player = app.player"""
+        ),
         # search
         "pair_cosine": _features(
             f'SELECT match AS "matchId", player AS "playerId", round({_DOT.format("a", "b")} / '

@@ -264,29 +264,35 @@ def _examples(players: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def _trained(spark, d):
+def _trained(spark, d, full: bool = False):
+    """Models, their table, and the players.
+
+    ``full`` keeps all components and runs to the end: distances are then those
+    of the scaled columns, which SQL can compute as well.
+    """
     people = view.players(spark, d)
     table = jobs.role_input(_stored_features(spark, d), people)
-    return jobs.train_roles(table, _examples(people)), table, people
+    more = {"components": dict.fromkeys(fixed.ROLE_NAMES, len(fixed.FEATURES)), "tolerance": 1e-18} if full else {}
+    return jobs.train_roles(table, _examples(people), **more), table, people
 
 
-def role_clusters(spark, d):
-    models, table, _ = _trained(spark, d)
+def role_clusters(spark, d, full: bool = False):
+    models, table, _ = _trained(spark, d, full)
     return tables.value_counts(jobs.score_roles(models, table), "label")
 
 
-def role_report(spark, d):
-    models, table, people = _trained(spark, d)
+def role_report(spark, d, full: bool = False):
+    models, table, people = _trained(spark, d, full)
     return jobs.role_report(models, table, people, view.teams(spark, d))
 
 
-def unknown_role(spark, d):
-    models, table, _ = _trained(spark, d)
+def unknown_role(spark, d, full: bool = False):
+    models, table, _ = _trained(spark, d, full)
     return roles.role_costs(models, table.filter(F.col("role").isNull()))
 
 
-def seed_check(spark, d):
-    models, table, people = _trained(spark, d)
+def seed_check(spark, d, full: bool = False):
+    models, table, people = _trained(spark, d, full)
     labelled = jobs.score_roles(models, table)
     found, names = None, view.player_names(spark, d)
     for role, examples in _examples(people).items():
@@ -390,9 +396,13 @@ def queries() -> dict[str, Query]:
         "pca_components": pca_components,
         "pca_variance": pca_variance,
         "role_clusters": role_clusters,
+        "role_clusters_full": lambda s, d: role_clusters(s, d, full=True),
         "role_report": role_report,
+        "role_report_full": lambda s, d: role_report(s, d, full=True),
         "unknown_role": unknown_role,
+        "unknown_role_full": lambda s, d: rounded(unknown_role(s, d, full=True)),
         "seed_check": seed_check,
+        "seed_check_full": lambda s, d: seed_check(s, d, full=True),
         "pair_cosine": pair_cosine,
         "dropped_features": dropped_features,
         "feature_search": lambda s, d: jobs.feature_search(_pairs(s, d)),

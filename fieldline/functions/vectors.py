@@ -57,6 +57,11 @@ def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
 
 
+def nearest_index(found: np.ndarray) -> np.ndarray:
+    """Index of the least distance per row, compared to 9 decimals so that noise does not choose; ties take the lower index."""
+    return np.round(found, 9).argmin(axis=1)
+
+
 def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
     """Struct (d, i): squared distance to the nearest centre and its index.
 
@@ -69,7 +74,7 @@ def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
     @F.pandas_udf("struct<d: double, i: int>")
     def find(points: pd.Series) -> pd.DataFrame:
         found = distances(np.stack(points.to_numpy()), table) if len(points) else np.zeros((0, len(table)))
-        return pd.DataFrame({"d": found.min(axis=1), "i": found.argmin(axis=1).astype(np.int32)})
+        return pd.DataFrame({"d": found.min(axis=1), "i": nearest_index(found).astype(np.int32)})
 
     return find(point)
 

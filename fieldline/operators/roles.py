@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions.events import role_code
-from fieldline.functions.vectors import distances, nearest, pick_label
+from fieldline.functions.vectors import distances, nearest, nearest_index, pick_label
 from fieldline.operators.scaling import impute, keep_top_cells
 from fieldline.session import discard, materialise
 
@@ -167,7 +167,7 @@ def _cluster_sums(points: DataFrame, centres: Centres) -> dict[int, list[float]]
         total = np.zeros((k, d + 1))
         for batch in batches:
             x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, d))
-            near = distances(x, table).argmin(axis=1)
+            near = nearest_index(distances(x, table))
             hot = (near[:, None] == np.arange(k)).astype(float)
             total += hot.T @ np.hstack([x, np.ones((len(x), 1))])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["at", "x"])
@@ -279,6 +279,7 @@ def train_role(
     k: int | None = None,
     columns: Sequence[str] = tuple(fixed.FEATURES),
     max_iterations: int = MAX_ITERATIONS,
+    tolerance: float | None = None,
 ) -> RoleModel:
     """Fit one role on the prepared table, starting from its known players."""
     labels = list(labels or fixed.ROLE_CODES[role])
@@ -290,7 +291,7 @@ def train_role(
         projection = PipelineModel(stages=[*prepared.stages, last.fit(prepared.transform(rows))])
     points = transform_components(projection, rows).select("playerId", "components")
     centres = seed_centres(points, examples, len(labels), k)
-    return RoleModel(role, projection, seeded_kmeans(points, centres, max_iterations=max_iterations), labels)
+    return RoleModel(role, projection, seeded_kmeans(points, centres, max_iterations=max_iterations, tolerance=tolerance), labels)
 
 
 def role_costs(models: Mapping[str, RoleModel], rows: DataFrame) -> DataFrame:

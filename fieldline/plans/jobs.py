@@ -150,19 +150,24 @@ def train_roles(
     labels: Mapping[str, Sequence[str]] | None = None,
     overrides: Mapping[str, Sequence[int]] | None = None,
     max_iterations: int = roles.MAX_ITERATIONS,
+    components: Mapping[str, int] | None = None,
+    tolerance: float | None = None,
 ) -> dict[str, roles.RoleModel]:
     """Fit the role models on ``role_input``; a role without rows gets none.
 
-    ``overrides`` adds players to a role in that role's own model. The roles
+    ``overrides`` adds players to a role in that role's own model, ``components``
+    gives other numbers of components than the published ones. The roles
     are independent, so their Spark jobs are submitted side by side.
     """
-    labels, overrides = labels or fixed.ROLE_NAMES, overrides or {}
+    labels, overrides, components = labels or fixed.ROLE_NAMES, overrides or {}, components or {}
 
     def fit(role: str) -> roles.RoleModel | None:
         own = roles.override_role(table, overrides[role], role, "playerId") if role in overrides else table
         if own.filter(F.col("role") == role).isEmpty():
             return None
-        return roles.train_role(own, role, examples[role], labels[role], max_iterations=max_iterations)
+        return roles.train_role(
+            own, role, examples[role], labels[role], components.get(role), max_iterations=max_iterations, tolerance=tolerance
+        )
 
     with ThreadPool(len(examples)) as pool:
         fitted = pool.map(inheritable_thread_target(table.sparkSession)(fit), list(examples))

@@ -31,13 +31,13 @@ END_ID = 2
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
-# Limits of a worker's memory of words it has encoded.
+# Limits of one of the two generations of words that a worker remembers.
 CACHE_WORDS = 400_000
 CACHE_BYTES = 32 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-# Lower-case letters of Latin-1, and the characters that byte-level models write for the bytes 128 to 255.
-_LATIN = re.compile("[a-zß-öø-ÿ]+")
+# Lower-case letters of Latin-1 with ASCII punctuation behind them (no apostrophe, which some words are cut at), and the characters that byte-level models write for the bytes 128 to 255.
+_LATIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _PRINTED = [*range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(b if b in _PRINTED else 289 + [x for x in range(127, 256) if x not in _PRINTED].index(b)) for b in range(128, 256)}
 _ENCODERS: dict[str, Encoder] = {}
@@ -46,11 +46,15 @@ _ENCODERS: dict[str, Encoder] = {}
 class Encoder(dict):
     """Encodes texts word by word and remembers the ids of each word, as bytes.
 
+    When too many words are held they become the old generation, from which a
+    word comes back when it is met again; the generation before it goes.
+
     For tokenizers that drop white space and lower-case: neither a merge nor a
     normalisation reaches across ASCII white space, so the ids of a text are
     those of its words in turn, and A-Z may be lower-cased beforehand. A word of
-    Latin-1 letters, or one such with a full stop or comma, is in normal form
-    and is not split further; it goes to the merge model directly.
+    Latin-1 letters is in normal form and is not split further, and punctuation
+    behind it is a piece of its own: the letters go to the merge model directly,
+    the punctuation is encoded once.
     """
 
     def __init__(self, path: str):
@@ -60,26 +64,36 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
-        self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."} | {"": []}
+        self.tails: dict[str, list[int]] = {"": []}
         self.bytes = 0
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        self.bytes += len(word)
+        if packed := self.old.get(word):
+            self[word] = packed
+            return packed
         text = word.decode()
-        tail = text[-1] if text[-1] in ",." else ""
-        stem = text[:-1] if tail else text
-        if _LATIN.fullmatch(stem):
+        if parts := _LATIN.fullmatch(text):
+            stem, tail = parts.groups()
             if not stem.isascii():
                 stem = stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in self.merge(stem)] + self.tails[tail]
+            ids = [t.id for t in self.merge(stem)] if stem else []
+            if tail:
+                if tail not in self.tails:
+                    if len(self.tails) > CACHE_WORDS:
+                        self.tails = {"": []}
+                    self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                ids += self.tails[tail]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         self[word] = packed = array("i", ids).tobytes()
-        self.bytes += len(word)
         return packed
 
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         if len(self) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.old = dict(self)
             self.clear()
             self.bytes = 0
         end = b"" if end_id is None else array("i", [end_id]).tobytes()

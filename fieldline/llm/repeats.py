@@ -39,7 +39,7 @@ from fieldline.session import discard, materialise
 
 LENGTH = 400
 # Longer: fewer phrases, but fewer bytes after a trigger (LENGTH - REACH) that all its windows share.
-REACH = 256
+REACH = 200
 GRAM = 16
 CHUNK_BYTES = 32 << 20
 
@@ -166,7 +166,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), run, _TEXTS)
 
 
-STEP = 32
+STEP = 64
 _EDGES = T.StructType(
     [
         T.StructField("k1", T.LongType()),
@@ -260,14 +260,16 @@ def _found(texts: DataFrame, windows: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(h1, h2, spans): for each text with any, the intervals of window starts that occur elsewhere. A stored table."""
     phrases = _phrases(docs)
+    # Contexts with more than one word; found first, so that only settled and open phrases are ever stored.
+    words = phrases.filter("held < 3").groupBy("context").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    shared = materialise(words.filter("low != high").select("context"), "repeats-contexts")
     word = Window.partitionBy("context", "word")
     numbered = phrases.withColumn("total", F.sum("held").over(word)).withColumn("nth", F.row_number().over(word.orderBy("h1", "h2", "span")))
-    stored = materialise(numbered.filter("held < 3 or total > 1"), "repeats-phrases")
-    settled = stored.filter("total > 1").select("h1", "h2", "span")
-    words = stored.filter("held < 3 and nth = 1")
-    shared = words.groupBy("context").agg(F.count("*").alias("words")).filter("words > 1").select("context")
-    open_ = words.join(shared, "context").select("h1", "h2", F.struct("span", (F.col("total") == 1).alias("alone")).alias("mark"))
-    wanted = open_.groupBy("h1", "h2").agg(F.collect_set("mark").alias("marks"))
+    settled = numbered.filter("total > 1").select("h1", "h2", "span", F.lit(None).cast("boolean").alias("alone"))
+    open_ = numbered.filter("held < 3 and nth = 1").join(shared, "context").select("h1", "h2", "span", (F.col("total") == 1).alias("alone"))
+    stored = materialise(settled.unionByName(open_), "repeats-phrases")
+    settled = stored.filter("alone is null").select("h1", "h2", "span")
+    wanted = stored.filter("alone is not null").groupBy("h1", "h2").agg(F.collect_set(F.struct("span", "alone")).alias("marks"))
     edges = materialise(_edges(_packed(docs), wanted), "repeats-edges")
     keys = edges.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
     single = edges.join(keys, ["k1", "k2"]).select("k1", "k2", "h1", "h2", "alone", "ends", F.posexplode("hashes").alias("back", "hash"))
@@ -278,7 +280,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     more = places.filter("alone").join(twice, window).select("h1", "h2", F.shiftleft("at", 32).bitwiseOR(F.col("at")).alias("span"))
     found = settled.unionByName(more).groupBy("h1", "h2").agg(F.collect_set("span").alias("spans"))
     out = materialise(found, "repeats-windows")
-    discard(stored, edges)
+    discard(shared, stored, edges)
     return out
 
 

@@ -25,23 +25,27 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType, layout
     """JSON with a given schema.
 
     ``layout='array'`` reads files that hold one JSON array each; such a file
-    cannot be split, so large logs should come as ``'lines'`` or parquet.
+    cannot be split, which suits the small dimension files. ``'lines'`` reads
+    one object per line and fails on anything else, instead of giving empty rows.
     """
     if layout not in ("array", "lines"):
         raise ValueError("layout is 'array' or 'lines'")
-    return spark.read.schema(schema).option("multiLine", layout == "array").json(path)
+    read = spark.read.schema(schema).option("multiLine", layout == "array")
+    return (read.option("mode", "FAILFAST") if layout == "lines" else read).json(path)
 
 
 def read_events(
     spark: SparkSession,
     path: str,
     fmt: str = "json",
-    layout: str = "array",
+    layout: str = "lines",
     team_type: T.DataType | None = None,
     match_id: int | None = None,
 ) -> DataFrame:
     """Event log in the model's shape, from JSON or parquet.
 
+    A log is read in the splittable layout unless ``layout='array'`` says that
+    each file is one JSON array (one task per file).
     ``match_id`` is for files of a single match, which carry no match column.
     """
     schema = event_schema(team_type or T.LongType())

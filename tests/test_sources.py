@@ -18,7 +18,7 @@ RAW = {
 def test_single_match_json_with_team_names(spark, tmp_path):
     path = tmp_path / "cup.json"
     path.write_text(json.dumps([RAW, {**RAW, "id": 8, "subEventId": 12}]))
-    got = by_key(readers.read_events(spark, str(path), team_type=T.StringType(), match_id=1), "id")
+    got = by_key(readers.read_events(spark, str(path), layout="array", team_type=T.StringType(), match_id=1), "id")
     assert got[7]["teamId"] == "France" and got[7]["matchId"] == 1 and got[7]["tags"] == [1801]
     assert got[7]["subEventId"] == -1 and got[8]["subEventId"] == 12
     assert (got[7]["x"], got[7]["y"], got[7]["x_end"]) == (90.0, 10.0, 80.0)
@@ -28,7 +28,7 @@ def test_json_lines_and_parquet_events(spark, tmp_path):
     rows = [{**RAW, "teamId": 4, "matchId": 2, "id": i} for i in range(3)]
     lines = tmp_path / "events.jsonl"
     lines.write_text("\n".join(json.dumps(r) for r in rows))
-    from_lines = readers.read_events(spark, str(lines), layout="lines")
+    from_lines = readers.read_events(spark, str(lines))
     assert sorted(r["id"] for r in from_lines.collect()) == [0, 1, 2]
     raw = spark.createDataFrame([event(1), event(2, period="2H")], event_schema())
     write_events(raw, str(tmp_path / "events.parquet"))

@@ -172,7 +172,7 @@ def _sample(learning: DataFrame, per_lang: int) -> list[tuple]:
     """(lang, features, counts) of about ``per_lang`` learning documents of each language, in order of a hash."""
     sizes = learning.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = learning.join(F.broadcast(sizes), "lang").filter(draw * F.col("size") < per_lang).select("lang", F.xxhash64("doc_id", F.lit(4)).alias("turn"), "text")
+    chosen = learning.join(sizes, "lang").filter(draw * F.col("size") < per_lang).select("lang", F.xxhash64("doc_id", F.lit(4)).alias("turn"), "text")
     schema = "lang string, turn long, features binary, counts binary"
 
     def run(batches):

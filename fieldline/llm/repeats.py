@@ -8,9 +8,12 @@ content (the phrase and the parse that follows, to the depth of LENGTH bytes)
 is a dictionary word, kept as hashes of 128 bits. A word that occurs twice
 settles all its windows at once, without touching their bytes. What remains are
 phrases at the edges of repeats: trigger and the LENGTH - REACH bytes after it
-occur elsewhere with other surroundings. Only their windows are compared one by one,
-as suffixes of the dictionary in order of their first LENGTH bytes, a window
-being equal to its neighbour or alone.
+occur elsewhere with other surroundings. Only their windows are taken one by one.
+
+Of the suffix order of dictionary and parse only the neighbourhood to a depth of
+LENGTH bytes is needed, that is, which suffixes share their first LENGTH bytes.
+It is had by bringing equal hashes of that depth together; the order among
+unequal suffixes, for which all bytes would have to be shuffled, is not formed.
 
 Texts are named by 128 bits of their hash, so equal texts are parsed once per
 task and share their result. Each task merges equal words before the shuffle: a

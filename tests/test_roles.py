@@ -75,6 +75,16 @@ def test_blobs_keep_their_seed(spark):
         roles.seed_centres(points, roles.example_groups(spark, [[0], [50], [999]]), 3, 2)
 
 
+def test_kmeans_warns_when_stopped_and_ends_at_a_fixpoint(spark, cloud):
+    points = spark.createDataFrame([([float(v) for v in r],) for r in cloud], "components array<double>")
+    start = [list(map(float, cloud[i])) for i in range(4)]
+    with pytest.warns(UserWarning, match="still moves"):
+        roles.seeded_kmeans(points, start, max_iterations=1, tolerance=0.0)
+    centres = np.array(roles.seeded_kmeans(points, start, tolerance=1e-18))
+    near = ((cloud[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(centres, [cloud[near == i].mean(axis=0) for i in range(4)])
+
+
 def test_random_start_is_repeatable(spark, cloud):
     df, names = as_columns(spark, cloud)
     parts = roles.principal_components(names, 3).fit(df).transform(df)

@@ -310,7 +310,8 @@ def named(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256."""
-    rows, gone = named(docs, doc_id, text), removals(docs, text)
+    # Stored, so that adaptive execution can split the rows of a text with very many copies.
+    rows, gone = named(docs, doc_id, text), materialise(removals(docs, text), "repeats-removals")
     return rows.join(gone, ["h1", "h2"], "left").select(
         "doc_id",
         "n_bytes",

@@ -256,7 +256,11 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = EXAMPLE_KEY, counts: str = "pii") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, and a struct column with the number of values of each kind."""
+    """``docs`` with personal data in ``text`` replaced, and a struct column with the number of values of each kind.
+
+    The column is named ``counts``, with underscores in front where ``docs`` has that name already.
+    """
+    counts = free_name(docs.columns, counts)
     found, kinds = (free_name([*docs.columns, counts], n) for n in ("_found", "_kinds"))
     source = F.col(text)
     some = F.coalesce(source.rlike("[0-9@]"), F.lit(False))

@@ -68,7 +68,8 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with a signed 64-bit fingerprint in a further column."""
+    """``docs`` with a signed 64-bit fingerprint in a further column ``into`` (underscores in front where it is taken)."""
+    into = free_name(docs.columns, into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())])
     at = docs.columns.index(text)
 

@@ -123,7 +123,9 @@ def test_feistel_is_a_permutation(spark):
 
 def test_pseudonyms_of_edge_rows_and_plain_texts(documents, edge, empty):
     assert collected(pii.pseudonymise(edge), "doc_id", "text") == collected(edge, "doc_id", "text")
-    assert pii.pseudonymise(empty).columns[: len(empty.columns)] != [] and pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty).columns == [*empty.columns, "_pii"] and pii.pseudonymise(empty).count() == 0
+    assert {r["pii"] for r in pii.pseudonymise(edge).collect()} == {"p"}  # a column of that name is kept
+    assert simhash.with_fingerprint(edge, into="fp").columns == [*edge.columns, "_fp"]
     pairs = documents.join(pii.pseudonymise(documents).select("doc_id", F.col("text").alias("new"), "pii"), "doc_id").collect()
     for r in pairs:
         assert (r.text == r.new) == (sum(r.pii) == 0)

@@ -170,9 +170,12 @@ def _document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
 
 def _sample(learning: DataFrame, per_lang: int) -> list[tuple]:
     """(lang, features, counts) of about ``per_lang`` learning documents of each language, in order of a hash."""
-    sizes = learning.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = {r.lang: r["size"] for r in learning.groupBy("lang").agg(F.count("*").alias("size")).collect()}  # a row a language, as in the model
+    if not sizes:
+        return []
+    size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = learning.join(sizes, "lang").filter(draw * F.col("size") < per_lang).select("lang", F.xxhash64("doc_id", F.lit(4)).alias("turn"), "text")
+    chosen = learning.filter(draw * size < per_lang).select("lang", F.xxhash64("doc_id", F.lit(4)).alias("turn"), "text")
     schema = "lang string, turn long, features binary, counts binary"
 
     def run(batches):

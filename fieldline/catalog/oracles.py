@@ -196,17 +196,17 @@ def _features(body: str, *more: str) -> str:
     return _with(*FEATURE_CTES, FEATURES, *more, body=body)
 
 
-# Gaps filled with the player's own means.
-BY_PLAYER = (
-    "fpl AS (SELECT player, match, period, "
-    + ", ".join(
-        f'coalesce("{c}", avg("{c}") OVER (PARTITION BY player), 0) AS "{c}"'
-        if c in fixed.MEAN_FILLED
-        else f'coalesce("{c}", 0) AS "{c}"'
+def _filled_by(key: str, name: str, source: str, columns: str) -> str:
+    """Gaps filled with the means of the row's own group, or 0."""
+    values = ", ".join(
+        f'coalesce("{c}", avg("{c}") OVER (PARTITION BY {key}), 0) AS "{c}"' if c in fixed.MEAN_FILLED else f'coalesce("{c}", 0) AS "{c}"'
         for c in fixed.FEATURES
     )
-    + " FROM feat)"
-)
+    return f"{name} AS (SELECT {columns}, {values} FROM {source})"
+
+
+BY_PLAYER = _filled_by("player", "fpl", "feat", "player, match, period")
+BY_ROLE = _filled_by("role", "fro", "ftab", "player, match, period, role")
 
 # Feature rows of all players with their role, players without events included,
 # gaps filled.
@@ -570,6 +570,7 @@ FROM grid a JOIN grid b ON a.team = 0 AND b.team = 1 AND a.cx = b.cx AND a.cy =
         "impute": _features(
             f"SELECT {ident}, role, {rounded(fixed.FEATURES)} FROM ful", *TABLE_CTES
         ),
+        "impute_by_role": _features(f"SELECT {ident}, role, {rounded(fixed.FEATURES)} FROM fro", *TABLE_CTES, BY_ROLE),
         "impute_by_player": _features(f"SELECT {ident}, {rounded(fixed.FEATURES)} FROM fpl", BY_PLAYER),
         "top_cells": _features(f"SELECT {ident}, {cells} FROM kept", *TABLE_CTES, *TOP_CELLS),
         "minmax": _features(

@@ -127,6 +127,12 @@ def _filled_by_player(spark, d) -> DataFrame:
     return scaling.impute(_stored_features(spark, d), keep_null=["matchId"], by=["playerId"])
 
 
+def impute_by_role(spark, d):
+    rows = roles.with_roles(_stored_features(spark, d), roles.classic_roles(view.players(spark, d)))
+    filled = scaling.impute(materialise(rows, "with-roles"), keep_null=["matchId", "playerId"], by=["role"])
+    return rounded(filled.select(*IDENT, "role", *fixed.FEATURES))
+
+
 def impute_by_player(spark, d):
     return rounded(_filled_by_player(spark, d).select(*IDENT, *fixed.FEATURES))
 
@@ -377,6 +383,7 @@ def queries() -> dict[str, Query]:
         "player_features": lambda s, d: rounded(_features(s, d)),
         "impute": impute,
         "impute_by_player": impute_by_player,
+        "impute_by_role": impute_by_role,
         "top_cells": top_cells,
         "minmax": minmax,
         "distance_histogram": distance_histogram,

@@ -1,10 +1,9 @@
+"""Fixtures of these tests; imported by them, since a second conftest would hide the first."""
+
 import os
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, counts string, pii string, slot long, key string, tokens string, part int, _words string, h1 long"
 

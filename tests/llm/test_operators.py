@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from conftest import EDGE_TEXTS
+from cases import EDGE_TEXTS, documents, edge, empty, folder, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

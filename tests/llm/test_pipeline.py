@@ -1,6 +1,7 @@
 """The pipeline stage by stage against brute force, and as a whole."""
 
 import public_tokenizers
+from cases import documents, edge, empty, folder  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from cases import documents, folder  # noqa: F401
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, compare

@@ -54,14 +54,17 @@ class Encoder(dict):
     those of its words in turn, and A-Z may be lower-cased beforehand. A word of
     Latin-1 letters is in normal form and is not split further, and punctuation
     behind it is a piece of its own: the letters go to the merge model directly,
-    the punctuation is encoded once.
+    the punctuation is encoded once. A text that holds the literal of an added
+    token, which is one id wherever it stands, goes through the library whole,
+    before A-Z are lower-cased; a word that becomes one by that is plain text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.literals = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.tails: dict[str, list[int]] = {"": []}
@@ -90,6 +93,11 @@ class Encoder(dict):
         self[word] = packed = array("i", ids).tobytes()
         return packed
 
+    def _packed(self, text: bytes) -> bytes:
+        if any(x in text for x in self.literals):
+            return array("i", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.translate(_LOWER).split()))
+
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         if len(self) > CACHE_WORDS or self.bytes > CACHE_BYTES:
@@ -97,7 +105,7 @@ class Encoder(dict):
             self.clear()
             self.bytes = 0
         end = b"" if end_id is None else array("i", [end_id]).tobytes()
-        found = [b"".join(map(self.__getitem__, t.translate(_LOWER).split())) + end if t else end for t in texts]
+        found = [self._packed(t) + end if t else end for t in texts]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), dtype=np.int32), lengths
 

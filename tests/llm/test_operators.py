@@ -185,6 +185,15 @@ def test_words_are_encoded_as_whole_texts_are(texts):
         assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_literals_of_added_tokens_are_one_id(spark):
+    plain = Tokenizer.from_file(WORD_BPE)
+    whole = ["foo <|endoftext|> bar", "A<|startoftext|>B's <|endoftext|><|endoftext|>, É", "foo <|ENDOFTEXT|> bar", "<|endof text|>", "end <|endoftext|>!! of"]
+    assert plain.encode(whole[0], add_special_tokens=False).ids == [23435, 49407, 2411]
+    path = new_path(spark, "tokens")
+    tokens.write(spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string"), path, WORD_BPE)
+    assert collected(tokens.checksums(tokens.read(spark, path)), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(brute.token_rows(enumerate(whole), plain), key=repr)
+
+
 def test_token_files_have_the_promised_layout(spark, documents, edge, empty):
     path = new_path(spark, "tokens")
     tokens.write(documents, path, WORD_BPE)

@@ -5,28 +5,33 @@ a fixed pseudo-random order. The j-th block of a source with weight w may be
 placed from slot floor((j - 1) / w) on and must be placed by slot ceil(j / w);
 of the released blocks the one with the earliest deadline takes the slot. So at
 every slot each source has had its weight's share to within less than one
-block. With whole numbers of blocks per period the schedule repeats, therefore
-only one period is laid out (on the driver, PERIOD slots or a few per source);
-the place of any block follows from it. When a source runs dry, the weights of
-the rest are scaled up and a new phase begins. Each document is placed once;
-none is dropped or repeated.
+block, however many slots there are: releases and deadlines are whole-number
+arithmetic on the exact weights. One task lays out all slots, PERIOD at a time,
+and holds a few numbers a source; it writes one narrow row per block, which
+meets the documents in a join. When a source runs dry, the weights of the rest
+are scaled up and a new phase begins. Each document is placed once; none is
+dropped or repeated.
 
 Defined results: a null source is a source like others; documents of null or
 empty text take one character's room; sources without a given weight get the
-mean of the given ones; equal rows follow one another in either order; an empty
-table gives an empty result; other columns are kept aside or as they are.
+mean of the given ones; sources of weight 0 come after all others; equal rows
+follow one another in either order; an empty table gives an empty result; other
+columns are kept aside or as they are.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import batched
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldline.llm.batches import free_name
+from fieldline.llm.batches import free_name, map_batches
 from fieldline.llm.ordering import running_total
 from fieldline.session import materialise
 
@@ -37,63 +42,85 @@ SEED = 17
 
 
 def period_of(weights: Mapping, period: int = PERIOD) -> dict:
-    """Whole blocks per period for each source: one at least, in all ``period`` or a few more."""
+    """Weights as whole blocks of a period, one at least; rounded, the schedule itself uses exact weights."""
     total = sum(weights.values())
     size = max(period, 4 * len(weights))
     return {s: max(1, round(size * w / total)) for s, w in weights.items()}
 
 
+def schedule(weights: Mapping) -> Iterator:
+    """The source of every slot, without end; weights are above 0, ties go to the source listed first."""
+    names, total = list(weights), sum(map(Fraction, weights.values()))
+    gaps = [(total / Fraction(w)).as_integer_ratio() for w in weights.values()]
+    waiting, ready, slot = [(0, k, 0) for k in range(len(names))], [], 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * gaps[k][0] // gaps[k][1]), k, j))
+        _, k, j = heapq.heappop(ready)  # at full use of the slots one is always ready
+        # The next block is never released before the last slot of this one.
+        heapq.heappush(waiting, ((j + 1) * gaps[k][0] // gaps[k][1], k, j + 1))
+        yield names[k]
+        slot += 1
+
+
 def earliest_deadline_first(blocks: Mapping) -> dict:
-    """The slots of each source in one period of sum(blocks) slots; ties go to the source listed first."""
-    size = sum(blocks.values())
-    names = list(blocks)
-    releases = sorted((j * size // blocks[s], k, j) for k, s in enumerate(names) for j in range(blocks[s]))
-    ready, slots, at = [], {s: [] for s in names}, 0
-    for slot in range(size):
-        while at < len(releases) and releases[at][0] <= slot:
-            _, k, j = releases[at]
-            heapq.heappush(ready, (-(-(j + 1) * size // blocks[names[k]]), k))
-            at += 1
-        _, k = heapq.heappop(ready)  # at full use of the slots one is always ready
-        slots[names[k]].append(slot)
+    """The slots of each source in the first sum(blocks) slots, where each has its whole number of blocks."""
+    slots = {s: [] for s in blocks}
+    for slot, s in zip(range(sum(blocks.values())), schedule(blocks)):
+        slots[s].append(slot)
     return slots
 
 
-def phases(counts: Mapping, weights: Mapping, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, period, slots in a period) for every phase.
+def windows(counts: Mapping, weights: Mapping, period: int = PERIOD) -> Iterator[tuple]:
+    """(source, first block, end block, first slot, period, slots of the blocks from there) for every source in every ``period`` slots.
 
     ``counts`` are the blocks of each source. A phase ends with the slot that
     takes the last block of some source.
     """
-    left, done, start, out = {s: n for s, n in counts.items() if n}, dict.fromkeys(counts, 0), 0, []
+    left, done, start = {s: n for s, n in counts.items() if n}, dict.fromkeys(counts, 0), 0
     while left:
-        blocks = period_of({s: weights[s] for s in left}, period)
-        size, slots = sum(blocks.values()), earliest_deadline_first(blocks)
-        last = {s: (n - 1) // blocks[s] * size + slots[s][(n - 1) % blocks[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
-        for s in list(left):
-            rounds, rest = divmod(length, size)
-            taken = rounds * blocks[s] + sum(1 for x in slots[s] if x < rest)
-            if taken:
-                out.append((s, done[s], done[s] + taken, start, size, slots[s]))
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                del left[s]
-        start += length
-    return out
-
-
-PHASES = T.StructType(
-    [
-        T.StructField("_source", T.StringType()),
-        T.StructField("_first", T.LongType()),
-        T.StructField("_end", T.LongType()),
-        T.StructField("_start", T.LongType()),
-        T.StructField("_period", T.LongType()),
-        T.StructField("_slots", T.ArrayType(T.LongType())),
-    ]
-)
+        turns, dry = schedule({s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)), False
+        while not dry:
+            slots, length = {}, 0
+            for s in turns:
+                own = slots.setdefault(s, [])
+                own.append(length)
+                length += 1
+                dry = len(own) == left[s]
+                if dry or length == period:
+                    break
+            for s, own in slots.items():
+                yield s, done[s], done[s] + len(own), start, period, own
+                done[s] += len(own)
+                left[s] -= len(own)
+            start += length
+            left = {s: n for s, n in left.items() if n}
+
+
+def phases(counts: Mapping, weights: Mapping, period: int = PERIOD) -> list[tuple]:
+    """All of ``windows``."""
+    return list(windows(counts, weights, period))
+
+
+SLOTS = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_block", T.LongType()), T.StructField("_slot", T.LongType())])
+WINDOWS_A_BATCH = 1_000
+
+
+def _slots(spark: SparkSession, counts: Mapping, weights: Mapping, period: int) -> DataFrame:
+    """One stored row per block: its source, number and slot."""
+
+    def run(batches):
+        for _ in batches:
+            for rows in batched(windows(counts, weights, period), WINDOWS_A_BATCH):
+                columns = (
+                    [s for s, first, end, *_ in rows for _ in range(first, end)],
+                    [b for _, first, end, *_ in rows for b in range(first, end)],
+                    [start + x for *_, start, _, own in rows for x in own],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=SLOTS.names)
+
+    return materialise(map_batches(spark.range(0, 1, 1, 1), run, SLOTS), "mix-slots")
 
 
 def _key(seed: int, doc_id: str, source: str, text: str):
@@ -118,13 +145,10 @@ def _placed(docs: DataFrame, doc_id: str, source: str, text: str, weights: Mappi
         targets = {s: weights.get(s, mean) for s in sizes}
     names = sorted(sizes, key=lambda s: (s is not None, s or ""))
     counts = {s: -(-sizes[s] // block_chars) for s in names}
-    table = docs.sparkSession.createDataFrame(phases(counts, targets, period), PHASES)
-    block = F.floor(F.col("before") / F.lit(block_chars)).cast("long")
-    blocked = placed.withColumn("block", block)
-    at = F.col("block") - F.col("_first")
-    joined = blocked.join(table, blocked["source"].eqNullSafe(table["_source"]) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")))
-    slot = F.col("_start") + F.floor(at / F.size("_slots")) * F.col("_period") + F.get("_slots", (at % F.size("_slots")).cast("int"))
-    return joined.select("doc_id", "source", "key", "chars", "block", slot.cast("long").alias("slot"), (F.col("before") % block_chars).alias("within"))
+    table = _slots(docs.sparkSession, counts, targets, period)
+    blocked = placed.withColumn("block", F.floor(F.col("before") / F.lit(block_chars)).cast("long"))
+    joined = blocked.join(table, blocked["source"].eqNullSafe(table["_source"]) & (F.col("block") == F.col("_block")))
+    return joined.select("doc_id", "source", "key", "chars", "block", F.col("_slot").alias("slot"), (F.col("before") % block_chars).alias("within"))
 
 
 def order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Mapping | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, seed: int = SEED) -> DataFrame:

@@ -349,6 +349,22 @@ def test_schedule_stays_within_a_block():
             assert j * size // blocks[name] <= s < -(-(j + 1) * size // blocks[name])
 
 
+@pytest.mark.parametrize("weights", [{"a": 2 / 3, "b": 1 / 3}, {str(k): (1 + 37 * k) ** 0.5 for k in range(20)}, {"a": 0.99985, "b": 0.00015}])
+def test_schedule_keeps_exact_weights_over_many_periods(weights):
+    slots = 40_000
+    rows = mixing.phases(dict.fromkeys(weights, slots), weights)
+    order = {start + (b - first) // len(own) * size + own[(b - first) % len(own)]: s for s, first, end, start, size, own in rows for b in range(first, end)}
+    share, taken = {s: w / sum(weights.values()) for s, w in weights.items()}, Counter()
+    for t in range(slots):
+        taken[order[t]] += 1
+        assert all(abs(taken[s] - (t + 1) * w) < 1 + 1e-6 for s, w in share.items())
+
+
+def test_sources_without_weight_come_last():
+    rows = mixing.phases({"a": 3, "b": 2, "c": 4}, {"a": 0, "b": 1, "c": 1})
+    assert sorted(start + x for s, *_, start, _, own in rows if s == "a" for x in own) == [6, 7, 8]
+
+
 def test_every_block_has_one_slot_over_all_phases():
     counts = {"a": 700, "b": 40, None: 3, "c": 1}
     rows = mixing.phases(counts, {"a": 1, "b": 1, None: 2, "c": 0.1}, 50)

@@ -32,9 +32,25 @@ KINDS = ["email", "iban", "date", "ssn", "ip", "phone", "card"]
 
 # Formats, fixed by their public definitions.
 EMAIL = r"[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"
+# Characters of an account number by country, from the IBAN registry.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{groups}}}" + (f"[ ]?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# First with the length of its country, so that a word behind is left out; else of any length.
+IBAN = "|".join(_iban_of(*item) for item in IBAN_SIZES.items()) + r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 DAY_DATE = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+# A time of day right behind an ISO date.
+TIME_NEXT = r"(?=[Tt][0-2][0-9](?::|[0-5][0-9]|[Zz]|(?![\p{L}\p{N}])))"
 SLASH_DATE = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -42,6 +58,7 @@ PHONE = r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]
 CARD = r"[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19}"
 ANY = (
     r"(?<![\p{L}\p{N}._%+\-])" + EMAIL
+    + r"|(?<![\p{L}\p{N}])" + ISO_DATE + TIME_NEXT
     + r"|(?<![\p{L}\p{N}])(?:" + "|".join((IBAN, ISO_DATE, DAY_DATE, SLASH_DATE, SSN, IP, PHONE, CARD)) + r")(?![\p{L}\p{N}])"
 )
 

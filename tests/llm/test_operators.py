@@ -113,6 +113,20 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert all(other[i] != got[i].text for i in range(len(lines)))
 
 
+def test_neighbours_do_not_hide_values(spark):
+    cases = [
+        ("BE68 5390 0754 7034", " EUR"), ("AT61 1904 3002 3457 3201", " 12 A"), ("ES91 2100 0418 4502 0005 1332", " IBAN"),
+        ("PL61 1090 1014 0000 0712 1981 2874", " PLN"), ("DE89370400440532013000", " EUR"), ("NO93 8601 1117 947", " NOK"),
+        ("2024-01-31", "T10:00"), ("2024-01-31", "T10:00:00.5Z"), ("2024-01-31", "t1000"), ("2024-01-31", "T10Z"),
+    ]
+    docs = spark.createDataFrame([(k, f"to {a}{b}.", a, f"to {a}") for k, (a, b) in enumerate(cases)], "doc_id long, text string, value string, bare string")
+    for r in pii.pseudonymise(pii.pseudonymise(docs, key="k"), text="bare", key="k", counts="alone").collect():
+        value, tail = cases[r.doc_id]
+        assert value not in r.text and r.text == f"{r.bare}{tail}." and sum(r.pii) == sum(r.alone) == 1
+    plain = spark.createDataFrame([("2023-02-29T10:00 2024-01-31Tea 2024-01-31x BE68 5390 0754 7035 EUR",)], "text string")
+    assert pii.pseudonymise(plain).first().text == plain.first().text
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     found = {r[0] for r in three.select(pii.permuted_digits(F.col("d"), "k", "t")).collect()}

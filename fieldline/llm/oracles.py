@@ -103,5 +103,60 @@ FROM v, (SELECT * FROM em WHERE r = {_ROUNDS})
 """
 
 
+def _whole(scale: int, condition: str = "true") -> str:
+    """Vectors with finite components only, as whole numbers."""
+    return f"""(
+  SELECT vec_id, list_transform(v, lambda c: CAST(floor({scale} * c) AS BIGINT)) AS x
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND {condition}
+)"""
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED {_whole(64)}
+SELECT q.vec_id AS query_id,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id AS vec_id, s AS score
+FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id,
+  LATERAL (SELECT CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS s)
+WHERE q.vec_id % 20 = 0
+QUALIFY rank <= 20
+"""
+
+
+def _rounds(many: int) -> str:
+    """Lloyd's rounds, one pair of tables after another: a{r} assigns by the centroids m{r - 1}, m{r} moves them."""
+    out = []
+    for r in range(1, many + 2):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, x, best[2] AS cluster, best[1] AS distance FROM (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(v.x) AS x,
+      list_min(list([list_sum(list_transform(v.x, lambda e, i: (e - m.x[i]) * (e - m.x[i])))::BIGINT, m.cluster])) AS best
+    FROM v, m{r - 1} AS m GROUP BY rid)
+)""")
+        if r <= many:
+            out.append(f"""m{r} AS MATERIALIZED (
+  SELECT m.cluster, coalesce(new.x, m.x) AS x FROM m{r - 1} AS m LEFT JOIN (
+    SELECT cluster, list(CAST((total - ((total % many) + many) % many) / many AS BIGINT) ORDER BY pos) AS x FROM (
+      SELECT cluster, pos, CAST(sum(e) AS BIGINT) AS total, count(*) AS many
+      FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM a{r}) GROUP BY cluster, pos
+    ) GROUP BY cluster) AS new ON new.cluster = m.cluster
+)""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM {_whole(1024, "len(v) = 64")}),
+m0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, vec_id, x) - 1 AS BIGINT) AS cluster, x
+  FROM (SELECT *, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v) ORDER BY h, vec_id, x LIMIT 8
+),
+{_rounds(10)}
+SELECT vec_id, CAST(a11.cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY a11.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m10.x, ',')) AS centroid_sha256
+FROM a11 JOIN m10 ON a11.cluster = m10.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op5_quality": OP5}
+    return {"op3_decontaminate": OP3, "op5_quality": OP5, "op12_topk": OP12, "op13_cluster": OP13}

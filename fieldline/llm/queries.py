@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldline.llm import decontaminate, langid, lmscore, mixing, pii, quality, repeats, secrets, simhash, tokens
+from fieldline.llm import decontaminate, langid, lmscore, mixing, pii, quality, repeats, secrets, simhash, tokens, topk, whitening, zonemaps
 from fieldline.session import new_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,21 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+def op13_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    return zonemaps.cluster(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op6_lm_score, op7_repeats, op8_secrets, op9_mix, op10_langid]
+    own = [
+        op1_simhash, op2_pii, op3_decontaminate, op4_tokens, op5_quality, op6_lm_score, op7_repeats, op8_secrets, op9_mix, op10_langid,
+        op11_whiten, op12_topk, op13_cluster,
+    ]
     return {f.__name__: f for f in own}

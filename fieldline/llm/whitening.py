@@ -114,7 +114,7 @@ def _solved(diagonal: np.ndarray, off: np.ndarray, shift: float, right: np.ndarr
 def eigenvectors(diagonal: np.ndarray, off: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Unit vectors (columns) of falling eigenvalues by inverse iteration, orthogonal within clusters."""
     n = len(diagonal)
-    norm = max(float((np.abs(diagonal) + np.abs(np.append(off, 0)) + np.abs(np.append(0, off))).max()), np.finfo(float).tiny)
+    norm = float((np.abs(diagonal) + np.abs(np.append(off, 0)) + np.abs(np.append(0, off))).max()) or 1.0
     tiny, draw = np.finfo(float).eps * norm, np.random.default_rng(11)
     out, cluster = np.zeros((n, len(values))), 0
     for j, value in enumerate(values):
@@ -136,12 +136,13 @@ def leading(a: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
     n, many = len(a), min(many, len(a))
     if not many:
         return np.zeros(0), np.zeros((n, 0))
-    diagonal, off, reflections = tridiagonal(a)
+    size = float(np.abs(a).max()) or 1.0
+    diagonal, off, reflections = tridiagonal(a / size)
     values = bisected(diagonal, off, many)
     vectors = eigenvectors(diagonal, off, values)
     for k, u in reversed(list(enumerate(reflections))):
         vectors[k + 1 :] -= 2 * np.outer(u, u @ vectors[k + 1 :])
-    return values, vectors
+    return values * size, vectors
 
 
 _CELL = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])

@@ -22,8 +22,15 @@ COLUMNS = {
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert set(queries.queries()) == set(COLUMNS) and {*COLUMNS, "pipeline"} <= set(entry.queries())
+VECTORS = {
+    "op11_whiten": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12_topk": ["query_id", "rank", "vec_id", "score"],
+    "op13_cluster": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+}
+
+
+def test_all_operators_and_the_pipeline_are_registered():
+    assert set(queries.queries()) == {*COLUMNS, *VECTORS} and {*COLUMNS, "pipeline"} <= set(entry.queries())
     assert set(oracles.oracle_sql()) <= set(entry.oracle_sql())
 
 
@@ -34,6 +41,12 @@ def test_one_row_per_document(spark, folder, documents, name):
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in documents.collect())
 
 
+@pytest.mark.parametrize("name", list(VECTORS))
+def test_columns_of_vector_queries(spark, folder, name):
+    got = queries.queries()[name](spark, folder)
+    assert got.columns[: len(VECTORS[name])] == VECTORS[name] and got.count() > 0
+
+
 @pytest.mark.parametrize("name", list(oracles.oracle_sql()))
 def test_query_equals_its_sql(spark, folder, name):
     con = duckdb.connect()

@@ -55,7 +55,9 @@ def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("repeated")
+    )
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:

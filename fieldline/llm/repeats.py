@@ -274,16 +274,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     settled = stored.filter("alone is null").select("h1", "h2", "span")
     wanted = stored.filter("alone is not null").groupBy("h1", "h2").agg(F.collect_set(F.struct("span", "alone")).alias("marks"))
     edges = materialise(_edges(_packed(docs), wanted), "repeats-edges")
+    # Stored, so that adaptive execution sees plain shuffles on either side of the joins and can split a common passage.
     keys = edges.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
+    keys = materialise(keys, "repeats-keys")
     single = edges.join(keys, ["k1", "k2"]).select("k1", "k2", "h1", "h2", "alone", "ends", F.posexplode("hashes").alias("back", "hash"))
-    # Equal texts give equal rows from several tasks; the same window of one text counts once.
-    window = ["k1", "k2", "hash"]
-    places = single.select(*window, "h1", "h2", "alone", (F.col("ends") - F.col("back")).cast("long").alias("at")).distinct()
-    twice = places.groupBy(*window).agg(F.count("*").alias("n")).filter("n > 1").select(*window)
+    # Equal texts give equal rows from several tasks; the same window of one text counts once. A window with two
+    # places has a least and a greatest one that differ, which tasks can tell before the shuffle.
+    window, place = ["k1", "k2", "hash"], F.struct("h1", "h2", F.col("at"))
+    places = single.select(*window, "h1", "h2", "alone", (F.col("ends") - F.col("back")).cast("long").alias("at"))
+    twice = places.groupBy(*window).agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select(*window)
+    twice = materialise(twice, "repeats-twice")
     more = places.filter("alone").join(twice, window).select("h1", "h2", F.shiftleft("at", 32).bitwiseOR(F.col("at")).alias("span"))
     found = settled.unionByName(more).groupBy("h1", "h2").agg(F.collect_set("span").alias("spans"))
     out = materialise(found, "repeats-windows")
-    discard(shared, stored, edges)
+    discard(shared, stored, edges, keys, twice)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +52,16 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+# Paths given out by ``new_path`` and not removed yet, in order.
+_GIVEN: dict[str, None] = {}
+
+
 def new_path(spark: SparkSession, name: str = "table") -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     files, place = _file_system(spark, path)
     files.deleteOnExit(place)
+    _GIVEN[path] = None
     return path
 
 
@@ -63,6 +69,7 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     files, place = _file_system(spark, path)
     files.delete(place, True)
+    _GIVEN.pop(path, None)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -83,3 +90,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def discard(*stored: DataFrame) -> None:
     for df in stored:
         remove(df.sparkSession, df._stored_at)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """``make()`` as a stored table; the intermediate tables stored on the way are removed."""
+    before = set(_GIVEN)
+    out = materialise(make(), name)
+    for path in [p for p in _GIVEN if p not in before and p != out._stored_at]:
+        remove(spark, path)
+    return out

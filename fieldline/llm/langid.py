@@ -183,14 +183,14 @@ def _sample(learning: DataFrame, per_lang: int) -> list[tuple]:
             rows = []
             for lang, turn, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if counted := counts_of(text):
-                    rows.append((lang, turn, counted[0].astype("<u2").tobytes(), np.minimum(counted[1], 65535).astype("<u2").tobytes()))
+                    rows.append((lang, turn, counted[0].astype("<u2").tobytes(), counted[1].astype("<u4").tobytes()))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "turn", "features", "counts"])
 
     found = map_batches(chosen, run, schema).collect()  # per_lang documents a language, bounded
     found.sort(key=lambda r: (r.turn, r.lang))
-    return [(r.lang, np.frombuffer(r.features, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u2").astype(np.int64)) for r in found]
+    return [(r.lang, np.frombuffer(r.features, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in found]
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> dict:

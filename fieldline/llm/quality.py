@@ -209,10 +209,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without rejected rows; columns as they are.
 
-    The votes are counted in one pass; the second pass counts again and
-    filters, so that no text is shuffled or stored.
+    Everything is counted in one pass, whose rows are stored with their counts;
+    the votes are estimated from the counts and the stored rows filtered by
+    them, so that no text is shuffled or counted twice.
     """
     into = free_name(docs.columns, "counts")
-    counted = with_counts(docs, text, into)
-    model = _fitted(with_counts(docs.select(F.col(text).alias("text"))), "counts")
+    counted = materialise(with_counts(docs, text, into), "quality-counted")
+    model = _fitted(counted, into)
     return counted.filter(verdicts(counted, model, into)[1]).drop(into)

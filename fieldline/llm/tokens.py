@@ -1,7 +1,8 @@
 """Token ids of every document as Parquet list columns.
 
-Documents are range-partitioned and sorted by id, encoded in Arrow batches and
-written by Spark's Parquet writer: the ids as a dictionary-encoded list column,
+Documents are range-partitioned and sorted by id (or, for documents that are
+stored in a wanted order already, taken as they lie), encoded in Arrow batches
+and written by Spark's Parquet writer: the ids as a dictionary-encoded list column,
 the sorted or small number columns delta-encoded (Parquet format 2), row groups
 and pages of controlled size, so that page indexes let a reader fetch the ids of
 few documents, or metadata without ids. The ids are below 2**31.
@@ -20,12 +21,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldline.llm.batches import list_array, map_batches, texts_of
+from fieldline.session import materialise
 
 END_ID = 2
 ROW_GROUP_BYTES = 64 << 20
@@ -117,16 +119,45 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Encode every text and write one row per document to ``path`` in ascending order of id.
+def _by_id(docs: DataFrame) -> DataFrame:
+    """Rows (part, doc_id, text) ranged and sorted by id; the part is the number of the range."""
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    return ordered.select(F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("part"), "doc_id", "text")
+
+
+def stored_order() -> Column:
+    """Where a stored piece of a table stands in the order in which Spark wrote its files: number of the file, place of the piece in it.
 
-    Columns: doc_id, part (number of the file, ascending with the ids), offset
-    (ids before this document in its part), n_tokens, tokens.
+    Rows of a piece are read in their order, by one task.
+    """
+    name, start = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
+    number = F.coalesce(F.nullif(F.regexp_extract(name, r"^part-([0-9]+)", 1), F.lit("")), F.lit("0"))
+    return F.concat_ws("/", F.lpad(number, 10, "0"), name, F.lpad(start.cast("string"), 20, "0"))
+
+
+def _as_stored(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    try:
+        return docs.select(stored_order().alias("part"), *columns)
+    except AnalysisException:  # no files below
+        return materialise(docs, "token-texts").select(stored_order().alias("part"), *columns)
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, as_stored: bool = False) -> None:
+    """Encode every text and write one row per document to ``path``, in ascending order of id.
+
+    With ``as_stored`` the order is that of the files that ``docs`` is read from
+    (see ``stored_order``): texts are encoded where they lie and not shuffled.
+    Rows that do not come from files are stored first; rows that were dealt out
+    anew after reading fail in ``read``.
+
+    Columns: doc_id, part (ascends with the order), offset (ids before this
+    document in its part), n_tokens, tokens.
     """
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            T.StructField("part", T.IntegerType()),
+            T.StructField("part", T.StringType()),
             T.StructField("offset", T.LongType()),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("tokens", T.ArrayType(T.IntegerType(), False)),
@@ -134,25 +165,30 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     )
 
     def run(batches):
-        part, offset = TaskContext.get().partitionId(), 0
         encode = encoder(tokenizer).encode
+        before: dict[str, int] = {}
         for batch in batches:
-            ids, lengths = encode(texts_of(batch.column(1)), end_id)
-            before = offset + np.cumsum(lengths) - lengths
-            offset += int(lengths.sum())
+            ids, lengths = encode(texts_of(batch.column(2)), end_id)
+            offsets = np.cumsum(lengths) - lengths
+            # A task may read several parts, one after another.
+            parts = batch.column(0).dictionary_encode()
+            codes = parts.indices.to_numpy(zero_copy_only=False)
+            for code in range(len(parts.dictionary)):
+                own, name = codes == code, parts.dictionary[code].as_py()
+                offsets[own] = np.cumsum(lengths[own]) - lengths[own] + before.get(name, 0)
+                before[name] = before.get(name, 0) + int(lengths[own].sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(lengths), part, dtype=np.int32)), pa.array(before), pa.array(lengths), list_array(ids, lengths, pa.int32())],
-                names=schema.names,
+                [batch.column(1), batch.column(0), pa.array(offsets), pa.array(lengths), list_array(ids, lengths, pa.int32())], names=schema.names
             )
 
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keys = ["doc_id", F.xxhash64("text")]
-    ordered = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    own = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")]
+    parted = _as_stored(docs, own) if as_stored else _by_id(docs.select(*own))
     (
-        map_batches(ordered, run, schema)
+        map_batches(parted, run, schema)
         .write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")
         .option("parquet.enable.dictionary#tokens.list.element", "true")
+        .option("parquet.enable.dictionary#part", "true")
         .option("parquet.block.size", str(ROW_GROUP_BYTES))
         .option("parquet.page.size", str(PAGE_BYTES))
         .option("parquet.page.row.count.limit", str(PAGE_ROWS))
@@ -164,12 +200,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, tokens.
 
-    The number of parts is the number of tasks that wrote, so their totals are
-    few (16 bytes for each file) and are broadcast; only the columns n_tokens and
-    part are read for them.
+    There is a part for each range or piece of a file, of some megabytes at
+    least, so their totals are few (under 100 bytes for each) and are broadcast;
+    only the columns n_tokens and part are read for them.
     """
     rows = spark.read.parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
+    whole = F.max(F.col("offset") + F.col("n_tokens")) == F.sum("n_tokens")
+    shuffled = F.raise_error(F.lit("documents written as_stored were dealt out anew after they had been read")).cast("long")
+    totals = rows.groupBy("part").agg(F.when(whole, F.sum("n_tokens")).otherwise(shuffled).alias("_sum"))
     window = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias("_base"))
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("offset") + F.col("_base")).alias("start"), "n_tokens", "tokens")

@@ -138,11 +138,50 @@ def base_secrets(text):
     return sorted(found, key=lambda f: (f[0], f[2]))
 
 
-def token_rows(docs, tokenizer, end_id=2):
-    """(doc_id, start, n_tokens, crc32) in order of id; docs are (id, text) with distinct ids."""
+def token_rows(docs, tokenizer, end_id=2, as_given=False):
+    """(doc_id, start, n_tokens, crc32) in order of id, or as given; docs are (id, text) with distinct ids."""
     start, out = 0, []
-    for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+    for i, text in docs if as_given else sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end_id]
         out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
     return out
+
+
+def pfair(counts, weights):
+    """The source of every slot: of the released blocks the one with the earliest deadline, sources in the order given."""
+    left, out = {s: n for s, n in counts.items() if n}, []
+    while left:
+        own = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        total, taken, slot = sum(own.values()), dict.fromkeys(own, 0), 0
+        while all(taken[s] < left[s] for s in own):
+            due = []
+            for nth, (s, w) in enumerate(own.items()):
+                if taken[s] * total // w <= slot:
+                    due.append((-(-(taken[s] + 1) * total // w), nth, s))
+            s = min(due)[2]
+            taken[s] += 1
+            out.append(s)
+            slot += 1
+        left = {s: n - taken.get(s, 0) for s, n in left.items() if n > taken.get(s, 0)}
+    return out
+
+
+def mixed(rows, block_chars, weights=None):
+    """(slot, within, key, row) in the mixed order; rows are (key, doc_id, source, text)."""
+    first = lambda x: (x is not None, x or 0)
+    chars, placed = {}, []
+    for row in sorted(rows, key=lambda r: (r[0], first(r[1]))):
+        before = chars.get(row[2], 0)
+        chars[row[2]] = before + max(1, len(row[3] or ""))
+        placed.append((row, before))
+    if weights is None:
+        roots = {s: n**0.5 for s, n in chars.items()}
+        weights = {s: max(1, round(10_000 * r / sum(roots.values()))) for s, r in roots.items()}
+    names = sorted(chars, key=lambda s: (s is not None, s or ""))
+    slots, seen = {}, {}
+    for slot, s in enumerate(pfair({s: -(-chars[s] // block_chars) for s in names}, {s: weights[s] for s in names})):
+        slots[s, seen.get(s, 0)] = slot
+        seen[s] = seen.get(s, 0) + 1
+    out = [(slots[row[2], before // block_chars], before % block_chars, row[0], row) for row, before in placed]
+    return sorted(out, key=lambda o: (*o[:3], first(o[3][1])))

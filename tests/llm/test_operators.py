@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -227,6 +228,29 @@ def test_token_files_have_the_promised_layout(spark, documents, edge, empty):
     assert tokens.read(spark, path).count() == 0
 
 
+def test_tokens_in_stored_order(spark, documents, edge, empty):
+    plain = Tokenizer.from_file(WORD_BPE)
+    turned = documents.repartitionByRange(7, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
+    path = new_path(spark, "turned")
+    turned.write.parquet(path)
+    docs = [(r.doc_id, r.text) for r in sorted(documents.collect(), key=lambda r: -r.doc_id)]
+    want = sorted(brute.token_rows(docs, plain, as_given=True), key=repr)
+    for split in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        for given in (spark.read.parquet(path), spark.createDataFrame(docs, "doc_id long, text string")):  # stored, or not yet
+            out = new_path(spark, "tokens")
+            tokens.write(given, out, WORD_BPE, as_stored=True)
+            assert collected(tokens.checksums(tokens.read(spark, out)), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tokens.write(spark.read.parquet(path).repartition(3), out := new_path(spark, "tokens"), WORD_BPE, as_stored=True)
+    with pytest.raises(Exception, match="dealt out anew"):
+        tokens.read(spark, out).collect()
+    for given, many in ((edge, len(EDGE_TEXTS)), (empty, 0)):
+        out = new_path(spark, "tokens")
+        tokens.write(given, out, WORD_BPE, as_stored=True)
+        assert tokens.read(spark, out).count() == many
+
+
 # Quality rules
 
 
@@ -353,17 +377,23 @@ def test_network_finds_held_back_secrets(spark, edge, empty):
 
 
 def test_schedule_stays_within_a_block():
-    blocks = mixing.period_of({"a": 5, "b": 3, "c": 1.7, "d": 0.3}, 100)
-    slots, size = mixing.earliest_deadline_first(blocks), sum(blocks.values())
+    parts = mixing.whole_parts({"a": 5, "b": 3, "c": 1.7, "d": "3/10"})
+    assert parts == {"a": 50, "b": 30, "c": 17, "d": 3}
+    slots, size = mixing.earliest_deadline_first(parts), sum(parts.values())
     assert sorted(s for own in slots.values() for s in own) == list(range(size))
     for name, own in slots.items():
         for t in range(size + 1):
-            assert abs(sum(s < t for s in own) - t * blocks[name] / size) < 1
+            assert abs(sum(s < t for s in own) - t * parts[name] / size) < 1
         for j, s in enumerate(own):
-            assert j * size // blocks[name] <= s < -(-(j + 1) * size // blocks[name])
+            assert j * size // parts[name] <= s < -(-(j + 1) * size // parts[name])
+
+
+def test_weights_without_a_short_period_are_refused():
+    with pytest.raises(ValueError, match="slots"):
+        mixing.whole_parts({"a": 2**0.5, "b": 1})
 
 
-@pytest.mark.parametrize("weights", [{"a": 2 / 3, "b": 1 / 3}, {str(k): (1 + 37 * k) ** 0.5 for k in range(20)}, {"a": 0.99985, "b": 0.00015}])
+@pytest.mark.parametrize("weights", [{"a": 2, "b": 1}, mixing.default_weights({str(k): 1 + 37 * k for k in range(20)}), {"a": 0.99985, "b": 0.00015}])
 def test_schedule_keeps_exact_weights_over_many_periods(weights):
     slots = 40_000
     rows = mixing.phases(dict.fromkeys(weights, slots), weights)
@@ -376,12 +406,12 @@ def test_schedule_keeps_exact_weights_over_many_periods(weights):
 
 def test_sources_without_weight_come_last():
     rows = mixing.phases({"a": 3, "b": 2, "c": 4}, {"a": 0, "b": 1, "c": 1})
-    assert sorted(start + x for s, *_, start, _, own in rows if s == "a" for x in own) == [6, 7, 8]
+    assert sorted(start + k for s, first, end, start, *_ in rows if s == "a" for k in range(end - first)) == [6, 7, 8]
 
 
 def test_every_block_has_one_slot_over_all_phases():
     counts = {"a": 700, "b": 40, None: 3, "c": 1}
-    rows = mixing.phases(counts, {"a": 1, "b": 1, None: 2, "c": 0.1}, 50)
+    rows = mixing.phases(counts, {"a": 1, "b": 1, None: 2, "c": 0.1})
     placed = sorted(
         start + (b - first) // len(slots) * size + slots[(b - first) % len(slots)] for _, first, end, start, size, slots in rows for b in range(first, end)
     )
@@ -391,6 +421,27 @@ def test_every_block_has_one_slot_over_all_phases():
         assert [p[0] for p in parts] == [0, *[p[1] for p in parts[:-1]]] and parts[-1][1] == n
 
 
+@pytest.mark.parametrize("counts, weights", [({"a": 70, "b": 4, None: 3, "c": 1}, {"a": 1, "b": 1, None: 2, "c": 3}), ({"a": 5, "b": 9}, {"a": 0, "b": 0}), ({"a": 40, "b": 40, "c": 0}, {"a": 7, "b": 3, "c": 1})])
+def test_phases_equal_a_slot_by_slot_schedule(counts, weights):
+    want, seen = {}, Counter()
+    for slot, s in enumerate(brute.pfair(counts, weights)):
+        want[s, seen[s]] = slot
+        seen[s] += 1
+    got = {(s, b): start + (b - first) // len(own) * size + own[(b - first) % len(own)] for s, first, end, start, size, own in mixing.phases(counts, weights) for b in range(first, end)}
+    assert got == want and seen == Counter(counts)
+
+
+@pytest.mark.parametrize("name, block, weights", [("documents", 2_000, None), ("documents", 16_384, {f"src{k}": k % 3 for k in range(20)}), ("edge", 500, None)])
+def test_order_equals_brute_force(request, name, block, weights):
+    docs = request.getfixturevalue(name)
+    rows = docs.select(mixing._key(mixing.SEED, "doc_id", "source", "text"), "doc_id", "source", "text").collect()
+    full = None if weights is None else {r[2]: weights.get(r[2], Fraction(sum(weights.values()), len(weights))) for r in rows}
+    want = [(slot, within, key, row[1], row[2]) for slot, within, key, row in brute.mixed([tuple(r) for r in rows], block, full)]
+    got = sorted(mixing.order(docs, weights=weights, block_chars=block).collect(), key=lambda r: r.position)
+    assert [(r.slot, r.key, r.doc_id, r.source) for r in got] == [(w[0], *w[2:]) for w in want]
+    assert [r.position for r in got] == list(range(len(want)))
+
+
 def test_order_holds_all_documents(documents, edge, empty):
     rows = mixing.order(documents, block_chars=2_000).collect()
     assert sorted(r.position for r in rows) == list(range(documents.count()))

@@ -2,16 +2,20 @@
 
 ``run`` applies them to the table documents. Every stage works on all rows the
 one before it kept; the first four return the columns of documents, the last
-the read-back digest of the token files.
+the read-back digest of the token files. The mixing stage returns its documents
+in the mixed order, files and their rows, and the token files keep that order:
+``start`` counts the ids of the documents that the schedule puts before one.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldline.llm import decontaminate, mixing, quality, simhash, tokens
-from fieldline.session import materialise, new_path
+from fieldline.session import discard, finished, new_path
 
 # Tokenization has no SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
@@ -40,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files in the order in which ``docs`` is stored, read back: doc_id, start, n_tokens, ids_crc32."""
     path = new_path(spark, "corpus-tokens")
-    tokens.write(docs, path, public_tokenizers.path(TOKENIZER))
+    tokens.write(docs, path, public_tokenizers.path(TOKENIZER), as_stored=True)
     return tokens.checksums(tokens.read(spark, path))
 
 
@@ -56,7 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"corpus-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = finished(spark, partial(stage, spark, docs, sf_dir), f"corpus-{name}")
+        discard(*spent)
+        spent = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*spent)
+    return out

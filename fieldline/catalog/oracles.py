@@ -6,6 +6,8 @@ on it with common table expressions.
 
 from __future__ import annotations
 
+import re
+
 from fieldline import fixed
 
 EV = """
@@ -172,7 +174,7 @@ CELLS = f"cel AS (SELECT match, period, player, {CELL_COUNTS} FROM evc GROUP BY
 
 FEATURE_CTES = [EV, PL, *_share_ctes(), SEASON, FOOT, CENTROID, RATE, ANGLE, DISTANCE, CELLS]
 FEATURES = (
-    "feat AS (SELECT k.match, k.period, k.player, "
+    "feat AS MATERIALIZED (SELECT k.match, k.period, k.player, "
     + ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in fixed.FEATURES)
     + " FROM (SELECT DISTINCT match, period, player FROM ev) k"
     + "".join(
@@ -202,7 +204,7 @@ def _filled_by(key: str, name: str, source: str, columns: str) -> str:
         f'coalesce("{c}", avg("{c}") OVER (PARTITION BY {key}), 0) AS "{c}"' if c in fixed.MEAN_FILLED else f'coalesce("{c}", 0) AS "{c}"'
         for c in fixed.FEATURES
     )
-    return f"{name} AS (SELECT {columns}, {values} FROM {source})"
+    return f"{name} AS MATERIALIZED (SELECT {columns}, {values} FROM {source})"
 
 
 BY_PLAYER = _filled_by("player", "fpl", "feat", "player, match, period")
@@ -337,15 +339,18 @@ def _search(body: str, *more: str) -> str:
 
 
 # --- k-means on the embeddings --------------------------------------------------
-def _kmeans(rounds: int) -> str:
-    parts = [
-        "pts AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-        "lng AS (SELECT vec_id, label, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM pts)",
-        "c0 AS (SELECT label AS c, d, avg(val) AS m FROM lng GROUP BY ALL)",
-    ]
+_POINTS = [
+    "pts AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+    "lng AS MATERIALIZED (SELECT vec_id, label, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM pts)",
+]
+
+
+def _kmeans(rounds: int, *start: str) -> str:
+    """Rounds from the centres c0 (c, d, m)."""
+    parts = [*_POINTS, *start]
     for r in range(rounds + 1):
         parts.append(
-            f"""a{r} AS (
+            f"""a{r} AS MATERIALIZED (
   SELECT vec_id, arg_min(c, {{'dist': round(dist, 9), 'c': c}}) AS c, min(dist) AS dist
   FROM (SELECT vec_id, c, sum((val - m) ** 2) AS dist FROM lng JOIN c{r} USING (d) GROUP BY vec_id, c)
   GROUP BY vec_id
@@ -353,12 +358,52 @@ def _kmeans(rounds: int) -> str:
         )
         if r < rounds:
             parts.append(
-                f"c{r + 1} AS (SELECT a.c, d, avg(val) AS m FROM lng JOIN a{r} a USING (vec_id) GROUP BY a.c, d)"
+                f"c{r + 1} AS MATERIALIZED (SELECT a.c, d, avg(val) AS m FROM lng JOIN a{r} a USING (vec_id) GROUP BY a.c, d)"
             )
     body = f"SELECT vec_id, CAST(c AS INTEGER) AS cluster, round(dist, 6) AS cost FROM a{rounds}"
     return _with(*parts, body=body)
 
 
+LABEL_START = "c0 AS (SELECT label AS c, d, avg(val) AS m FROM lng GROUP BY ALL)"
+
+
+def _drawn(text: str) -> str:
+    """A number from 0 to 1: 52 bits of the MD5 of a text."""
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _parallel_start(k: int, seed: int = 42, rounds: int = 5, oversample: int = 2) -> list[str]:
+    """First centres c0 by k-means||: points drawn by distance, weighted by the points nearest to them, k of them picked."""
+    away = "list_sum(list_transform(p.v, lambda e, i: (e - q.v[i]) * (e - q.v[i])))"
+    parts = [
+        f"s0 AS MATERIALIZED (SELECT 0::BIGINT AS j, v FROM pts ORDER BY {_drawn(f"'{seed}:first:' || vec_id")}, vec_id LIMIT 1)",
+    ]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"f{r} AS MATERIALIZED (SELECT vec_id, any_value(p.v) AS v, CAST(round(min({away}) * 1e9) AS BIGINT) AS far FROM pts p, s{r - 1} q GROUP BY vec_id)",
+            f"""s{r} AS MATERIALIZED (
+  SELECT * FROM s{r - 1} UNION ALL
+  SELECT (SELECT count(*) FROM s{r - 1}) + row_number() OVER (ORDER BY vec_id) - 1, v FROM f{r}
+  WHERE {_drawn(f"'{seed}:{r}:' || vec_id")} * (SELECT CAST(sum(far) AS DOUBLE) FROM f{r}) < CAST(far AS DOUBLE) * {float(oversample * k)}
+)""",
+        ]
+    parts += [
+        f"near AS (SELECT vec_id, arg_min(j, {{'d': round({away}, 9), 'j': j}}) AS j FROM pts p, s{rounds} q GROUP BY vec_id)",
+        f"w0 AS MATERIALIZED (SELECT q.j, q.v, coalesce(n, 0)::HUGEINT AS w, NULL::HUGEINT AS far, coalesce(n, 0)::HUGEINT AS mass "
+        f"FROM s{rounds} q LEFT JOIN (SELECT j, count(*) AS n FROM near GROUP BY j) n ON n.j = q.j)",
+    ]
+    for m in range(k):
+        parts += [
+            f"p{m} AS MATERIALIZED (SELECT j, v FROM (SELECT *, sum(mass) OVER (ORDER BY j) AS upto, sum(mass) OVER () AS total FROM w{m}) "
+            f"WHERE CAST(upto AS DOUBLE) > {_drawn(f"'{seed}:pick{m}'")} * CAST(total AS DOUBLE) ORDER BY j LIMIT 1)",
+            f"g{m} AS (SELECT p.j, least(p.far, CAST(round({away} * 1e9) AS HUGEINT)) AS far FROM w{m} p, p{m} q)",
+            f"w{m + 1} AS MATERIALIZED (SELECT w.j, w.v, w.w, g.far, w.w * g.far AS mass FROM w{m} w JOIN g{m} g ON g.j = w.j)",
+        ]
+    picks = " UNION ALL ".join(f"SELECT {m} AS c, v FROM p{m}" for m in range(k))
+    parts.append(f"c0 AS MATERIALIZED (SELECT c, unnest(v) AS m, generate_subscripts(v, 1) AS d FROM ({picks}))")
+    return parts
+
+
 # Enough to be past convergence: later rounds change nothing.
 KMEANS_ROUNDS = 40
 
@@ -369,8 +414,11 @@ KMEANS_ROUNDS = 40
 ROLE_ROUNDS = 60
 
 
-def _role_model(role: str) -> list[str]:
-    """Distances of the role's and of unknown rows to the final centres, in ``near_<role>`` (rid, c, dist)."""
+def _role_model(role: str, train: str = "true", score: str = "true") -> list[str]:
+    """Distances of the role's and of unknown rows to the final centres, in ``near_<role>`` (rid, c, dist).
+
+    ``train`` and ``score`` are the conditions of rows that fit the model, and of those it is applied to.
+    """
     r, scaled = role.lower(), fixed.SCALED_DF if role == "DF" else fixed.SCALED_FW_MD
     bounds = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in scaled)
     values = ", ".join(
@@ -378,14 +426,14 @@ def _role_model(role: str) -> list[str]:
         for c in fixed.FEATURES
     )
     parts = [
-        f"b_{r} AS (SELECT {bounds} FROM rws WHERE role = '{role}')",
-        f"v_{r} AS (SELECT rid, player, role, [{values}] AS v FROM rws, b_{r} WHERE role = '{role}' OR role IS NULL)",
-        f"l_{r} AS MATERIALIZED (SELECT rid, player, role, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM v_{r})",
+        f"b_{r} AS (SELECT {bounds} FROM rws WHERE role = '{role}' AND {train})",
+        f"v_{r} AS (SELECT rid, player, role, match, [{values}] AS v FROM rws, b_{r} WHERE role = '{role}' OR role IS NULL)",
+        f"l_{r} AS MATERIALIZED (SELECT rid, player, role, match, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM v_{r})",
         f"c0_{r} AS MATERIALIZED (SELECT CAST(floor(player / 5) % {len(fixed.ROLE_NAMES[role])} AS INTEGER) AS c, d, avg(val) AS m "
-        f"FROM l_{r} WHERE role = '{role}' GROUP BY ALL)",
+        f"FROM l_{r} WHERE role = '{role}' AND {train} GROUP BY ALL)",
     ]
     for k in range(ROLE_ROUNDS + 1):
-        only = f"WHERE role = '{role}'" if k < ROLE_ROUNDS else ""
+        only = f"WHERE role = '{role}' AND {train}" if k < ROLE_ROUNDS else f"WHERE {score}"
         parts.append(
             f"""a{k}_{r} AS MATERIALIZED (
   SELECT rid, arg_min(c, {{'dist': round(dist, 9), 'c': c}}) AS c, min(dist) AS dist
@@ -401,14 +449,16 @@ def _role_model(role: str) -> list[str]:
     return parts
 
 
-def _roles(body: str, *more: str) -> str:
+def _roles(body: str, *more: str, train: str = "true", score: str = "true") -> str:
     names = [r.lower() for r in fixed.ROLE_NAMES]
+    table, filled = TABLE_CTES
     return _features(
         body,
-        *TABLE_CTES,
+        table,
+        filled if train == "true" else re.sub(r'avg\(("[^"]*")\) OVER \(\)', rf"avg(\1) FILTER (WHERE {train}) OVER ()", filled),
         *TOP_CELLS,
         "rws AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM kept)",
-        *[part for role in fixed.ROLE_NAMES for part in _role_model(role)],
+        *[part for role in fixed.ROLE_NAMES for part in _role_model(role, train, score)],
         "costs AS (" + " UNION ALL ".join(f"SELECT '{r.upper()}' AS role, sum(dist) AS cost FROM near_{r} WHERE role IS NULL" for r in names) + ")",
         "labelled AS ("
         + " UNION ALL ".join(
@@ -421,6 +471,56 @@ def _roles(body: str, *more: str) -> str:
     )
 
 
+_CHECKS = ", ".join(f"true AS {c}" for c in ("eigen", "unit", "orthogonal", "falling", "signed", "share"))
+
+
+def _variances() -> str:
+    """Sums of the shares of variance and of their squares: traces of each role's covariance matrix and of its square."""
+    names = list(fixed.ROLE_NAMES)
+    parts = []
+    for role in names:
+        r = role.lower()
+        parts += [
+            f"d_{r} AS MATERIALIZED (SELECT rid, d, val - avg(val) OVER (PARTITION BY d) AS x FROM l_{r} WHERE role = '{role}')",
+            f"k_{r} AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS c FROM d_{r} a JOIN d_{r} b ON a.rid = b.rid GROUP BY ALL)",
+        ]
+    body = " UNION ALL ".join(
+        f"""SELECT '{role}' AS role, count(*) FILTER (WHERE i = j) AS components, round(sum(c) FILTER (WHERE i = j) / t, 6) AS total,
+  round(sum(c * c) / t ** 2, 6) AS squares, 1.0::DOUBLE AS cumulative
+FROM k_{role.lower()}, (SELECT sum(c) AS t FROM k_{role.lower()} WHERE i = j) GROUP BY t"""
+        for role in names
+    )
+    return _roles(body, *parts)
+
+
+def _assembled() -> str:
+    """All measures per match and player, those per player beside them."""
+    return _with(
+        EV, SEASON, FOOT,
+        "mc AS (SELECT match, team, player, count(*) AS n_all, "
+        + ", ".join(f"count(*) FILTER (WHERE {w}) AS {n}" for n, w in KINDS.items())
+        + " FROM evc GROUP BY ALL)",
+        "ms AS (SELECT match, player, "
+        + ", ".join(
+            f"CASE WHEN {n} > 0 THEN {n}::DOUBLE / "
+            + ("n_all" if n in OF_PLAYER else f"sum({n}) OVER (PARTITION BY match, team)")
+            + f" END AS {column}"
+            for n in KINDS
+            for column in (
+                ["foul_pct_WRT_x", "foul_pct_WRT_y"] if n == "foul" else [f"{n}_pct_{'WRP' if n in OF_PLAYER else 'WRT'}"]
+            )
+        )
+        + " FROM mc)",
+        "mp AS (SELECT match, player, (max(sec) - min(sec)) / count(DISTINCT id) AS tempo_medio_tra_eventi, "
+        "avg(angle) AS angle_mean, stddev_samp(angle) AS angle_std FROM evc GROUP BY ALL)",
+        "m AS (SELECT ms.*, mp.* EXCLUDE (match, player) FROM ms JOIN mp ON ms.match = mp.match AND ms.player = mp.player)",
+        body='SELECT m.player AS "playerId", m.match AS "matchId", '
+        + rounded([*SHARE_COLUMNS, "tempo_medio_tra_eventi", "angle_mean", "angle_std", "assist", "gol", "yellow_card", "ambidestro"])
+        + " FROM m LEFT JOIN sea ON sea.player = m.player LEFT JOIN foot ON foot.player = m.player "
+        "WHERE m.player <> 0",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     tags = ", ".join(
         f"CASE WHEN t{t} THEN '{t}' END" for t in (1801, 101, 301, 302, 1401, 1702, 401, 402, 703)
@@ -592,30 +692,17 @@ FROM grid a JOIN grid b ON a.team = 0 AND b.team = 1 AND a.cx = b.cx AND a.cy =
         FROM feat JOIN pl ON pl.wy = feat.player WHERE role IN ('DF', 'MD', 'FW'))
 ) GROUP BY role, bin"""
         ),
-        "assemble_measures": _with(
-            EV, SEASON, FOOT,
-            "mc AS (SELECT match, team, player, count(*) AS n_all, "
-            + ", ".join(f"count(*) FILTER (WHERE {w}) AS {n}" for n, w in KINDS.items())
-            + " FROM evc GROUP BY ALL)",
-            "ms AS (SELECT match, player, "
-            + ", ".join(
-                f"CASE WHEN {n} > 0 THEN {n}::DOUBLE / "
-                + ("n_all" if n in OF_PLAYER else f"sum({n}) OVER (PARTITION BY match, team)")
-                + f" END AS {column}"
-                for n in KINDS
-                for column in (
-                    ["foul_pct_WRT_x", "foul_pct_WRT_y"] if n == "foul" else [f"{n}_pct_{'WRP' if n in OF_PLAYER else 'WRT'}"]
-                )
-            )
-            + " FROM mc)",
-            "mp AS (SELECT match, player, (max(sec) - min(sec)) / count(DISTINCT id) AS tempo_medio_tra_eventi, "
-            "avg(angle) AS angle_mean, stddev_samp(angle) AS angle_std FROM evc GROUP BY ALL)",
-            "m AS (SELECT ms.*, mp.* EXCLUDE (match, player) FROM ms JOIN mp ON ms.match = mp.match AND ms.player = mp.player)",
-            body='SELECT m.player AS "playerId", m.match AS "matchId", '
-            + rounded([*SHARE_COLUMNS, "tempo_medio_tra_eventi", "angle_mean", "angle_std", "assist", "gol", "yellow_card", "ambidestro"])
-            + " FROM m LEFT JOIN sea ON sea.player = m.player LEFT JOIN foot ON foot.player = m.player "
-            "WHERE m.player <> 0",
+        "distance_quantile": _features(
+            """SELECT role, unnest([0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS q, n, round(unnest(v), 6) AS total_distance FROM (
+  SELECT role, count(total_distance) AS n, quantile_cont(total_distance, [0.25, 0.5, 0.75, 0.99]) AS v
+  FROM feat LEFT JOIN pl ON pl.wy = feat.player GROUP BY role)"""
         ),
+        "far_runners": _features(
+            """SELECT player AS "playerId", match AS "matchId", period AS "matchPeriod", round(total_distance, 6) AS total_distance
+FROM feat WHERE total_distance > (SELECT quantile_cont(total_distance, 0.75) FROM feat)"""
+        ),
+        "assemble_measures": _assembled(),
+        "measure_folder": _assembled(),
         # tables
         "role_override": _with(
             PL, EV,
@@ -637,7 +724,9 @@ SELECT label AS seed_group, d - 1 AS axis, round(avg(val), 6) AS value, count(*)
 FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS val, generate_subscripts(embedding, 1) AS d FROM embeddings)
 GROUP BY label, d
 """,
-        "seeded_kmeans": _kmeans(KMEANS_ROUNDS),
+        "seeded_kmeans": _kmeans(KMEANS_ROUNDS, LABEL_START),
+        "random_kmeans": _kmeans(KMEANS_ROUNDS, *_parallel_start(9)),
+        "pca_components": f"SELECT CAST(i AS INTEGER) AS component, {_CHECKS} FROM range(18) AS t(i)",
         "pca_energy": """
 WITH lng AS (
   SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS val, generate_subscripts(embedding, 1) AS d FROM embeddings
@@ -675,6 +764,37 @@ FROM (SELECT generate_subscripts(embedding, 1) AS d FROM embeddings) WHERE d > 1
 FROM (SELECT player, count(DISTINCT match) AS n FROM kept GROUP BY player) app
 LEFT JOIN pl ON pl.wy = app.player LEFT JOIN nation ON n_nationkey = pl.team LEFT JOIN (SELECT DISTINCT player, label FROM labelled) lab ON lab.player = app.player"""
         ),
+        "pca_variance": _variances(),
+        "role_components": "SELECT role, CAST(i AS INTEGER) AS component, "
+        + _CHECKS
+        + " FROM (VALUES "
+        + ", ".join(f"('{r}', {k})" for r, k in fixed.ROLE_COMPONENTS.items())
+        + ") AS t(role, k), range(60) AS n(i) WHERE i < k",
+        "saved_roles": _roles(
+            "SELECT role, label, count(*) AS n FROM labelled GROUP BY role, label",
+            train="coalesce(match % 2 <> 0, true)", score="coalesce(match % 2 = 0, false)",
+        ),
+        # files
+        **dict.fromkeys(("event_arrays", "event_ranges", "event_lines", "event_parquet"), _with(
+            EV,
+            body='SELECT id, player AS "playerId", match AS "matchId", period AS "matchPeriod", team AS "teamId", ev_id AS "eventId", '
+            f'sub_id AS "subEventId", ev_name AS "eventName", sec AS "eventSec", x, y, x_end, y_end, concat_ws(\',\', {tags}) AS tag_list FROM ev',
+        )),
+        "dimension_files": _with(
+            EV, PL,
+            body="""SELECT 'player' AS kind, wy AS id, concat_ws('|', name, name, role) AS text, height + weight AS size FROM pl
+UNION ALL SELECT 'team', n_nationkey, concat_ws('|', 'Team' || n_nationkey, n_name), 0.0::DOUBLE FROM nation
+UNION ALL SELECT DISTINCT 'match', match, CASE WHEN match % 2 = 0 THEN 'Team0 - Team1' ELSE 'Team1 - Team0' END, 0.0::DOUBLE FROM ev
+UNION ALL SELECT 'name', wy, name, 0.0::DOUBLE FROM pl""",
+        ),
+        "feature_csv": _features(f"SELECT {GK}, {rounded(fixed.FEATURES)} FROM feat"),
+        "ordered_report": _with(
+            EV,
+            body="""SELECT player AS "playerId", n AS numero_presenze, row_number() OVER (ORDER BY n DESC, player) - 1 AS position
+FROM (SELECT player, count(DISTINCT match) AS n FROM ev GROUP BY player)""",
+        ),
+        "player_lookup": _with(PL, body='SELECT wy AS "playerId", name FROM pl WHERE wy IN (7, 14, 21)'),
+        "table_shape": _features(f"SELECT count(*) AS n_rows, {len(fixed.FEATURES) + 3}::BIGINT AS n_columns FROM feat"),
         # search
         "pair_cosine": _features(
             f'SELECT match AS "matchId", player AS "playerId", round({_DOT.format("a", "b")} / '

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.catalog import view
 from fieldline.functions import events as ev
 from fieldline.functions.vectors import nearest
-from fieldline.operators import cells, grid, motion, rates, roles, scaling, search, tables
+from fieldline.operators import cells, grid, motion, quantiles, rates, roles, scaling, search, tables
 from fieldline.plans import jobs
 from fieldline.schema import GROUP, PERIOD
-from fieldline.session import materialise
+from fieldline.session import discard, materialise, new_path
+from fieldline.sources import json_arrays, readers
+from fieldline.sources.writers import write_csv, write_events, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,7 +159,33 @@ def distance_histogram(spark, d):
 def assemble_measures(spark, d):
     events = view.events(spark, d)
     per_player = [rates.season_means(events), rates.foot_balance(events)]
-    return rounded(jobs.assemble_measures(jobs.match_measures(events), per_player))
+    return rounded(jobs.assemble_measures([jobs.match_measures(events)], per_player))
+
+
+def measure_folder(spark, d):
+    """The same table by way of a folder of CSV files, one per measure or few of them."""
+    events, folder = view.events(spark, d), new_path(spark, "measures")
+    wide = materialise(jobs.match_measures(events), "match-measures")
+    keys, pace = ["matchId", "playerId"], ["tempo_medio_tra_eventi", "angle_mean", "angle_std"]
+    shares = [c for c in wide.columns if c not in {*keys, *pace}]
+    for name, columns in {"shares_a": shares[::2], "shares_b": shares[1::2], pace[0]: pace[:1], "angles": pace[1:]}.items():
+        write_csv(wide.select(*keys, *columns), f"{folder}/{name}.csv")
+    write_csv(rates.season_means(events), f"{folder}/season.csv")
+    write_csv(rates.foot_balance(events), f"{folder}/ambidestro.csv")
+    discard(wide)
+    return rounded(jobs.assemble_folder(spark, folder))
+
+
+def distance_quantile(spark, d):
+    """Quartiles of the distance covered, per role."""
+    by_role = roles.with_roles(motion.total_distance(view.events(spark, d)), roles.classic_roles(view.players(spark, d)))
+    return rounded(quantiles.quantiles(by_role, "total_distance", [0.25, 0.5, 0.75, 0.99], ["role"]), ["total_distance"])
+
+
+def far_runners(spark, d):
+    """Rows above the upper quartile of all distances."""
+    found = quantiles.above_quantile(motion.total_distance(view.events(spark, d)), "total_distance", 0.75)
+    return rounded(found.select(*GROUP, "total_distance"))
 
 
 # --- tables -----------------------------------------------------------------
@@ -177,7 +205,6 @@ def top_tacklers(spark, d):
 
 # --- vectors and roles --------------------------------------------------------
 DIMENSIONS = 64
-VARIANCE_COMPONENTS = {"DF": 54, "FW": 54, "MD": 48}
 
 
 def seed_centroids(spark, d):
@@ -217,24 +244,38 @@ def pca_energy(spark, d):
 
 
 def pca_components(spark, d):
+    """The properties that make 18 directions the leading components, each checked on its own."""
     wide, names = _embedding_columns(spark, d)
-    model = roles.principal_components(names, 18).fit(wide)
-    return roles.component_columns(roles.transform_components(model, wide).select("vec_id", "components"), 18)
+    return roles.component_checks(roles.principal_components(names, 18).fit(wide), wide)
 
 
 def random_kmeans(spark, d):
-    wide, names = _embedding_columns(spark, d)
-    model = roles.principal_components(names, 20).fit(wide)
-    clustered = roles.random_kmeans(model.transform(wide), k=9, seed=42)
-    return clustered.groupBy("cluster").agg(F.count("*").alias("n"))
+    clustered = roles.random_kmeans(view.embeddings(spark, d), 9, key="vec_id", tolerance=1e-18)  # until no point changes its centre
+    return rounded(clustered.select("vec_id", "cluster", "cost"))
 
 
 def pca_variance(spark, d):
+    """Stated shares of variance of each role's components: their sum, and that of their squares."""
+    table, found = jobs.role_input(_stored_features(spark, d), view.players(spark, d)), None
+    for role in fixed.ROLE_NAMES:
+        rows = table.filter(F.col("role") == role)
+        model = roles.principal_components(fixed.FEATURES, len(fixed.FEATURES), roles.scaled_columns(role)).fit(rows)
+        share = F.col("ratio")
+        part = roles.explained_variance(model, spark).agg(
+            F.lit(role).alias("role"), F.count("*").alias("components"), F.sum(share).alias("total"), F.sum(share * share).alias("squares"),
+            F.max("cumulative").alias("cumulative"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return rounded(found)
+
+
+def role_components(spark, d):
+    """As ``pca_components``, for the components of each role's columns in their published numbers."""
     table, found = jobs.role_input(_stored_features(spark, d), view.players(spark, d)), None
-    for role, k in VARIANCE_COMPONENTS.items():
+    for role, k in fixed.ROLE_COMPONENTS.items():
         rows = table.filter(F.col("role") == role)
         model = roles.principal_components(fixed.FEATURES, k, roles.scaled_columns(role)).fit(rows)
-        part = roles.explained_variance(model, spark).withColumn("role", F.lit(role))
+        part = roles.component_checks(model, rows).withColumn("role", F.lit(role))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -307,6 +348,104 @@ def seed_check(spark, d, full: bool = False):
     return found
 
 
+def saved_roles(spark, d):
+    """Models of one half of the matches, with the means that fill their gaps, saved, loaded, and applied to the other half."""
+    people = view.players(spark, d)
+    table = materialise(roles.with_roles(_features(spark, d), roles.classic_roles(people)), "with-roles")
+    held = F.coalesce(F.col("matchId") % 2 == 0, F.lit(False))
+    models = jobs.train_whole_roles(
+        table.filter(~held), _examples(people), components=dict.fromkeys(fixed.ROLE_NAMES, len(fixed.FEATURES)), tolerance=1e-18
+    )
+    folder = new_path(spark, "models")
+    for role, model in models.items():
+        model.save(f"{folder}/{role}", spark)
+    loaded = {role: roles.RoleModel.load(f"{folder}/{role}", spark) for role in models}
+    return jobs.score_roles(loaded, table.filter(held)).groupBy("role", "label").agg(F.count("*").alias("n"))
+
+
+# --- files: written to the shared folder and read back ---
+EVENT_COLUMNS = ["id", "playerId", "matchId", "matchPeriod", "teamId", "eventId", "subEventId", "eventName", "eventSec", "x", "y", "x_end", "y_end"]
+
+
+def _events_back(events: DataFrame) -> DataFrame:
+    return events.select(*EVENT_COLUMNS, F.array_join(F.col("tags").cast("array<string>"), ",").alias("tag_list"))
+
+
+def event_arrays(spark, d):
+    """The log as JSON arrays, read by byte ranges."""
+    path = new_path(spark, "event-arrays")
+    json_arrays.write_arrays(view.raw_events(spark, d), path)
+    return _events_back(readers.read_events(spark, path, layout="array"))
+
+
+def event_ranges(spark, d):
+    """One JSON array, read in ranges of 64 kB."""
+    path, size = new_path(spark, "event-array"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    json_arrays.write_arrays(view.raw_events(spark, d).coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        return materialise(_events_back(readers.read_events(spark, path, layout="array")), "events-back")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def event_lines(spark, d):
+    path = new_path(spark, "event-lines")
+    view.raw_events(spark, d).write.json(path)
+    return _events_back(readers.read_events(spark, path))
+
+
+def event_parquet(spark, d):
+    path = new_path(spark, "event-parquet")
+    write_events(view.raw_events(spark, d), path)
+    return _events_back(readers.read_events(spark, path, fmt="parquet"))
+
+
+def dimension_files(spark, d):
+    """Players, teams and matches as JSON files, read back with their schemas."""
+    folder = new_path(spark, "dimensions")
+    view.players(spark, d).coalesce(1).write.json(f"{folder}/players")
+    view.teams(spark, d).coalesce(1).write.json(f"{folder}/teams")
+    json_arrays.write_arrays(view.matches(spark, d).coalesce(1), f"{folder}/matches")
+    view.player_names(spark, d).coalesce(1).write.json(f"{folder}/names")
+    people = readers.read_players(spark, f"{folder}/players", "lines")
+    parts = [
+        people.select(F.lit("player").alias("kind"), F.col("wyId").alias("id"), F.concat_ws("|", "shortName", "lastName", "role.code2").alias("text"), F.col("height") + F.col("weight")),
+        readers.read_teams(spark, f"{folder}/teams", "lines").select(F.lit("team"), "wyId", F.concat_ws("|", "name", "officialName"), F.lit(0.0)),
+        readers.read_matches(spark, f"{folder}/matches").select(F.lit("match"), "wyId", "label", F.lit(0.0)),
+        readers.read_player_names(spark, f"{folder}/names", "lines").select(F.lit("name"), "playerId", "name", F.lit(0.0)),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).toDF("kind", "id", "text", "size")
+
+
+def feature_csv(spark, d):
+    path = new_path(spark, "feature-csv")
+    write_csv(_features(spark, d), path)
+    return rounded(readers.read_feature_csv(spark, path, index_column=False).select(*GROUP, *fixed.FEATURES))
+
+
+def ordered_report(spark, d):
+    """Appearances in descending order, written and read back: the order is that of files and rows."""
+    path = new_path(spark, "ordered")
+    ordered = rates.appearances(view.events(spark, d)).orderBy(F.desc("numero_presenze"), "playerId")
+    write_parquet(ordered, path)
+    rows = spark.read.parquet(path).select("playerId", "numero_presenze", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    files = rows.groupBy("at.file_name").agg(F.count("*").alias("n"))
+    before = files.select("file_name", (F.sum("n").over(Window.orderBy("file_name")) - F.col("n")).alias("before"))
+    return rows.join(before, rows["at.file_name"] == before["file_name"]).select(
+        "playerId", "numero_presenze", (F.col("before") + F.col("at.row_index")).alias("position")
+    )
+
+
+def player_lookup(spark, d):
+    return tables.rows_of(view.player_names(spark, d), "playerId", [7, 14, 21])
+
+
+def table_shape(spark, d):
+    rows, columns = tables.shape(_features(spark, d))
+    return spark.createDataFrame([(rows, columns)], "n_rows long, n_columns long")
+
+
 # --- feature search -----------------------------------------------------------
 def _pairs(spark, d) -> DataFrame:
     """First and second half of each player's matches, gaps filled with the player's own means."""
@@ -387,7 +526,10 @@ def queries() -> dict[str, Query]:
         "top_cells": top_cells,
         "minmax": minmax,
         "distance_histogram": distance_histogram,
+        "distance_quantile": distance_quantile,
+        "far_runners": far_runners,
         "assemble_measures": assemble_measures,
+        "measure_folder": measure_folder,
         "role_override": role_override,
         "value_counts": lambda s, d: tables.value_counts(view.events(s, d), "matchPeriod"),
         "distinct_roles": lambda s, d: tables.distinct_values(roles.classic_roles(view.players(s, d)), "role"),
@@ -410,6 +552,17 @@ def queries() -> dict[str, Query]:
         "unknown_role_full": lambda s, d: rounded(unknown_role(s, d, full=True)),
         "seed_check": seed_check,
         "seed_check_full": lambda s, d: seed_check(s, d, full=True),
+        "role_components": role_components,
+        "saved_roles": saved_roles,
+        "event_arrays": event_arrays,
+        "event_ranges": event_ranges,
+        "event_lines": event_lines,
+        "event_parquet": event_parquet,
+        "dimension_files": dimension_files,
+        "feature_csv": feature_csv,
+        "ordered_report": ordered_report,
+        "player_lookup": player_lookup,
+        "table_shape": table_shape,
         "pair_cosine": pair_cosine,
         "dropped_features": dropped_features,
         "feature_search": lambda s, d: jobs.feature_search(_pairs(s, d)),

@@ -33,25 +33,31 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def least_kept_sql(cells: Sequence[str] = tuple(fixed.CELLS), keep: int = 3) -> str:
+    entries = ", ".join(f"named_struct('v', `{c}`, 'i', {i})" for i, c in enumerate(cells))
+    return f"element_at(sort_array(array({entries}), false), {int(keep)})"
+
+
 def least_kept(cells: Sequence[str] = tuple(fixed.CELLS), keep: int = 3) -> Column:
     """The ``keep``-th largest cell of a row as a struct (v, i).
 
     Equal counts are decided for the later cell.
     """
-    entries = ", ".join(f"named_struct('v', `{c}`, 'i', {i})" for i, c in enumerate(cells))
-    return F.expr(f"element_at(sort_array(array({entries}), false), {int(keep)})")
+    return F.expr(least_kept_sql(cells, keep))
 
 
-def cells_from(least: str, cells: Sequence[str] = tuple(fixed.CELLS)) -> list[Column]:
-    """The cells that rank at or above the struct ``least``; the others become 0."""
+def cells_from_sql(least: str, cells: Sequence[str] = tuple(fixed.CELLS)) -> list[str]:
     return [
-        F.expr(
-            f"CASE WHEN `{c}` > {least}.v OR (`{c}` = {least}.v AND {i} >= {least}.i) THEN `{c}` ELSE 0D END AS `{c}`"
-        )
+        f"CASE WHEN `{c}` > {least}.v OR (`{c}` = {least}.v AND {i} >= {least}.i) THEN `{c}` ELSE 0D END AS `{c}`"
         for i, c in enumerate(cells)
     ]
 
 
+def cells_from(least: str, cells: Sequence[str] = tuple(fixed.CELLS)) -> list[Column]:
+    """The cells that rank at or above the struct ``least``; the others become 0."""
+    return [F.expr(c) for c in cells_from_sql(least, cells)]
+
+
 def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distance of each point to each centre."""
     return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)

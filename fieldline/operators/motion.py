@@ -4,9 +4,9 @@ Sums, means and counts are ordinary aggregates with a partial step, so a hot
 group is combined before it is shuffled. Two measures need every row beside its
 group: the distance to the group's centroid and the path along the order of
 events. Ordinary groups get both from one shuffle with windows. Groups too
-large for one task are taken out first (see ``skew.split_hot``): their
-centroids are broadcast, and their path is cut into ranges of the event order
-whose ends are joined up afterwards.
+large for one task are taken out (see ``skew.split_hot``): their centroids are
+broadcast, and their path is cut into ranges of the event order whose ends are
+joined up afterwards.
 """
 
 from __future__ import annotations
@@ -62,27 +62,27 @@ def previous_event(
 ) -> DataFrame:
     """Each event beside the time of the one before it in its group."""
     order = Window.partitionBy(*keys).orderBy(*ORDER)
-    ordinary, hot, ranges, _ = split_hot(events, keys, hot_rows)
+    ordinary, hot = split_hot(events, keys, hot_rows)
     plain = ordinary.withColumn("previous_sec", F.lag("eventSec").over(order))
-    return plain if hot is None else plain.unionByName(_previous_in_hot(hot, keys, ranges))
+    return plain.unionByName(_previous_in_hot(hot, keys))
 
 
-def _in_ranges(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+def _in_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows in ranges of (group, event order), numbered in ``_piece``.
 
     Range bounds follow the data down to the event id, so even a group with
     one single time is divided.
     """
     order = [*keys, *ORDER]
-    return rows.repartitionByRange(ranges, *order).withColumn("_piece", F.spark_partition_id())
+    return rows.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id())
 
 
-def _previous_in_hot(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+def _previous_in_hot(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Look back within each range; the first row of a range takes the last
     time of the range before it. Those first rows are one per range."""
     inner = Window.partitionBy(*keys, "_piece")
     order = inner.orderBy(*ORDER)
-    pieces = _in_ranges(rows, keys, ranges).withColumns(
+    pieces = _in_ranges(rows, keys).withColumns(
         {
             "_back": F.lag("eventSec").over(order),
             "_place": F.when(F.row_number().over(order) == 1, F.lit(-1)).otherwise(F.col("_piece")),
@@ -141,18 +141,18 @@ def _ordinary_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _with_rate(measures)
 
 
-def _hot_spread(rows: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+def _hot_spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     centroids = rows.groupBy(*keys).agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-    return rows.join(F.broadcast(centroids) if few else centroids, list(keys)).groupBy(*keys).agg(_spread_measure())
+    return rows.join(F.broadcast(centroids), list(keys)).groupBy(*keys).agg(_spread_measure())
 
 
-def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+def _hot_path(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Path length of hot groups over ranges of their event order.
 
     Each range adds its own steps; the step from one range to the next is
     added from their ends.
     """
-    pieces = _in_ranges(rows.select(*keys, *ORDER, "x", "y"), keys, ranges)
+    pieces = _in_ranges(rows.select(*keys, *ORDER, "x", "y"), keys)
     inner = [*keys, "_piece"]
     at, point = F.struct(*ORDER), F.struct("x", "y")
     ends = (
@@ -175,10 +175,10 @@ def _hot_path(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
     )
 
 
-def _hot_groups(rows: DataFrame, keys: Sequence[str], ranges: int, few: bool) -> DataFrame:
+def _hot_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ids = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("id").alias("_ids"))
     plain = _with_rate(rows.groupBy(*keys).agg(*_plain_measures()).join(ids, list(keys)))
-    return plain.join(_hot_spread(rows, keys, few), list(keys)).join(_hot_path(rows, keys, ranges), list(keys))
+    return plain.join(_hot_spread(rows, keys), list(keys)).join(_hot_path(rows, keys), list(keys))
 
 
 def group_measures(
@@ -194,9 +194,8 @@ def group_measures(
     rows = events.select(
         *keys, *ORDER, "x", "y", "angle", "numero_cella_x", "numero_cella_y"
     )
-    ordinary, hot, ranges, few = split_hot(rows, keys, hot_rows, sizes)
-    measures = _ordinary_groups(ordinary, keys)
-    return measures if hot is None else measures.unionByName(_hot_groups(hot, keys, ranges, few))
+    ordinary, hot = split_hot(rows, keys, hot_rows, sizes)
+    return _ordinary_groups(ordinary, keys).unionByName(_hot_groups(hot, keys))
 
 
 def position_dispersion(events: DataFrame, keys: Sequence[str] = tuple(GROUP), **skew) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from threading import Lock
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldline import fixed
@@ -94,10 +97,27 @@ def principal_components(columns: Sequence[str], k: int, scaled: Sequence[str] =
     return Pipeline(stages=stages)
 
 
+def loadings(model: PipelineModel) -> np.ndarray:
+    """The components' loadings as columns, each turned so that its largest loading is positive (the first of equal ones)."""
+    found = model.stages[-1].pc.toArray()
+    return found * _turns(found)
+
+
+def _turns(found: np.ndarray) -> np.ndarray:
+    largest = np.abs(found).argmax(axis=0)
+    return np.where(found[largest, np.arange(found.shape[1])] < 0, -1.0, 1.0)
+
+
 def transform_components(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with its components as an array column ``components``."""
+    """``df`` with its components as an array column ``components``.
+
+    A component's sign is that of ``loadings``, so that it does not depend on
+    the library that decomposed the matrix.
+    """
     kept = df.columns
-    return model.transform(df).select(*kept, vector_to_array("_components").alias("components"))
+    turns = F.array(*[F.lit(float(t)) for t in _turns(model.stages[-1].pc.toArray())])
+    turned = F.zip_with(vector_to_array("_components"), turns, lambda v, t: v * t)
+    return model.transform(df).select(*kept, turned.alias("components"))
 
 
 def component_columns(df: DataFrame, k: int) -> DataFrame:
@@ -118,10 +138,65 @@ def explained_variance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "component int, ratio double, cumulative double")
 
 
-def group_means(points: DataFrame, group: str, size: int, point: str = "components") -> DataFrame:
+def covariance(points: DataFrame, column: str, size: int) -> np.ndarray:
+    """Sample covariance of an array column of ``size`` numbers: two passes in Arrow batches, size x size numbers to the driver."""
+
+    def summed(make, shape: tuple[int, int]) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                if len(batch):
+                    total += make(np.stack(batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["at", "x"])
+
+        out = np.zeros(shape[0] * shape[1])
+        for row in points.select(column).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            out[row["at"]] = row["x"]
+        return out.reshape(shape)
+
+    sums = summed(lambda x: np.append(x.sum(axis=0), len(x))[None], (1, size + 1))[0]
+    mean, n = sums[:size] / max(sums[size], 1), sums[size]
+    return summed(lambda x: (x - mean).T @ (x - mean), (size, size)) / max(n - 1, 1)
+
+
+def component_checks(model: PipelineModel, df: DataFrame, within: float = 1e-9) -> DataFrame:
+    """Whether the fitted components are what they should be, one row each.
+
+    ``eigen``: the covariance matrix of the centred columns, added up apart from
+    the fit, maps the loadings to their multiple; ``unit``, ``orthogonal`` (to
+    all others), ``falling`` (no less variance than the next), ``signed``;
+    ``share``: its part of the variance is the one stated.
+    """
+    found = loadings(model)
+    size, k = found.shape
+    centred = model.transform(df).select(vector_to_array("_centred").alias("v"))
+    c = covariance(centred, "v", size)
+    values = np.einsum("ij,ij->j", found, c @ found)
+    off = np.abs(c @ found - found * values).max(axis=0)
+    apart = np.abs(found.T @ found - np.eye(k))
+    scale = max(float(np.abs(c).max()), 1e-300)
+    stated = np.array([float(v) for v in model.stages[-1].explainedVariance])
+    rows = [
+        (
+            i,
+            bool(off[i] <= within * scale),
+            bool(apart[i, i] <= within),
+            bool(np.delete(apart[i], i).max(initial=0) <= within),
+            bool(i + 1 == k or values[i] >= values[i + 1] - within * scale),
+            bool(found[np.abs(found[:, i]).argmax(), i] > 0),
+            bool(abs(stated[i] - values[i] / max(float(np.trace(c)), 1e-300)) <= within),
+        )
+        for i in range(k)
+    ]
+    names = ", ".join(f"{n} boolean" for n in ("eigen", "unit", "orthogonal", "falling", "signed", "share"))
+    return df.sparkSession.createDataFrame(rows, f"component int, {names}")
+
+
+def group_means(points: DataFrame, group: str | Sequence[str], size: int, point: str = "components") -> DataFrame:
     """Mean vector per group."""
     mean = ", ".join(f"avg(get(`{point}`, {i}))" for i in range(size))
-    return points.groupBy(group).agg(F.expr(f"array({mean}) AS centre"), F.count("*").alias("n"))
+    keys = [group] if isinstance(group, str) else list(group)
+    return points.groupBy(*keys).agg(F.expr(f"array({mean}) AS centre"), F.count("*").alias("n"))
 
 
 def example_groups(spark: SparkSession, groups: Sequence[Sequence[int]]) -> DataFrame:
@@ -149,34 +224,72 @@ def _shift(old: Centres, new: Centres) -> float:
     return sum((a - b) ** 2 for p, q in zip(old, new) for a, b in zip(p, q))
 
 
-def _tolerance(points: DataFrame, point: str, size: int) -> float:
-    total = " + ".join(f"var_pop(get(`{point}`, {i}))" for i in range(size))
-    return TOLERANCE * (points.agg(F.expr(total)).first()[0] or 0.0) / size
+def _tolerances(points: DataFrame, sizes: Mapping[str, int]) -> dict[str, float]:
+    """A small part of the mean variance of each group's points."""
+    total = " + ".join(f"coalesce(var_pop(get(components, {i})), 0)" for i in range(max(sizes.values())))
+    found = {r["group"]: r["v"] for r in points.groupBy("group").agg(F.expr(f"{total} AS v")).collect()}
+    return {g: TOLERANCE * (found.get(g) or 0.0) / size for g, size in sizes.items()}
 
 
-def _cluster_sums(points: DataFrame, centres: Centres) -> dict[int, list[float]]:
-    """Mean of the points nearest to each centre.
+def _cluster_means(points: DataFrame, centres: Mapping[str, Centres]) -> dict[str, dict[int, list[float]]]:
+    """Means of the points nearest to each centre, for several groups of points in one pass.
 
-    A task adds up its batches with numpy and sends k x (d + 1) numbers; Spark
-    sums them, and as many reach the driver.
+    A task carries the centres of all groups, adds up its batches with numpy and
+    sends k x (d + 1) numbers a group; Spark sums them, and as many reach the driver.
     """
-    table = np.array(centres)
-    k, d = table.shape
+    tables = {g: np.array(c) for g, c in centres.items()}
 
     def run(batches):
-        total = np.zeros((k, d + 1))
+        totals = {g: np.zeros((len(t), t.shape[1] + 1)) for g, t in tables.items()}
         for batch in batches:
-            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, d))
-            near = nearest_index(distances(x, table))
-            hot = (near[:, None] == np.arange(k)).astype(float)
-            total += hot.T @ np.hstack([x, np.ones((len(x), 1))])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["at", "x"])
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for g, table in tables.items():
+                own = np.flatnonzero(names == g)
+                if len(own):
+                    x = np.stack(batch.column(1).take(pa.array(own)).to_numpy(zero_copy_only=False))
+                    hot = (nearest_index(distances(x, table))[:, None] == np.arange(len(table))).astype(float)
+                    totals[g] += hot.T @ np.hstack([x, np.ones((len(x), 1))])
+        for g, total in totals.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g] * total.size), pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], names=["group", "at", "x"]
+            )
 
-    sums = np.zeros(k * (d + 1))
-    for row in points.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        sums[row["at"]] = row["x"]
-    sums = sums.reshape(k, d + 1)
-    return {i: (sums[i, :d] / sums[i, d]).tolist() for i in range(k) if sums[i, d]}
+    sums = {g: np.zeros(t.shape[0] * (t.shape[1] + 1)) for g, t in tables.items()}
+    wanted = points.filter(F.col("group").isin(list(tables))).select("group", "components")
+    for row in wanted.mapInArrow(run, "group string, at int, x double").groupBy("group", "at").agg(F.sum("x").alias("x")).collect():
+        sums[row["group"]][row["at"]] = row["x"]
+    out = {}
+    for g, (k, d) in ((g, t.shape) for g, t in tables.items()):
+        total = sums[g].reshape(k, d + 1)
+        out[g] = {i: (total[i, :d] / total[i, d]).tolist() for i in range(k) if total[i, d]}
+    return out
+
+
+def grouped_kmeans(
+    points: DataFrame, centres: Mapping[str, Centres], max_iterations: int = MAX_ITERATIONS, tolerance: float | None = None
+) -> dict[str, Centres]:
+    """k-means of several groups of points side by side, each from given first centres, to convergence.
+
+    ``points`` is a stored table (group, components); a group's centres have the
+    length of its points. Each round is one pass over the groups that still
+    move. A centre without points stays where it is. A group ends when its
+    centres move less than ``tolerance`` (by default a small part of the mean
+    variance of its points); warns if that does not happen within
+    ``max_iterations`` rounds.
+    """
+    now = {g: [list(c) for c in own] for g, own in centres.items()}
+    limits = _tolerances(points, {g: len(c[0]) for g, c in now.items()}) if tolerance is None else dict.fromkeys(now, tolerance)
+    moving, shift = set(now), {}
+    for _ in range(max_iterations):
+        for g, means in _cluster_means(points, {g: now[g] for g in sorted(moving)}).items():
+            moved = [means.get(i, c) for i, c in enumerate(now[g])]
+            shift[g], now[g] = _shift(now[g], moved), moved
+        moving = {g for g in moving if shift[g] > limits[g]}
+        if not moving:
+            break
+    for g in sorted(moving):
+        warnings.warn(f"k-means still moves after {max_iterations} rounds (by {shift[g]:g}, tolerance {limits[g]:g})", stacklevel=2)
+    return now
 
 
 def seeded_kmeans(
@@ -186,44 +299,96 @@ def seeded_kmeans(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float | None = None,
 ) -> Centres:
-    """k-means from given first centres, to convergence.
-
-    The points are stored once and each round reads them in Arrow batches (see
-    ``_cluster_sums``). A centre without points stays where it is. Ends when
-    the centres move less than ``tolerance`` (by default a small part of the
-    mean variance of the points); warns if that does not happen within
-    ``max_iterations`` rounds.
-    """
-    size = len(centres[0])
-    stored = materialise(points.select(F.col(point).alias("components")), "kmeans-points")
-    limit = _tolerance(stored, "components", size) if tolerance is None else tolerance
-    for _ in range(max_iterations):
-        means = _cluster_sums(stored, centres)
-        moved = [means.get(i, list(c)) for i, c in enumerate(centres)]
-        shift, centres = _shift(centres, moved), moved
-        if shift <= limit:
-            break
-    else:
-        warnings.warn(f"k-means still moves after {max_iterations} rounds (by {shift:g}, tolerance {limit:g})", stacklevel=2)
+    """``grouped_kmeans`` of one group, whose points are stored first."""
+    stored = materialise(points.select(F.lit("all").alias("group"), F.col(point).alias("components")), "kmeans-points")
+    found = grouped_kmeans(stored, {"all": centres}, max_iterations, tolerance)["all"]
     discard(stored)
-    return centres
+    return found
+
+
+# Rounds and draws per centre and round of the random start; distances are compared as whole parts of 1e-9.
+START_ROUNDS, OVERSAMPLE = 5, 2
+PARTS = 1_000_000_000
 
 
-def random_kmeans(points: DataFrame, k: int, seed: int = 42, features: str = "_components") -> DataFrame:
-    """k-means from a seeded random start."""
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(points)
-    return model.transform(points)
+def _draw(seed: int, tag: str, key: str) -> Column:
+    """A number from 0 to 1 that depends on the row's id alone, not on where the row lies."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _weighted_pick(weights: Sequence[int], share: float) -> int:
+    """The first place where the running weight is above ``share`` of all."""
+    total, running = float(sum(weights)), 0
+    for j, w in enumerate(weights):
+        running += w
+        if float(running) > share * total:
+            return j
+    return len(weights) - 1
+
+
+def random_centres(points: DataFrame, k: int, seed: int = 42, key: str = "playerId", point: str = "components") -> Centres:
+    """First centres by k-means||: ``k`` of some OVERSAMPLE * k * START_ROUNDS drawn points.
+
+    In each round a point is drawn with a chance in proportion to its squared
+    distance from the points drawn before; the drawn points then weigh as many
+    points as they are nearest to, and k of them are picked one after another
+    with a chance in proportion to weight and squared distance. Every draw
+    depends on the seed and the row's id, so the same rows give the same centres
+    however they are partitioned. Fewer than ``k`` distinct points give fewer
+    centres.
+    """
+    stored = materialise(points.select(F.col(key).alias("_id"), F.col(point).alias("components")), "kmeans-start")
+    drawn: Centres = [list(r["components"]) for r in stored.orderBy(_draw(seed, "first", "_id"), "_id").limit(1).collect()]
+    if not drawn:
+        raise ValueError("no points to start from")
+    for turn in range(1, START_ROUNDS + 1):
+        away = stored.withColumn("_near", nearest(F.col("components"), drawn)).withColumn("_far", F.round(F.col("_near.d") * PARTS).cast("long"))
+        total = away.agg(F.sum(F.col("_far").cast("decimal(38,0)")).cast("double")).first()[0]
+        chosen = away.filter(_draw(seed, str(turn), "_id") * F.lit(total) < F.col("_far").cast("double") * F.lit(float(OVERSAMPLE * k)))
+        drawn += [list(r["components"]) for r in chosen.orderBy("_id").select("components").collect()]  # OVERSAMPLE * k on average
+    counts = stored.select(nearest(F.col("components"), drawn).alias("_near")).groupBy("_near.i").agg(F.count("*").alias("n"))
+    weights = [0] * len(drawn)
+    for r in counts.collect():
+        weights[r["i"]] = r["n"]
+    discard(stored)
+    table, picked, mass = np.array(drawn, dtype=float), [], list(weights)
+    far: np.ndarray | None = None
+    while len(picked) < k and sum(mass):
+        share = int(hashlib.md5(f"{seed}:pick{len(picked)}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        picked.append(_weighted_pick(mass, share))
+        own = np.round(((table - table[picked[-1]]) ** 2).sum(axis=1) * PARTS)
+        far = own if far is None else np.minimum(far, own)
+        mass = [w * int(d) for w, d in zip(weights, far)]
+    return [drawn[j] for j in picked]
+
+
+def random_kmeans(
+    points: DataFrame, k: int, seed: int = 42, key: str = "playerId", point: str = "components", tolerance: float | None = None
+) -> DataFrame:
+    """``points`` with ``cluster`` and squared distance ``cost`` by k-means from a seeded random start."""
+    centres = seeded_kmeans(points, random_centres(points, k, seed, key, point), point, tolerance=tolerance)
+    near = nearest(F.col(point), centres)
+    return points.withColumn("_near", near).withColumns({"cluster": F.col("_near.i"), "cost": F.col("_near.d")}).drop("_near")
 
 
 @dataclass
 class RoleModel:
-    """A fitted role: projection, cluster centres, one label per centre."""
+    """A fitted role: projection, cluster centres, one label per centre.
+
+    The projection may begin with stages that fill gaps and keep top cells (see
+    ``scaling``); the model then takes feature rows as they are.
+    """
 
     role: str
     projection: PipelineModel
     centres: Centres
     labels: list[str]
 
+    def prepared_by(self, stages: Sequence) -> RoleModel:
+        """The same model with fitted stages in front of its projection."""
+        return RoleModel(self.role, PipelineModel(stages=[*stages, *self.projection.stages]), self.centres, self.labels)
+
     def components(self, rows: DataFrame) -> DataFrame:
         return transform_components(self.projection, rows)
 
@@ -271,6 +436,53 @@ def scaled_columns(role: str) -> list[str]:
     return fixed.SCALED_DF if role == "DF" else fixed.SCALED_FW_MD
 
 
+def _projection(rows: DataFrame, role: str, k: int, columns: Sequence[str]) -> PipelineModel:
+    *before, last = principal_components(columns, k, scaled_columns(role)).getStages()
+    prepared = Pipeline(stages=before).fit(rows)
+    with _DECOMPOSITION:
+        return PipelineModel(stages=[*prepared.stages, last.fit(prepared.transform(rows))])
+
+
+def train_models(
+    rows: Mapping[str, DataFrame],
+    examples: Mapping[str, DataFrame],
+    labels: Mapping[str, Sequence[str]],
+    components: Mapping[str, int],
+    columns: Sequence[str] = tuple(fixed.FEATURES),
+    max_iterations: int = MAX_ITERATIONS,
+    tolerance: float | None = None,
+) -> dict[str, RoleModel]:
+    """Fit the models of all roles from the prepared rows of each, starting from its known players.
+
+    Projections are fitted side by side. The points of all roles are then stored
+    in one table, from which one pass takes all first centres and every round of
+    k-means serves all roles together.
+    """
+    spark = next(iter(rows.values())).sparkSession
+
+    def project(role: str) -> PipelineModel:
+        return _projection(rows[role].select("playerId", *columns), role, components[role], columns)
+
+    with ThreadPool(len(rows)) as pool:
+        projections = dict(zip(rows, pool.map(inheritable_thread_target(spark)(project), list(rows))))
+    parts = [
+        transform_components(projections[role], own.select("playerId", *columns)).select(F.lit(role).alias("group"), "playerId", "components")
+        for role, own in rows.items()
+    ]
+    points = materialise(reduce(DataFrame.unionByName, parts), "role-points")
+    known = reduce(DataFrame.unionByName, [examples[role].select(F.lit(role).alias("group"), "playerId", "seed_group") for role in rows])
+    means = group_means(points.join(known, ["group", "playerId"]), ["group", "seed_group"], max(components[r] for r in rows))
+    found = {(r["group"], r["seed_group"]): r["centre"] for r in means.collect()}  # one vector per label
+    first = {}
+    for role in rows:
+        if missing := [g for g in range(len(labels[role])) if (role, g) not in found]:
+            raise ValueError(f"no rows for example groups {missing} of {role}")
+        first[role] = [list(found[role, g][: components[role]]) for g in range(len(labels[role]))]
+    centres = grouped_kmeans(points, first, max_iterations, tolerance)
+    discard(points)
+    return {role: RoleModel(role, projections[role], centres[role], list(labels[role])) for role in rows}
+
+
 def train_role(
     table: DataFrame,
     role: str,
@@ -282,16 +494,10 @@ def train_role(
     tolerance: float | None = None,
 ) -> RoleModel:
     """Fit one role on the prepared table, starting from its known players."""
-    labels = list(labels or fixed.ROLE_CODES[role])
-    k = k or fixed.ROLE_COMPONENTS[role]
-    rows = table.filter(F.col("role") == role).select("playerId", *columns)
-    *before, last = principal_components(columns, k, scaled_columns(role)).getStages()
-    prepared = Pipeline(stages=before).fit(rows)
-    with _DECOMPOSITION:
-        projection = PipelineModel(stages=[*prepared.stages, last.fit(prepared.transform(rows))])
-    points = transform_components(projection, rows).select("playerId", "components")
-    centres = seed_centres(points, examples, len(labels), k)
-    return RoleModel(role, projection, seeded_kmeans(points, centres, max_iterations=max_iterations, tolerance=tolerance), labels)
+    return train_models(
+        {role: table.filter(F.col("role") == role)}, {role: examples}, {role: labels or fixed.ROLE_CODES[role]},
+        {role: k or fixed.ROLE_COMPONENTS[role]}, columns, max_iterations, tolerance,
+    )[role]
 
 
 def role_costs(models: Mapping[str, RoleModel], rows: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldline import fixed
-from fieldline.functions.vectors import cells_from, least_kept
+from fieldline.functions.vectors import cells_from, cells_from_sql, least_kept, least_kept_sql
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -40,6 +41,24 @@ def impute(
     return beside.withColumns(filled).drop("_means").na.fill(0, zeros)
 
 
+def fitted_fill(
+    df: DataFrame, mean_of: Sequence[str] = tuple(fixed.MEAN_FILLED), keep_null: Sequence[str] = ()
+) -> SQLTransformer:
+    """``impute`` as a fitted stage: it holds the means of ``df`` and fills any table of these columns with them."""
+    zeros = [c for c in numeric_columns(df) if c not in {*mean_of, *keep_null}]
+    means = df.agg(*[F.avg(c).alias(c) for c in mean_of]).first().asDict()  # one number per column
+    value = {c: "NULL" if means[c] is None else f"{means[c]!r}D" for c in mean_of} | dict.fromkeys(zeros, "0")
+    columns = [f"coalesce(`{c}`, {value[c]}) AS `{c}`" if c in value else f"`{c}`" for c in df.columns]
+    return SQLTransformer(statement=f"SELECT {', '.join(columns)} FROM __THIS__")
+
+
+def top_cells_stage(columns: Sequence[str], keep: int = 3) -> SQLTransformer:
+    """``keep_top_cells`` as a stage for tables of these columns."""
+    others = ", ".join(f"`{c}`" for c in columns if c not in fixed.CELLS)
+    ranked = f"SELECT *, {least_kept_sql(keep=keep)} AS _least FROM __THIS__"
+    return SQLTransformer(statement=f"SELECT {others}, {', '.join(cells_from_sql('_least'))} FROM ({ranked})")
+
+
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale columns to [0, 1] over the table; a constant column becomes 0."""
     bounds = ", ".join(f"min(`{c}`) AS `lo_{c}`, max(`{c}`) AS `hi_{c}`" for c in columns)

@@ -15,24 +15,16 @@ from pyspark.sql import functions as F
 
 from fieldline.functions.events import all_present
 
-# A key with more rows than this does not go to a single task.
+# A key with more rows than this does not go to a single task. So there is one such key at most for as many rows, and
+# a list of them (a key of some 40 bytes for two million rows) may be broadcast.
 HOT_ROWS = 2_000_000
-# Lists of hot keys up to this length (a few MB) are broadcast; longer ones are joined by their keys.
-BROADCAST_KEYS = 50_000
 
 
 class Split(NamedTuple):
-    """Rows of ordinary keys, and rows of hot keys or None; together all rows.
-
-    ``ranges`` is the number of pieces of at most HOT_ROWS rows (on average)
-    that the hot rows are to be cut into, ``few`` whether one row per hot key
-    may be broadcast.
-    """
+    """Rows of ordinary keys and rows of hot keys; together all rows with a key."""
 
     ordinary: DataFrame
-    hot: DataFrame | None
-    ranges: int
-    few: bool
+    hot: DataFrame
 
 
 def key_sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,17 +34,11 @@ def key_sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def split_hot(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> Split:
     """Take out every key with more than ``hot_rows`` rows, however many there are.
 
-    The number of hot keys and of their rows is asked for first (one row comes
-    back): it settles how many ranges the rows need, and without a hot key the
-    plan has no second part.
+    Nothing runs while the plan is made: the list of hot keys is part of it, and
+    adaptive execution leaves out the branch of hot keys once the list turns out
+    empty.
     """
     present = rows.filter(all_present(keys))
     sizes = key_sizes(rows, keys) if sizes is None else sizes
-    hot = sizes.filter(F.col("_rows") > hot_rows)
-    n_keys, n_rows = hot.agg(F.count("*"), F.sum("_rows")).first()
-    if not n_keys:
-        return Split(present, None, 0, True)
-    few = n_keys <= BROADCAST_KEYS
-    listed = F.broadcast(hot.select(*keys)) if few else hot.select(*keys)
-    ordinary, large = (present.join(listed, list(keys), how).select(*rows.columns) for how in ("left_anti", "left_semi"))
-    return Split(ordinary, large, -(-int(n_rows) // hot_rows), few)
+    listed = F.broadcast(sizes.filter(F.col("_rows") > hot_rows).select(*keys))
+    return Split(*(present.join(listed, list(keys), how).select(*rows.columns) for how in ("left_anti", "left_semi")))

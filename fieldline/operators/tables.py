@@ -113,6 +113,20 @@ def merge_measures(tables: Mapping[str, DataFrame] | Sequence[DataFrame], keys:
     )
 
 
+def pivot_measures(tall: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row per key with a column per measure, from rows (keys..., level, name, value) of many tables.
+
+    Only measures with exactly these keys are taken. One aggregate, whatever the
+    number of tables; a key that occurs twice for one measure is an error.
+    """
+    own = tall.filter((F.col("level") == F.array(*[F.lit(k) for k in keys])) & all_present(keys))
+    once = F.when(F.count("name") == F.size(F.collect_set("name")), F.map_from_entries(F.collect_list(F.struct("name", "value"))))
+    found = own.groupBy(*keys).agg(
+        F.coalesce(once, F.raise_error(F.lit("a key occurs twice in a measure table")).cast("map<string,double>")).alias("_measures")
+    )
+    return found.select(*keys, *[F.col("_measures")[n].alias(n) for n in names])
+
+
 def assemble_measures(
     by_match: Sequence[DataFrame], by_player: Sequence[DataFrame], match_keys: Sequence[str] = ("matchId", "playerId")
 ) -> DataFrame:

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldline import fixed
 from fieldline.functions.events import all_present
-from fieldline.operators import cells, grid, motion, rates, roles, search, tables
+from fieldline.operators import cells, grid, motion, rates, roles, scaling, search, tables
 from fieldline.operators.skew import HOT_ROWS
 from fieldline.schema import GROUP, TEAM_PERIOD
-from fieldline.session import materialise
+from fieldline.session import discard, materialise
+from fieldline.sources import readers
 
 
 def pass_accuracy(events: DataFrame) -> DataFrame:
@@ -102,25 +101,36 @@ def _player_level(counts: DataFrame, players: DataFrame) -> DataFrame:
     return season.join(bodies, "playerId", "left")
 
 
-def match_measures(events: DataFrame) -> list[DataFrame]:
-    """The 18 measures per match and player, one table each: 16 shares, pace, and angles.
+def match_measures(events: DataFrame) -> DataFrame:
+    """The 18 measures per match and player: 16 shares, pace, and angles.
 
-    All shares come from one stored count per match, team and player; pace and
-    angles from one aggregate per match and player.
+    Events are counted once per match, team and player; the team's totals stand
+    beside those counts in one window, and one aggregate adds up the teams of a
+    player. A share is null where the player has no such event.
     """
     keys = ["matchId", "playerId"]
-    counts = materialise(rates.group_counts(events, ["matchId", "teamId", "playerId"], fixed.SHARE_SPECS), "match-counts")
+    counts = rates.group_counts(events, ["matchId", "teamId", "playerId"], fixed.SHARE_SPECS)
     team = Window.partitionBy("matchId", "teamId")
-    out = []
+    wholes = {
+        f"_{s.name}": F.sum(s.count_column).over(team) if s.share_of == "team" else F.col(rates.ALL_EVENTS) for s in fixed.SHARE_SPECS
+    }
+    shares = []
     for s in fixed.SHARE_SPECS:
-        part, names = F.col(s.count_column), fixed.FOUL_SHARE_NAMES if s.name == "foul" else [s.share_column]
-        whole = F.sum(part).over(team) if s.share_of == "team" else F.col(rates.ALL_EVENTS)
-        own = counts.select(*keys, part.alias("_part"), whole.alias("_whole")).groupBy(*keys).agg(F.sum("_part").alias("_part"), F.sum("_whole").alias("_whole"))
-        out += [own.filter("_part > 0").select(*keys, (F.col("_part") / F.col("_whole")).alias(n)) for n in names]
-    pace = materialise(
-        events.filter(all_present(keys)).groupBy(*keys).agg(motion.event_rate_measure().alias("tempo_medio_tra_eventi"), *motion.angle_measures()), "match-pace"
+        part, names = F.sum(s.count_column), fixed.FOUL_SHARE_NAMES if s.name == "foul" else [s.share_column]
+        shares += [F.when(part > 0, part / F.sum(f"_{s.name}")).alias(n) for n in names]
+    own = counts.withColumns(wholes).filter(all_present(keys)).groupBy(*keys).agg(*shares)
+    pace = events.filter(all_present(keys)).groupBy(*keys).agg(
+        motion.event_rate_measure().alias("tempo_medio_tra_eventi"), *motion.angle_measures()
     )
-    return [*out, pace.select(*keys, "tempo_medio_tra_eventi"), pace.select(*keys, "angle_mean", "angle_std")]
+    return pace.join(own, keys, "left")
+
+
+def assemble_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All measures stored in a folder in one table: per match and player, with those per player beside them."""
+    tall, keys_of = readers.read_measures(spark, folder)
+    by_match, by_player = ("matchId", "playerId"), ("playerId",)
+    wide = [tables.pivot_measures(tall, keys, sorted(n for n, k in keys_of.items() if k == keys)) for keys in (by_match, by_player)]
+    return tables.assemble_measures([wide[0]], [wide[1]])
 
 
 def assemble_measures(by_match: Sequence[DataFrame], by_player: Sequence[DataFrame]) -> DataFrame:
@@ -156,22 +166,40 @@ def train_roles(
     """Fit the role models on ``role_input``; a role without rows gets none.
 
     ``overrides`` adds players to a role in that role's own model, ``components``
-    gives other numbers of components than the published ones. The roles
-    are independent, so their Spark jobs are submitted side by side.
+    gives other numbers of components than the published ones.
     """
     labels, overrides, components = labels or fixed.ROLE_NAMES, overrides or {}, components or {}
+    member = {
+        role: (F.coalesce(F.col("role") == role, F.lit(False)) | F.col("playerId").isin(list(overrides[role])))
+        if role in overrides
+        else F.col("role") == role
+        for role in examples
+    }
+    sizes = table.agg(*[F.count_if(own).alias(role) for role, own in member.items()]).first()
+    trained = {role: table.filter(own) for role, own in member.items() if sizes[role]}
+    if not trained:
+        return {}
+    return roles.train_models(
+        trained, examples, labels, {r: components.get(r) or fixed.ROLE_COMPONENTS[r] for r in trained},
+        max_iterations=max_iterations, tolerance=tolerance,
+    )
 
-    def fit(role: str) -> roles.RoleModel | None:
-        own = roles.override_role(table, overrides[role], role, "playerId") if role in overrides else table
-        if own.filter(F.col("role") == role).isEmpty():
-            return None
-        return roles.train_role(
-            own, role, examples[role], labels[role], components.get(role), max_iterations=max_iterations, tolerance=tolerance
-        )
 
-    with ThreadPool(len(examples)) as pool:
-        fitted = pool.map(inheritable_thread_target(table.sparkSession)(fit), list(examples))
-    return {role: model for role, model in zip(examples, fitted) if model is not None}
+def train_whole_roles(table: DataFrame, examples: Mapping[str, DataFrame], **settings) -> dict[str, roles.RoleModel]:
+    """Role models that take feature rows as they are: the means that fill gaps and the choice of top cells belong to them.
+
+    ``table`` has features with roles, gaps included. New rows are filled with
+    the means of the rows that the models were trained on. ``settings`` are
+    those of ``train_roles``.
+    """
+    stages = [scaling.fitted_fill(table, keep_null=["matchId", "playerId"]), scaling.top_cells_stage(table.columns)]
+    prepared = table
+    for stage in stages:
+        prepared = stage.transform(prepared)
+    stored = materialise(prepared, "role-rows")
+    models = train_roles(stored, examples, **settings)
+    discard(stored)
+    return {role: model.prepared_by(stages) for role, model in models.items()}
 
 
 def score_roles(models: Mapping[str, roles.RoleModel], table: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from fieldline.schema import (
     TEAM_SCHEMA,
     event_schema,
 )
+from fieldline.sources import json_arrays
 
 NO_SUBTYPE = -1
 
@@ -44,13 +45,13 @@ def read_events(
 ) -> DataFrame:
     """Event log in the model's shape, from JSON or parquet.
 
-    A log is read in the splittable layout unless ``layout='array'`` says that
-    each file is one JSON array (one task per file).
+    ``layout='lines'`` reads one object per line, ``'array'`` files that hold one
+    JSON array each; both are cut into byte ranges (see ``json_arrays``).
     ``match_id`` is for files of a single match, which carry no match column.
     """
     schema = event_schema(team_type or T.LongType())
     if fmt == "json":
-        raw = read_json_table(spark, path, schema, layout)
+        raw = json_arrays.read_array(spark, path, schema) if layout == "array" else read_json_table(spark, path, schema, layout)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:
@@ -146,6 +147,66 @@ def read_measure_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame
     return tables
 
 
+# A comma outside quotation marks.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+MEASURE_KEYS = ("matchId", "playerId", "matchPeriod")
+
+
+def _measure_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, source, cells, is_header) of every line of the CSV files below a folder, from one scan.
+
+    The source is the file's name; a folder ``name.csv`` of part files counts as
+    one file. A line is a header if it names the player's column.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    cells = F.transform(F.split("value", _COMMA, -1), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    named = lines.select(
+        path.alias("file"), F.regexp_extract(path, r"([^/]+)\.csv(?:/part-[^/]*)?$", 1).alias("source"), cells.alias("cells")
+    ).filter("size(cells) > 1")
+    is_header = F.array_contains("cells", "playerId") | ((F.col("cells")[0] == "") & F.array_contains("cells", "0"))
+    return named.withColumn("is_header", is_header)
+
+
+def _header_names(source: Column, cells: Column) -> Column:
+    """Column names of a header; the index column has none, a column '0' is the player and the unnamed one beside it the measure of the file."""
+    of_player = F.array_contains(cells, "0")
+    return F.transform(
+        cells,
+        lambda c, i: F.when(of_player & (c == "0"), "playerId").when(of_player & (c == "") & (i > 0), source).otherwise(c),
+    )
+
+
+def read_measures(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, tuple[str, ...]]]:
+    """All measures of a folder as rows (source, keys..., level, name, value), and the keys of each measure.
+
+    All files are read in one scan, whose plan does not grow with their number.
+    The headers, one line per file, are read first: a measure's name becomes a
+    column later, and columns have to be known by then.
+    """
+    lines = _measure_lines(spark, folder)
+    header = F.struct("file", "source", _header_names(F.col("source"), F.col("cells")).alias("names"))
+    found = [r["h"] for r in lines.filter("is_header").select(header.alias("h")).distinct().collect()]  # one per file
+    keys_of: dict[str, tuple[str, ...]] = {}
+    for h in found:
+        keys = tuple(k for k in MEASURE_KEYS if k in h["names"])
+        for name in h["names"]:
+            if name and name not in MEASURE_KEYS and keys_of.setdefault(name, keys) != keys:
+                raise ValueError(f"measure {name} is keyed in two ways")
+    headers = F.broadcast(spark.createDataFrame([(h["file"], h["names"]) for h in found], "file string, names array<string>"))
+    rows = lines.filter("NOT is_header").join(headers, "file")
+    cell = lambda k: F.try_element_at("cells", F.array_position("names", k).cast("int"))
+    key = {
+        k: F.when(F.array_contains("names", k), cell(k) if k == "matchPeriod" else ev.nan_to_null(cell(k).try_cast("double")).cast("bigint"))
+        for k in MEASURE_KEYS
+    }
+    cells = F.filter(F.arrays_zip("names", "cells"), lambda c: (c["names"] != "") & ~c["names"].isin(*MEASURE_KEYS))
+    level = F.filter(F.array(*[F.lit(k) for k in MEASURE_KEYS]), lambda k: F.array_contains("names", k))
+    tall = rows.select("source", *[v.alias(k) for k, v in key.items()], level.alias("level"), F.explode(cells).alias("cell"))
+    value = ev.nan_to_null(F.col("cell.cells").try_cast("double"))
+    return tall.select("source", *MEASURE_KEYS, "level", F.col("cell.names").alias("name"), value.alias("value")), keys_of
+
+
 def keyed_on(tables: Mapping[str, DataFrame], keys: Sequence[str] = tuple(GROUP)) -> dict[str, DataFrame]:
     """The tables that carry all of ``keys``."""
     return {name: t for name, t in tables.items() if set(keys) <= set(t.columns)}

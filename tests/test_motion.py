@@ -101,15 +101,25 @@ def test_previous_event_of_hot_groups(make_events, same_time):
         assert by_key(got.select("id", "previous_sec"), "id") == want
 
 
-def test_split_hot_keeps_every_row(make_events):
+def test_split_hot_keeps_every_row(spark, make_events):
     events = make_events(*walk(30, 1), *walk(5, 2, start=100), *walk(20, 3, start=200))
-    ordinary, hot, ranges, few = split_hot(events, GROUP, hot_rows=10)
-    assert ranges == 5 and few  # 50 hot rows in pieces of ten
+    ordinary, hot = split_hot(events, GROUP, hot_rows=10)
     assert {r["playerId"] for r in hot.collect()} == {1, 3} and {r["playerId"] for r in ordinary.collect()} == {2}
-    assert hot.count() + ordinary.count() == 55
-    pieces = motion._in_ranges(hot, GROUP, ranges).groupBy("_piece").count().collect()
-    assert 5 <= len(pieces) <= ranges + 1 and max(r["count"] for r in pieces) <= 20
-    assert split_hot(events, GROUP).hot is None
+    assert hot.count() == 50 and ordinary.count() == 5
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    pieces = motion._in_ranges(hot, GROUP).groupBy("_piece").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(pieces) > 2 and max(r["count"] for r in pieces) <= 30
+    assert split_hot(events, GROUP).hot.count() == 0
+
+
+def test_nothing_runs_while_a_plan_is_made(spark, make_events):
+    events = make_events(*walk(30, 1), *walk(5, 2, start=100))
+    spark.sparkContext.setJobGroup("making plans", "")
+    made = [motion.previous_event(events), motion.position_dispersion(events), motion.total_distance(events)]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("making plans")) == []
+    spark.sparkContext.setJobGroup("", "")
+    assert [m.count() for m in made] == [35, 2, 2]
 
 
 def test_cell_shares(make_events):

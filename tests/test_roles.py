@@ -85,11 +85,46 @@ def test_kmeans_warns_when_stopped_and_ends_at_a_fixpoint(spark, cloud):
     assert np.allclose(centres, [cloud[near == i].mean(axis=0) for i in range(4)])
 
 
-def test_random_start_is_repeatable(spark, cloud):
+def test_random_start_does_not_depend_on_partitions(spark):
+    draw = np.random.default_rng(5)
+    data = np.concatenate([draw.normal(10 * g, 0.5, (40, 3)) for g in range(4)])
+    rows = [(i, list(map(float, r))) for i, r in enumerate(data)]
+    points = spark.createDataFrame(rows, "playerId long, components array<double>")
+    starts = [roles.random_centres(points.repartition(n, "playerId"), 4, seed=7) for n in (1, 4, 16)]
+    assert starts[0] == starts[1] == starts[2] and roles.random_centres(points, 4, seed=8) != starts[0]
+    assert {tuple(c) for c in starts[0]} <= {tuple(r[1]) for r in rows}
+    found = [[(r["playerId"], r["cluster"]) for r in roles.random_kmeans(points.repartition(n), 4, seed=7).orderBy("playerId").collect()] for n in (1, 16)]
+    assert found[0] == found[1]
+    assert len({c for _, c in found[0]}) == 4 and all(len({c for i, c in found[0] if i // 40 == g}) == 1 for g in range(4))
+
+
+def test_random_start_with_few_points(spark):
+    points = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [1.0])], "playerId long, components array<double>")
+    assert sorted(roles.random_centres(points, 5)) == [[0.0], [1.0]]
+    with pytest.raises(ValueError, match="no points"):
+        roles.random_centres(points.filter("playerId > 5"), 2)
+
+
+def test_groups_of_points_are_clustered_side_by_side(spark, cloud):
+    blocks = {"a": (cloud[:, :2], 3), "b": (cloud, 4), "c": (cloud[:20, :3] * 5, 2)}
+    rows = [(g, list(map(float, r))) for g, (data, _) in blocks.items() for r in data]
+    points = spark.createDataFrame(rows, "group string, components array<double>").repartition(5)
+    start = {g: [list(map(float, r)) for r in data[:k]] for g, (data, k) in blocks.items()}
+    got = roles.grouped_kmeans(points, start, tolerance=0.0)
+    for g, (data, _) in blocks.items():
+        assert np.allclose(got[g], lloyd(data, start[g], 100))
+
+
+def test_component_signs_and_checks(spark, cloud):
     df, names = as_columns(spark, cloud)
-    parts = roles.principal_components(names, 3).fit(df).transform(df)
-    first, second = ([r["cluster"] for r in roles.random_kmeans(parts, 4).orderBy("playerId").collect()] for _ in "ab")
-    assert first == second and set(first) == {0, 1, 2, 3}
+    model = roles.principal_components(names, 3).fit(df)
+    found = roles.loadings(model)
+    assert all(c[np.abs(c).argmax()] > 0 for c in found.T)
+    centred = cloud - cloud.mean(axis=0)
+    parts = np.array([r["components"] for r in roles.transform_components(model, df).orderBy("playerId").collect()])
+    assert np.allclose(parts, centred @ found)
+    assert all(all(v for n, v in r.asDict().items() if n != "component") for r in roles.component_checks(model, df).collect())
+    assert np.allclose(roles.covariance(df.select(F.array(*names).alias("v")), "v", cloud.shape[1]), np.cov(cloud.T))
 
 
 def test_override_by_list_and_by_table(spark):

@@ -4,6 +4,8 @@ import pytest
 from conftest import by_key, event
 from pyspark.sql import types as T
 
+from fieldline.operators import tables
+from fieldline.plans import jobs
 from fieldline.schema import event_schema
 from fieldline.session import materialise, shared_folder
 from fieldline.sources import readers
@@ -75,6 +77,39 @@ def test_measure_folder(spark, tmp_path):
     assert list(readers.keyed_on(found, ["matchId", "playerId"])) == ["shot"]
 
 
+def test_measures_of_a_folder_in_one_scan(spark, tmp_path):
+    (tmp_path / "shot.csv").write_text(",matchId,playerId,shot\n0,1,5,0.5\n1,1,6.0,\n2,2,5,0.75\n")
+    (tmp_path / "pair.csv").write_text("playerId,duel,matchId,foul\n5,0.1,1,0.2\n7,0.3,1,0.4\n")
+    (tmp_path / "goal_P.csv").write_text(",,0\n0,0.25,5\n1,0.5,8\n")
+    (tmp_path / "notes.txt").write_text("no table")
+    write_csv(spark.createDataFrame([(5, 1.5), (9, 2.5)], "playerId long, foot double").repartition(2), str(tmp_path / "foot.csv"))
+    tall, keys_of = readers.read_measures(spark, str(tmp_path))
+    assert keys_of == {"shot": ("matchId", "playerId"), "duel": ("matchId", "playerId"), "foul": ("matchId", "playerId"), "goal_P": ("playerId",), "foot": ("playerId",)}
+    assert {r["source"] for r in tall.collect()} == {"shot", "pair", "goal_P", "foot"}
+    got = by_key(jobs.assemble_folder(spark, str(tmp_path)), "matchId", "playerId")
+    empty = dict.fromkeys(["shot", "duel", "foul", "goal_P", "foot"])
+    assert got == {
+        (1, 5): {"shot": 0.5, "duel": 0.1, "foul": 0.2, "goal_P": 0.25, "foot": 1.5}, (2, 5): empty | {"shot": 0.75, "goal_P": 0.25, "foot": 1.5},
+        (1, 6): empty, (1, 7): empty | {"duel": 0.3, "foul": 0.4}, (None, 8): empty | {"goal_P": 0.5}, (None, 9): empty | {"foot": 2.5},
+    }
+
+
+def test_many_measure_files_give_one_scan(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"m{k}.csv").write_text(f",matchId,playerId,m{k}\n0,1,{k % 3},{k}\n")
+    tall, keys_of = readers.read_measures(spark, str(tmp_path))
+    wide = tables.pivot_measures(tall, ["matchId", "playerId"], sorted(keys_of))
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
+    assert {r["playerId"]: r["m39"] for r in wide.collect()} == {0: 39.0, 1: None, 2: None}
+
+
+def test_a_key_twice_in_a_measure_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("matchId,playerId,a\n1,5,1\n1,5,2\n")
+    tall, _ = readers.read_measures(spark, str(tmp_path))
+    with pytest.raises(Exception, match="twice"):
+        tables.pivot_measures(tall, ["matchId", "playerId"], ["a"]).collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     write_csv(df, str(tmp_path / "out"))

@@ -8,9 +8,12 @@ keeps its punctuation. Within a format the mapping is one to one, so equal
 values stay linked across documents and different ones stay apart, and without
 the key nothing can be undone. Numbers that fail validation stay as they are.
 
-A permutation may map a value to itself: once in 10**15 for a card, once in
-146,097 for a date. Dates keep their 400-year cycle; dates with slashes are
-read month first where that is a date, else day first.
+A permutation may map a value to itself: once in 10**15 for a card, once in some
+55,000 for a date. A date stays among the dates of its written form: the same
+separators and order, digits padded or not as they were, years of the same
+YEARS (1900 to 2049, and so on). Dates with slashes are read month first where
+that is a date, else day first; those that read either way stay among
+themselves, and so do those whose day is above 12, so that no reading changes.
 
 Defined results: null texts stay null and count nothing; empty texts stay
 empty; repeated rows get equal results; an empty table gives an empty result;
@@ -25,6 +28,10 @@ from pyspark.sql import functions as F
 from fieldline.llm.batches import free_name
 
 ROUNDS = 8
+# Dates are permuted within as many years, counted from FIRST_YEAR.
+YEARS, FIRST_YEAR = 150, 1900
+# Steps of a walk from date to date; one grid cell in thirty is no date, so a walk practically never needs more than a few.
+WALK = 48
 #: Public default for tests and examples; give your own key.
 EXAMPLE_KEY = "example key, replace it"
 
@@ -71,13 +78,13 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _prf(key: str, tag: str, turn: Column, value: Column) -> Column:
+def _prf(key: str, tag: str | Column, turn: Column, value: Column) -> Column:
     """A keyed number below 2**60 of a round and a value."""
-    text = F.concat_ws("|", F.lit(key), F.lit(tag), turn.cast("string"), value.cast("string"))
+    text = F.concat_ws("|", F.lit(key), tag if isinstance(tag, Column) else F.lit(tag), turn.cast("string"), value.cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).try_cast("long")
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tag: str) -> Column:
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tag: str | Column) -> Column:
     """A keyed permutation of pairs (left below left_size, right below right_size), as a struct of l and r."""
 
     def turn(acc: Column, i: Column) -> Column:
@@ -197,18 +204,66 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Another date of the same 400-year cycle (146,097 days = 189 * 773), in the same format."""
-    day = F.datediff(_date_of(value), F.lit("2000-01-01").cast("date"))
-    cycle, rest = F.floor(day / 146097).try_cast("int"), F.pmod(day, F.lit(146097))
-    pair = feistel(F.floor(rest / 773), rest % 773, F.lit(189), F.lit(773), key, "date")
-    new = _once(pair, lambda p: F.date_add(F.lit("2000-01-01").cast("date"), (cycle * 146097 + p["l"] * 773 + p["r"]).try_cast("int")))
-    month_first = _made(*[F.split_part(value, F.lit("/"), F.lit(i)).try_cast("int") for i in (3, 1, 2)]).isNotNull()
+    """Another date of the same written form.
+
+    Year and month on one side and the day on the other are permuted as a grid;
+    where that leads to no date (30 February) the walk goes on from there, which
+    keeps the mapping of dates one to one.
+    """
+    iso, dotted = value.contains("-"), value.contains(".")
+    fields = F.split(value, "[-./]")
+    first, second = F.when(iso, fields[1]).otherwise(fields[0]), F.when(iso, fields[2]).otherwise(fields[1])
+    year = F.when(iso, fields[0]).otherwise(fields[2]).try_cast("int")
+    a, b = first.try_cast("int"), second.try_cast("int")
+    month_first = iso | (~dotted & _valid(year, a, b))
+
+    def moved(f: Column) -> Column:
+        month, day = F.when(f["mf"], f["a"]).otherwise(f["b"]), F.when(f["mf"], f["b"]).otherwise(f["a"])
+        month_width, day_width = F.when(f["mf"], f["wa"]).otherwise(f["wb"]), F.when(f["mf"], f["wb"]).otherwise(f["wa"])
+        late = f["slash"] & (day > 12)  # cannot be read as a month
+        least = F.when(late, 13).otherwise(1)
+        most = F.when(day_width == 1, 9).when(f["slash"] & ~late, 12).otherwise(31)
+        months = F.when(month_width == 1, 9).otherwise(12)
+        block = F.floor((f["y"] - FIRST_YEAR) / YEARS)
+        start = block * YEARS + FIRST_YEAR
+        form = F.concat_ws("/", F.lit("date"), f["form"], month_width.cast("string"), day_width.cast("string"), least.cast("string"), block.cast("string"))
+        about = F.struct(start.alias("start"), months.alias("months"), least.alias("least"), (most - least + 1).alias("days"), form.alias("form"))
+
+        def walked(g: Column) -> Column:
+            year_of, month_of, day_of = (
+                lambda p: (g["start"] + F.floor(p["l"] / g["months"])).try_cast("int"), lambda p: (p["l"] % g["months"] + 1).try_cast("int"), lambda p: (p["r"] + g["least"]).try_cast("int")
+            )
+
+            def step(acc: Column, _: Column) -> Column:
+                pair = feistel(acc["l"], acc["r"], g["months"] * YEARS, g["days"], key, g["form"])
+                landed = _once(pair, lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"), _valid(year_of(p), month_of(p), day_of(p)).alias("ok")))
+                return F.when(acc["ok"], acc).otherwise(landed)
+
+            begin = F.struct(
+                ((f["y"] - g["start"]) * g["months"] + month - 1).try_cast("long").alias("l"), (day - g["least"]).try_cast("long").alias("r"), F.lit(False).alias("ok")
+            )
+
+            def written(p: Column) -> Column:
+                m, d = F.lpad(month_of(p).cast("string"), month_width, "0"), F.lpad(day_of(p).cast("string"), day_width, "0")
+                y = F.lpad(year_of(p).cast("string"), 4, "0")
+                return (
+                    F.when(f["form"] == "-", F.concat_ws("-", y, m, d))
+                    .when(f["form"] == ".", F.concat_ws(".", d, m, y))
+                    .when(f["mf"], F.concat_ws("/", m, d, y))
+                    .otherwise(F.concat_ws("/", d, m, y))
+                )
+
+            return _once(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), begin, step), written)
+
+        return _once(about, walked)
+
+    form = F.when(iso, "-").when(dotted, ".").when(month_first, "md").otherwise("dm")
     return _once(
-        new,
-        lambda d: F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd"))
-        .when(value.contains("."), F.date_format(d, "dd.MM.yyyy"))
-        .when(month_first, F.date_format(d, "MM/dd/yyyy"))
-        .otherwise(F.date_format(d, "dd/MM/yyyy")),
+        F.struct(
+            year.alias("y"), a.alias("a"), b.alias("b"), F.length(first).alias("wa"), F.length(second).alias("wb"), month_first.alias("mf"),
+            (~iso & ~dotted).alias("slash"), form.alias("form"),
+        ),
+        moved,
     )
 
 

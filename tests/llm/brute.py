@@ -185,3 +185,132 @@ def mixed(rows, block_chars, weights=None):
         seen[s] = seen.get(s, 0) + 1
     out = [(slots[row[2], before // block_chars], before % block_chars, row[0], row) for row, before in placed]
     return sorted(out, key=lambda o: (*o[:3], first(o[3][1])))
+
+
+# Pseudonyms: value by value in whole numbers, by the patterns and formats of the operator.
+
+
+def _prf(key, tag, turn, value):
+    return int(hashlib.sha256(f"{key}|{tag}|{turn}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(left, right, left_size, right_size, key, tag, rounds=8):
+    for i in range(rounds):
+        if i % 2 == 0:
+            left = (left + _prf(key, tag, i, right)) % left_size
+        else:
+            right = (right + _prf(key, tag, i, left)) % right_size
+    return left, right
+
+
+def _permuted(digits, key, tag):
+    a = len(digits) // 2
+    left, right = feistel(int(digits[:a]), int(digits[a:]), 10**a, 10 ** (len(digits) - a), key, tag)
+    return f"{left:0{a}d}{right:0{len(digits) - a}d}"
+
+
+def _redrawn(value, digits):
+    draw = iter(digits)
+    return "".join(next(draw) if "0" <= c <= "9" else c for c in value)
+
+
+def _luhn(digits, doubled):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (2 if i % 2 == doubled else 1)
+        total += x - 9 if x > 9 else x
+    return total
+
+
+def _mod97(text):
+    return int("".join(c if c.isdigit() else str(ord(c) - 55) for c in text)) % 97
+
+
+def _real(y, m, d):
+    leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    return y >= 1 and 1 <= m <= 12 and 1 <= d <= (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]
+
+
+def date_fields(value):
+    """(form, month first, year, month text, day text), or None."""
+    if "-" in value:
+        y, m, d = value.split("-")
+        found = ("-", True, int(y), m, d)
+    elif "." in value:
+        d, m, y = value.split(".")
+        found = (".", False, int(y), m, d)
+    else:
+        a, b, y = value.split("/")
+        first = _real(int(y), int(a), int(b))
+        found = ("md" if first else "dm", first, int(y), a if first else b, b if first else a)
+    return found if _real(found[2], int(found[3]), int(found[4])) else None
+
+
+def date_pseudonym(value, key):
+    form, first, year, month, day = date_fields(value)
+    slash = form in ("md", "dm")
+    late = slash and int(day) > 12
+    least = 13 if late else 1
+    most = 9 if len(day) == 1 else 12 if slash and not late else 31
+    months, block = 9 if len(month) == 1 else 12, (year - 1900) // 150
+    start = 1900 + 150 * block
+    tag = f"date/{form}/{len(month)}/{len(day)}/{least}/{block}"
+    left, right = (year - start) * months + int(month) - 1, int(day) - least
+    while True:
+        left, right = feistel(left, right, months * 150, most - least + 1, key, tag)
+        y, m, d = start + left // months, left % months + 1, right + least
+        if _real(y, m, d):
+            break
+    m, d, y = f"{m:0{len(month)}d}", f"{d:0{len(day)}d}", f"{y:04d}"
+    return {"-": f"{y}-{m}-{d}", ".": f"{d}.{m}.{y}"}.get(form) or (f"{m}/{d}/{y}" if first else f"{d}/{m}/{y}")
+
+
+def _email(value, key):
+    local, domain = value.split("@")
+    half = len(local) // 2
+    sides = [list(local[:half]), list(local[half:])]
+    for i in range(8):
+        own, other = sides[i % 2], "".join(sides[1 - i % 2])
+        for k, c in enumerate(own):
+            by = _prf(key, "email", i * 1000 + k, other)
+            for first, size in (("a", 26), ("A", 26), ("0", 10)):
+                if 0 <= ord(c) - ord(first) < size:
+                    own[k] = chr(ord(first) + (ord(c) - ord(first) + by % size) % size)
+                    break
+    return "".join(sides[0] + sides[1]) + "@" + domain
+
+
+def pseudonym(value, key, is_iban, is_date, is_ssn, is_ip, is_card, is_phone):
+    """(kind, replacement) of a match; the checks say which formats it has."""
+    digits = re.sub("[^0-9]", "", value)
+    plain = value.replace(" ", "")
+    if "@" in value:
+        return "email", _email(value, key)
+    if is_iban(value) and _mod97(plain[4:] + plain[:4]) == 1:
+        account = plain[4:]
+        fresh = _redrawn(account, _permuted(re.sub("[^0-9]", "", account), key, "iban"))
+        check = 98 - _mod97(fresh + plain[:2] + "00")
+        return "iban", _redrawn(value, f"{check:02d}" + re.sub("[^0-9]", "", fresh))
+    if is_date(value):
+        return ("date", date_pseudonym(value, key)) if date_fields(value) else ("", value)
+    if is_ssn(value):
+        area, group, serial = value.split("-")
+        if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
+            return "", value
+        left, right = feistel(int(area) - 1 - (int(area) > 666), (int(group) - 1) * 9999 + int(serial) - 1, 898, 99 * 9999, key, "ssn")
+        return "ssn", f"{left + 1 + (left >= 665):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    if is_ip(value):
+        o = [int(x) for x in value.split(".")]
+        if max(o) > 255:
+            return "", value
+        left, right = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return "ip", f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if is_card(value) and 13 <= len(digits) <= 19:
+        if _luhn(digits, 1) % 10:
+            return "", value
+        body = _permuted(digits[:-1], key, "card")
+        return "card", _redrawn(value, body + str(-_luhn(body, 0) % 10))
+    if is_phone(value) and 7 <= len(digits) <= 15:
+        n = 10 if len(digits) in (10, 11) else min(len(digits), max(len(digits) - 2, 7))
+        return "phone", _redrawn(value, digits[: len(digits) - n] + _permuted(digits[len(digits) - n :], key, "phone"))
+    return "", value

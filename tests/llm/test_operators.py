@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import regex
 from cases import EDGE_TEXTS, documents, edge, empty, folder, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -128,6 +130,66 @@ def test_neighbours_do_not_hide_values(spark):
     assert pii.pseudonymise(plain).first().text == plain.first().text
 
 
+def replaced(spark, values, key="k"):
+    """The pseudonym of each value, which stands alone in its text."""
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(8)
+    return [r.text for r in sorted(pii.pseudonymise(docs, key=key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_dates_map_one_to_one_within_their_form(spark):
+    """All dates of 80 years, month first and day first, padded and not."""
+    first, days = date(1950, 1, 1), (date(2030, 1, 1) - date(1950, 1, 1)).days
+    every = [first + timedelta(k) for k in range(days)]
+    forms = ["{m:02d}/{d:02d}/{y}", "{d:02d}/{m:02d}/{y}", "{m}/{d}/{y}", "{d}.{m}.{y}", "{y}-{m:02d}-{d:02d}"]
+    values = sorted({f.format(y=x.year, m=x.month, d=x.day) for f in forms for x in every})
+    got = replaced(spark, values)
+    assert len(set(got)) == len(values)
+    shape = lambda v: re.sub("[0-9]", "9", v)
+    for old, new in zip(values, got):
+        before, after = brute.date_fields(old), brute.date_fields(new)
+        assert after and shape(old) == shape(new) and before[:2] == after[:2] and 1900 <= after[2] <= 2049
+    assert sum(a == b for a, b in zip(values, got)) < 20
+    for k in draw_from(values, 300, 5):
+        assert got[k] == brute.date_pseudonym(values[k], "k")
+
+
+def draw_from(values, many, seed):
+    return random.Random(seed).sample(range(len(values)), many)
+
+
+def test_dates_of_other_centuries_stay_there(spark):
+    values = ["0001-01-01", "0099-12-31", "1582-10-10", "1899-12-31", "2050-01-01", "9999-12-31", "29.2.2000", "02/29/2096", "31/12/0007"]
+    for old, new in zip(values, replaced(spark, values)):
+        assert new == brute.date_pseudonym(old, "k")
+        assert (brute.date_fields(old)[2] - 1900) // 150 == (brute.date_fields(new)[2] - 1900) // 150
+
+
+PRIVATE = [
+    "Mail anna.b+c@mail7.example.com, Öz_1@x.org or a@b; card 4111 1111 1111 1111, 9807915762804490 and 5500-0000-0000-0004!",
+    "call +1 (017) 555-7713 or 017.555.7713, +49 30 1234567, 555 123; ip 97.51.17.173 and 300.1.1.1, ssn 123-45-6789 000-12-3456 667-01-0001",
+    "IBAN DE89 3704 0044 0532 0130 00, BE68539007547034 EUR, GB82WEST12345698765432, DE00 3704 0044 0532 0130 00. 2024-01-31T10:00 5.3.1984 25/01/1950 13/13/2000",
+]
+
+
+def test_pseudonyms_equal_brute_force(spark, documents):
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(PRIVATE, 10_000)), "doc_id long, text string"))
+    full = lambda pattern: lambda value, p=regex.compile(pattern): p.fullmatch(value) is not None
+    checks = [full(p) for p in (pii.IBAN, f"{pii.ISO_DATE}|{pii.DAY_DATE}|{pii.SLASH_DATE}", pii.SSN, pii.IP, pii.CARD, pii.PHONE)]
+    every, total = regex.compile(pii.ANY), Counter()
+    for r in docs.join(pii.pseudonymise(docs, key="k").withColumnRenamed("text", "new"), "doc_id").collect():
+        found = Counter()
+
+        def change(m):
+            kind, new = brute.pseudonym(m[0], "k", *checks)
+            found[kind] += 1
+            return new
+
+        assert r.new == every.sub(change, r.text)
+        assert all(r.pii[f"n_{k}"] == found[k] for k in pii.KINDS)
+        total += found
+    assert all(total[k] >= 1 for k in pii.KINDS)
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     found = {r[0] for r in three.select(pii.permuted_digits(F.col("d"), "k", "t")).collect()}

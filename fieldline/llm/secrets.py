@@ -1,19 +1,31 @@
 """Secret scans: pattern findings plus a character network over every candidate.
 
 Three patterns give the base findings (assignments, access keys, long hex
-strings). Candidates are all runs of CANDIDATE_CHARS or more characters of the
-usual secret alphabets that hold a digit; each is read with the characters
-around it by a convolutional network in numpy. It is trained on labelled
-findings: candidates that a base finding covers against those that none does,
-a bounded sample of PER_LABEL each. Its scores are calibrated (Platt) on
-findings it was not trained on, and the threshold is the highest that keeps
-RECALL of the calibration set's secrets, but at least PRECISION_FLOOR. A
-candidate at or above it that overlaps no base finding is added as kind
-``model``; base findings always stay.
+strings). Candidates are runs of eight or more characters of the usual secret
+alphabets that are not a plain word (a digit, a sign, a capital inside or three
+in a row), and values of six or more characters behind a colon or an equals
+sign, quoted ones whole. A convolutional network in numpy reads each candidate
+with the characters around it, a long one in overlapping windows of which the
+highest score counts.
+
+The network is trained on labelled findings: candidates that a base finding
+covers are secrets, of the others nothing is known. So that it does not merely
+learn the base patterns by heart, it sees the secrets without what gives them
+away as well: the text in front hidden, the characters redrawn from other
+alphabets. The others serve as negatives only as far as they are reliable: two
+networks are trained on half of them each and judge the other half, and what
+scores like a secret is left out. The scores are calibrated (Platt) on findings
+that were not trained on. The threshold is the highest that keeps RECALL of all
+labelled findings of the corpus, hidden and redrawn like that; nothing raises it.
+
+A candidate at or above it that overlaps no base finding is added as kind
+``model``; base findings always stay and get a score as well.
 
 Defined results: null and empty texts have no findings; repeated rows get equal
-results; without labelled findings of both sorts the network adds nothing; an
-empty table gives an empty result; other columns are not read.
+results; of candidates that contain one another the longest counts; equal scores
+at the threshold are all added; without labelled findings of both sorts the
+network adds nothing; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -37,17 +49,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of HEX that are long enough
 NAMES = ("password", "passwd", "secret", "token", "api")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+_SIGNS = r"A-Za-z0-9+/_.=\-"
+RUN = re.compile(rf"(?<![{_SIGNS}])(?=[{_SIGNS}]{{8}})(?=[A-Za-z.\-]*(?:[0-9+/_=]|[a-z][A-Z]|[A-Z]{{3}}))[{_SIGNS}]+")
+VALUE = re.compile(rf"""[:=]\x20{{0,2}}(?:"([^"\n]{{6,}})"|'([^'\n]{{6,}})'|([{_SIGNS}]{{6,}}))""")
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+# Windows of long candidates begin so many characters apart.
+STRIDE = 24
+# Secrets are redrawn at lengths from this up to a window.
+LEAST = 10
 PER_LABEL = 2_000
 RECALL = 0.95
-PRECISION_FLOOR = 0.5
 EMBED, FILTERS, KERNEL, HIDDEN = 8, 16, 5, 16
-EPOCHS, BATCH, RATE = 6, 64, 0.005
+EPOCHS, BATCH, RATE = 14, 64, 0.005
 SYMBOLS = 100
+# Scores are counted in steps of this size for the threshold.
+STEP = 1e-4
 
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
@@ -63,25 +81,40 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(text, m.start(), m.end())]
+    """(start, end) of every candidate that no other one contains."""
+    found = {m.span() for m in RUN.finditer(text)}
+    found |= {m.span(m.lastindex) for m in VALUE.finditer(text)}
+    out, reached = [], -1
+    for start, end in sorted(found, key=lambda f: (f[0], -f[1])):
+        if end > reached:
+            out.append((start, end))
+            reached = end
+    return out
 
 
-def context(text: str, start: int, end: int) -> bytes:
-    """A fixed number of character codes around and in a candidate: 0 pads, other than ASCII is one code."""
-    left = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    middle = text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
-    right = text[end : end + AFTER].ljust(AFTER, "\0")
-    return bytes(0 if c == "\0" else 99 if ord(c) > 126 else max(ord(c) - 31, 1) for c in left + middle + right)
+def _codes(text: str) -> bytes:
+    """A code for each character: 0 pads, other than ASCII is one code."""
+    return bytes(0 if c == "\0" else 99 if ord(c) > 126 else max(ord(c) - 31, 1) for c in text)
+
+
+def contexts(text: str, start: int, end: int) -> bytes:
+    """A fixed number of character codes around and in each window of a candidate, one after another."""
+    out = []
+    for a in range(start, max(start + 1, end - INSIDE + STRIDE), STRIDE):
+        b = min(end, a + INSIDE)
+        left, right = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\0"), text[b : b + AFTER].ljust(AFTER, "\0")
+        out.append(_codes(left + text[a:b].ljust(INSIDE, "\0") + right))
+    return b"".join(out)
 
 
 _FINDINGS = T.StructType(
     [
         T.StructField("base", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.IntegerType())]))),
-        T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("context", T.BinaryType()), T.StructField("known", T.BooleanType())]))),
+        T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("contexts", T.BinaryType()), T.StructField("known", T.BooleanType())]))),
     ]
 )
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
-_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("context", pa.binary()), ("known", pa.bool_())]))
+_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("contexts", pa.binary()), ("known", pa.bool_())]))
 
 
 def scan(text: str | None) -> tuple[list[dict], list[dict]]:
@@ -91,7 +124,7 @@ def scan(text: str | None) -> tuple[list[dict], list[dict]]:
     rows = []
     for start, end in candidates(text):
         known = any(a < end and start < b for a, b, _ in base)
-        rows.append({"start": start, "end": end, "context": context(text, start, end), "known": known})
+        rows.append({"start": start, "end": end, "contexts": contexts(text, start, end), "known": known})
     return [{"start": a, "end": b, "kind": k} for a, b, k in base], rows
 
 
@@ -139,22 +172,21 @@ class Network:
         logit = (hidden @ p["out"] + p["out_b"])[:, 0]
         return (logit, windows, best, pooled, hidden, places) if keep else logit
 
-    def step(self, codes: np.ndarray, labels: np.ndarray) -> None:
+    def step(self, codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         p = self.p
         logit, windows, best, pooled, hidden, places = self.forward(codes, True)
-        d_out = ((1 / (1 + np.exp(-logit)) - labels) / len(labels))[:, None]
+        d_out = ((_logistic(logit) - labels) * weights / weights.sum())[:, None]
         g = {"out": hidden.T @ d_out, "out_b": d_out.sum(0)}
         d_hidden = (d_out @ p["out"].T) * (hidden > 0)
         g |= {"hidden": pooled.T @ d_hidden, "hidden_b": d_hidden.sum(0)}
         d_pooled = (d_hidden @ p["hidden"].T) * (pooled > 0)
-        g["conv"], g["conv_b"], g["embed"] = np.zeros_like(p["conv"]), d_pooled.reshape(len(codes), 3, FILTERS).sum((0, 1)), np.zeros_like(p["embed"])
-        rows = np.arange(len(codes))
-        for part, places_of in enumerate(best):
-            for f in range(FILTERS):
-                d = d_pooled[:, part * FILTERS + f]
-                at = places_of[:, f]
-                g["conv"][:, f] += d @ windows[rows, at]
-                np.add.at(g["embed"], codes[rows[:, None], places[at]], (d[:, None] * p["conv"][:, f]).reshape(len(codes), KERNEL, EMBED))
+        rows, at = np.arange(len(codes))[:, None], np.concatenate(best, axis=1)  # the place of each filter's maximum, part by part
+        taken = windows[rows, at] * d_pooled[:, :, None]
+        g["conv"] = taken.reshape(len(codes), 3, FILTERS, KERNEL * EMBED).sum(axis=(0, 1)).T
+        g["conv_b"] = d_pooled.reshape(len(codes), 3, FILTERS).sum((0, 1))
+        back = d_pooled[:, :, None] * np.tile(p["conv"].T, (3, 1))
+        symbols, back = codes[rows[:, :, None], places[at]].reshape(-1), back.reshape(-1, EMBED)
+        g["embed"] = np.stack([np.bincount(symbols, back[:, e], SYMBOLS) for e in range(EMBED)], axis=1)
         self.steps += 1
         for k, grad in g.items():
             m, v = self.moments[k]
@@ -163,84 +195,204 @@ class Network:
             p[k] -= RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Platt's slope and offset, by Newton steps on the log loss with softened targets."""
     positive, negative = labels.sum(), (1 - labels).sum()
     target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
     a, b = 1.0, 0.0
     x = np.stack([logits, np.ones_like(logits)])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-(a * logits + b)))
+    for _ in range(200):
+        q = _logistic(a * logits + b)
         grad = x @ (q - target)
         curve = (x * (q * (1 - q))) @ x.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, grad)
+        step = np.clip(np.linalg.solve(curve, grad), -1, 1)  # steps from a flat stretch would overshoot
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
     return float(a), float(b)
 
 
+_INSIDE = slice(BEFORE, BEFORE + INSIDE)
+_ALPHABETS = [
+    np.frombuffer(_codes(a), dtype=np.uint8)
+    for a in (
+        "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789_-",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    )
+]
+
+
+def hidden(codes: np.ndarray) -> np.ndarray:
+    """Contexts without the text around the candidate, where the names and quotation marks of the base patterns stand."""
+    out = codes.copy()
+    out[:, :BEFORE] = 0
+    out[:, BEFORE + INSIDE :] = 0
+    return out
+
+
+def redrawn(codes: np.ndarray) -> np.ndarray:
+    """Secrets with all that gives them away hidden: the text around, the length, and the characters, drawn anew from one of the alphabets.
+
+    The draw depends on the context alone.
+    """
+    out = hidden(codes)
+    for row in out:
+        draw = np.random.default_rng(xxhash.xxh3_64_intdigest(row.astype(np.uint8).tobytes()))
+        size = int(draw.integers(LEAST, INSIDE + 1))
+        row[_INSIDE] = 0
+        row[BEFORE : BEFORE + size] = draw.choice(_ALPHABETS[draw.integers(len(_ALPHABETS))], size)
+    return out
+
+
+def views(codes: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Secrets as they are or with some of what gives them away hidden: the text around, their alphabet and length."""
+    out = codes.copy()
+    out[draw.random(len(out)) < 0.7, :BEFORE] = 0
+    out[draw.random(len(out)) < 0.7, BEFORE + INSIDE :] = 0
+    for i in np.flatnonzero(draw.random(len(out)) < 0.75):
+        size = int(draw.integers(LEAST, INSIDE + 1))
+        out[i, _INSIDE] = 0
+        out[i, BEFORE : BEFORE + size] = draw.choice(_ALPHABETS[draw.integers(len(_ALPHABETS))], size)
+    return out
+
+
+def _trained(secrets: np.ndarray, others: np.ndarray, seed: int) -> Network:
+    """A network from secrets and negatives, both sorts with the same weight in all."""
+    network, draw = Network(seed), np.random.default_rng(seed + 1)
+    labels = np.append(np.ones(len(secrets)), np.zeros(len(others)))
+    weights = np.where(labels > 0, 0.5 / len(secrets), 0.5 / len(others)) * len(labels)
+    for _ in range(EPOCHS):
+        codes = np.concatenate([views(secrets, draw), others])
+        alone = draw.random(len(others)) < 0.5
+        codes[len(secrets) :][alone] = hidden(others[alone])
+        turn = draw.permutation(len(codes))
+        for a in range(0, len(turn), BATCH):
+            at = turn[a : a + BATCH]
+            network.step(codes[at], labels[at], weights[at])
+    return network
+
+
 def fit(sample: list[tuple[bytes, bool]]) -> dict | None:
-    """Network, calibration and threshold from labelled contexts (in a fixed order); every fourth calibrates."""
+    """Network and calibration from labelled contexts (in a fixed order); every fourth calibrates.
+
+    None unless there are some of either sort to train and to calibrate on.
+    """
     codes = np.array([np.frombuffer(c, dtype=np.uint8) for c, _ in sample], dtype=np.int64).reshape(-1, WIDTH)
-    labels = np.array([k for _, k in sample], dtype=float)
-    held = np.arange(len(sample)) % 4 == 0
-    if not 0 < labels[held].sum() < held.sum() or not 0 < labels[~held].sum() < (~held).sum():
+    known = np.array([k for _, k in sample], dtype=bool)
+    secrets, others = codes[known], codes[~known]
+    if len(secrets) < 4 or len(others) < 8:
         return None
-    network, order = Network(), np.random.default_rng(6)
-    fitted = np.flatnonzero(~held)
-    for _ in range(EPOCHS):
-        turn = order.permutation(fitted)
-        for a in range(0, len(turn), BATCH):
-            network.step(codes[turn[a : a + BATCH]], labels[turn[a : a + BATCH]])
-    logits = network.forward(codes[held])
-    slope, offset = calibrate(logits, labels[held])
-    scores = 1 / (1 + np.exp(-(slope * logits + offset)))
-    secrets = np.sort(scores[labels[held] > 0])
-    threshold = max(float(secrets[int(np.floor((1 - RECALL) * len(secrets)))]), PRECISION_FLOOR)
-    return {"network": network.p, "slope": slope, "offset": offset, "threshold": threshold}
+    held = np.arange(len(secrets)) % 4 == 0
+    # What looks like a secret to a network that was not trained on it is no reliable negative. The second
+    # judges are trained without what the first ones found.
+    reliable = np.ones(len(others), dtype=bool)
+    for turn in range(2):
+        looks = np.zeros(len(others), dtype=bool)
+        for half in (0, 1):
+            own = np.arange(len(others)) % 2 == half
+            judge = _trained(secrets[~held], others[own & reliable], 5 + 2 * turn + half)
+            least = np.quantile(judge.forward(redrawn(secrets[held])), 1 - RECALL)
+            looks[~own] = np.maximum(judge.forward(others[~own]), judge.forward(hidden(others[~own]))) >= least
+        reliable = ~looks
+        if not (reliable[::2].any() and reliable[1::2].any()):
+            return None
+    negatives = others[reliable]
+    if len(negatives) < 4:
+        return None
+    apart = np.arange(len(negatives)) % 4 == 0
+    network = _trained(secrets[~held], negatives[~apart], 9)
+    logits = np.concatenate([network.forward(redrawn(secrets[held])), network.forward(negatives[apart])])
+    slope, offset = calibrate(logits, np.append(np.ones(held.sum()), np.zeros(apart.sum())))
+    return {"network": network.p, "slope": slope, "offset": offset}
 
 
 def scores_of(codes: np.ndarray, model: dict) -> np.ndarray:
     network = Network()
     network.p = model["network"]
-    return 1 / (1 + np.exp(-(model["slope"] * network.forward(codes) + model["offset"])))
+    logits = [network.forward(codes[a : a + 512]) for a in range(0, len(codes), 512)]
+    return _logistic(model["slope"] * np.concatenate(logits) + model["offset"]) if logits else np.zeros(0)
+
+
+def candidate_scores(windows: list[bytes], model: dict, hide: bool = False) -> np.ndarray:
+    """The highest score among the windows of each candidate, with and without the text around it; ``redrawn`` if ``hide``."""
+    if not windows:
+        return np.zeros(0)
+    counts = np.array([len(w) // WIDTH for w in windows])
+    codes = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    scores = scores_of(redrawn(codes), model) if hide else np.maximum(scores_of(codes, model), scores_of(hidden(codes), model))
+    return np.maximum.reduceat(scores, np.cumsum(counts) - counts)
+
+
+def recall_threshold(found: DataFrame, model: dict, recall: float = RECALL) -> float:
+    """The highest score (in steps of STEP) that keeps ``recall`` of all known candidates, ``redrawn``."""
+    sent = found.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            windows = batch.column(0).to_pylist()
+            steps = np.floor(candidate_scores(windows, sent.value, hide=True) / STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(steps)], names=["step"])
+
+    known = found.select(F.explode("candidates").alias("c")).filter("c.known").select("c.contexts")
+    counts = map_batches(known, run, "step long").groupBy("step").agg(F.count("*").alias("n")).collect()  # 1 / STEP rows at most
+    total, kept = sum(r.n for r in counts), 0
+    for r in sorted(counts, key=lambda r: -r.step):
+        kept += r.n
+        if kept >= recall * total:
+            return r.step * STEP
+    return 0.0
 
 
 def labelled_sample(found: DataFrame, per_label: int = PER_LABEL) -> list[tuple[bytes, bool]]:
-    """The ``per_label`` distinct contexts of either label that come first by hash."""
-    rows = found.select(F.explode("candidates").alias("c")).select("c.context", "c.known").distinct()
+    """The ``per_label`` distinct contexts of either label that come first by hash; of a long candidate the first window."""
+    first = F.substring("c.contexts", 1, WIDTH).alias("context")
+    rows = found.select(F.explode("candidates").alias("c")).select(first, "c.known").distinct()
     picked = []
     for known in (True, False):
         picked += [(bytes(r.context), known) for r in rows.filter(F.col("known") == known).orderBy(F.xxhash64("context"), "context").limit(per_label).collect()]
     return sorted(picked, key=lambda p: (xxhash.xxh3_64_intdigest(p[0]), p))
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_BASE_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_SPANS = T.ArrayType(T.StructType([*_BASE_SPANS.elementType.fields, T.StructField("score", T.DoubleType())]))
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> DataFrame:
-    """One row per document: doc_id, base and spans (all findings), each an array of (kind, start, end) in order of start, then kind."""
+    """One row per document: doc_id, base (kind, start, end) and spans (all findings, with score), in order of start, then kind.
+
+    The score of a base finding is the highest among the candidates it overlaps,
+    null where there is none.
+    """
     found = materialise(findings(docs, doc_id, text), "secret-findings")
     model = fit(labelled_sample(found, per_label))
+    if model:
+        model["threshold"] = recall_threshold(found, model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([found.schema["doc_id"], T.StructField("base", _SPANS), T.StructField("spans", _SPANS)])
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    schema = T.StructType([found.schema["doc_id"], T.StructField("base", _BASE_SPANS), T.StructField("spans", _SPANS)])
+    place = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
 
     def run(batches):
         for batch in batches:
             base, rows = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            spans = [[(b["start"], b["kind"], b["end"]) for b in own] for own in base]
-            pool = [(d, c) for d, own in enumerate(rows) for c in own or () if not c["known"]]
-            if sent.value and pool:
-                codes = np.array([np.frombuffer(c["context"], dtype=np.uint8) for _, c in pool], dtype=np.int64)
-                for a in range(0, len(pool), 512):
-                    for (d, c), score in zip(pool[a : a + 512], scores_of(codes[a : a + 512], sent.value)):
-                        if score >= sent.value["threshold"]:
-                            spans[d].append((c["start"], KINDS.index("model"), c["end"]))
-            named = lambda own: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(own)]
+            pool = [c["contexts"] for own in rows for c in own or ()]
+            scores = iter(candidate_scores(pool, sent.value).tolist() if sent.value else [None] * len(pool))
+            spans = []
+            for own, listed in zip(base, rows):
+                scored = [(c, next(scores)) for c in listed or ()]
+                added = [(c["start"], KINDS.index("model"), c["end"], x) for c, x in scored if x is not None and not c["known"] and x >= sent.value["threshold"]]
+                for b in own or ():
+                    over = [x for c, x in scored if x is not None and c["known"] and c["start"] < b["end"] and b["start"] < c["end"]]
+                    added.append((b["start"], b["kind"], b["end"], max(over, default=None)))
+                spans.append(sorted(added, key=lambda f: f[:3]))
+            plain = [[{"kind": KINDS[b["kind"]], "start": b["start"], "end": b["end"]} for b in own or ()] for own in base]
+            full = [[{"kind": KINDS[k], "start": a, "end": b, "score": x} for a, k, b, x in own] for own in spans]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([named((b["start"], b["kind"], b["end"]) for b in own) for own in base], kind), pa.array([named(s) for s in spans], kind)], names=schema.names
+                [batch.column(0), pa.array(plain, pa.list_(pa.struct(place))), pa.array(full, pa.list_(pa.struct([*place, ("score", pa.float64())])))], names=schema.names
             )
 
     return map_batches(found, run, schema)

@@ -417,20 +417,73 @@ def test_base_findings_equal_the_patterns(texts):
         assert secrets.base_findings(text or "") == brute.base_secrets(text)
 
 
-def test_network_finds_held_back_secrets(spark, edge, empty):
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.fixture(scope="module")
+def leaks():
+    """(id, text) with labelled secrets, plain candidates, and secrets that no base pattern covers; the kinds of the latter by id."""
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9)))
-    key = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
-    rows = [(k, f"{word()} {word()} token = \"{key()}\" {word()}") for k in range(200)]
-    rows += [(1000 + k, f"{word()} {word()}_{word()}_{word()}_{word()}_{draw.randrange(10, 99)}_abcdefgh {word()}") for k in range(200)]
-    rows += [(2000, f"{word()} tok3n = \"{key().upper()}\"")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    rows = [(k, f'{word()} {word()} token = "{key("0123456789abcdef", 40)}" {word()}') for k in range(300)]
+    plain = [
+        lambda: f"{word()}_{word()}_{word()}_{draw.randrange(10, 99)}", lambda: f"{word()}-{word()}.{word()}/{word()}/{word()}", lambda: f'note: "{word()} {word()} {word()}"',
+        lambda: f"{word().upper()}{word().upper()}THE", lambda: f"{word()}: {word()}{word()}ation", lambda: f"{draw.randrange(10**15, 10**16)}", lambda: f"10.{draw.randrange(99)}.7.12",
+    ]
+    rows += [(1000 + k, f"{word()} {word()} {plain[k % len(plain)]()} {word()}") for k in range(840)]
+    held = {
+        "upper": lambda: f'tok3n = "{key(UPPER[:6] + "0123456789", 40)}"', "no digit": lambda: f"passphrase: {key(UPPER + LOWER, 28)}",
+        "low": lambda: f'key "{key(LOWER, 6)}" value="{key(LOWER, 32)}"', "long": lambda: f"blob={key(UPPER + LOWER + '0123456789+/', 130)}==", "short": lambda: f"pin= {key(UPPER + LOWER + '0123456789', 14)}",
+    }
+    hidden = {}
+    for nth, (kind, make) in enumerate(held.items()):
+        for k in range(12):
+            i = 3000 + 100 * nth + k
+            hidden[i] = kind
+            rows.append((i, f"{word()} {word()} {make()} {word()}"))
+    return rows, hidden
+
+
+def test_network_finds_held_back_secrets(spark, leaks):
+    """Other alphabets, without a digit, under other names, longer than a window, short ones."""
+    rows, hidden = leaks
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in secrets.detect(docs).collect()}
     for i, text in rows:
         base = [(secrets.KINDS[k], a, b) for a, b, k in brute.base_secrets(text)]
         assert [(s.kind, s.start, s.end) for s in got[i].base] == base
         assert [(s.kind, s.start, s.end) for s in got[i].spans if s.kind != "model"] == base
-    assert sum(len(got[i].spans) > len(got[i].base) for i in range(1000, 1200)) <= 10
+        assert all(s.score is not None for s in got[i].spans) and not (i >= 1000 and base)
+    caught = Counter(hidden[i] for i in hidden if any(s.kind == "model" for s in got[i].spans))
+    assert sum(caught.values()) >= 0.9 * len(hidden) and min(caught[k] for k in hidden.values()) >= 8, caught
+    wrong = sum(any(s.kind == "model" for s in got[i].spans) for i in range(1000, 1840))
+    assert wrong <= 6  # so nine of ten added spans are secrets
+
+
+def test_candidates_are_read_whole():
+    text = 'a="' + "x" * 30 + 'SECRET" ' + "k" * 100 + "Zq9 plainword short=ab1 v: abcdef MIXEDcase9"
+    found = [text[a:b] for a, b in secrets.candidates(text)]
+    assert found == ["x" * 30 + "SECRET", "k" * 100 + "Zq9", "short=ab1", "abcdef", "MIXEDcase9"]
+    start, end = secrets.candidates(text)[1]
+    windows = secrets.contexts(text, start, end)
+    codes = np.frombuffer(windows, dtype=np.uint8).reshape(-1, secrets.WIDTH)[:, secrets.BEFORE : secrets.BEFORE + secrets.INSIDE]
+    assert all(any(secrets._codes(text[k : k + 5]) in bytes(c) for c in codes) for k in range(start, end - 4))
+    assert secrets.candidates("") == [] and secrets.candidates("plain words of prose only") == []
+
+
+def test_threshold_keeps_the_recall_of_all_labelled_findings(spark, leaks):
+    found = secrets.findings(spark.createDataFrame(leaks[0], "doc_id long, text string")).cache()
+    known = [bytes(c.contexts) for r in found.collect() for c in r.candidates if c.known]
+    model = {"network": secrets.Network(3).p, "slope": 1.0, "offset": 0.0}
+    scores = secrets.candidate_scores(known, model, hide=True)
+    for recall in (0.5, 0.95, 1.0):
+        threshold = secrets.recall_threshold(found, model, recall)
+        assert (scores >= threshold).mean() >= recall and (scores >= threshold + 2 * secrets.STEP).mean() < recall
+    assert secrets.recall_threshold(found.limit(0), model) == 0.0
+
+
+def test_secrets_of_edge_rows(spark, edge, empty):
     assert Counter(r.doc_id for r in secrets.detect(edge).collect()) == Counter(EDGE_IDS)
     assert secrets.detect(empty).count() == 0
 

@@ -352,33 +352,126 @@ def test_quality_of_edge_rows(edge, empty):
 # Language-model scores
 
 
-def test_scores_equal_a_word_at_a_time(texts):
-    packed = [lmscore.ids_of(t.encode()).astype("<u2").tobytes() for _, t in texts[:20]] + [b""]
-    counts = np.bincount(np.frombuffer(b"".join(packed), "<u2"), minlength=lmscore.WORDS)
-    model = {"flat": lmscore.initial(), "words": lmscore.vocabulary(counts)}
-    p, words = lmscore._parts(model["flat"]), model["words"]
-    n, total = lmscore.score_texts(packed, model)
-    for k, own in enumerate(packed):
-        ids, want = np.frombuffer(own, "<u2").tolist(), 0.0
-        for i, target in enumerate(ids):
-            near = [words["inputs"][ids[i + o]] if 0 <= i + o < len(ids) else 0 for o in lmscore.OFFSETS]
-            hidden = np.tanh(sum(p["embed"][j][c] for j, c in enumerate(near)) + p["hidden"])
-            logits = hidden @ p["out"] + p["bias"]
-            want += logits[words["classes"][target]] - np.log(np.exp(logits).sum()) + words["share"][target]
-        assert n[k] == len(ids) and abs(total[k] - want) < 1e-2 + 1e-4 * abs(want)
-    per_class = np.bincount(words["classes"], np.exp(words["share"].astype(float)), lmscore.CLASSES)
-    assert np.allclose(per_class, 1, atol=1e-3)
-
-
-def test_training_beats_the_untrained_model(spark, documents, edge, empty):
-    encoded = lmscore._encoded(documents, "doc_id", "text").cache()
-    packed = [bytes(r.ids) for r in encoded.collect()]
-    model = lmscore.fit(encoded)
-    trained = lmscore.score_texts(packed, model)[1].sum()
-    assert trained > lmscore.score_texts(packed, model | {"flat": lmscore.initial()})[1].sum()
-    got = lmscore.scores(edge).collect()
-    assert Counter(r.doc_id for r in got) == Counter(EDGE_IDS)
-    assert all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got)
+def plain_vocabulary(texts):
+    """Rank of the most frequent words, and the log share of its band of every other word."""
+    counts = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    order = sorted(counts, key=lambda w: (-counts[w], lmscore.hashes_of([w])[0]))
+    rank = {w: k for k, w in enumerate(order[: lmscore.OWN])}
+    rest = Counter()
+    for w in order[lmscore.OWN :]:
+        rest[min(counts[w].bit_length() - 1, lmscore.BANDS - 1)] += counts[w]
+    share = {}
+    for w in order[lmscore.OWN :]:
+        band = min(counts[w].bit_length() - 1, lmscore.BANDS - 1)
+        share[w] = (band, np.log(counts[w] / rest[band]))
+    return rank, share
+
+
+def plain_score(text, rank, share, flat, words):
+    """Log-probability of a text, a word at a time."""
+    p = {k: v.astype(float) for k, v in lmscore._parts(flat).items()}
+    tokens = (text or "").encode().lower().split()
+    code = [rank[w] if w in rank else lmscore.OWN + share[w][0] for w in tokens]
+    total = 0.0
+    for i, w in enumerate(tokens):
+        h = p["hidden"].copy()
+        for j, k in enumerate(lmscore.OFFSETS):
+            h += p["embed"][j][code[i + k] + 1 if 0 <= i + k < len(code) else 0]
+        h = np.tanh(h)
+        logits = h @ p["out"] + p["bias"]
+        c = words["class_of"][code[i]] if w in rank else lmscore.CLASSES + share[w][0]
+        total += logits[c] - np.log(np.exp(logits).sum())
+        if w in rank:
+            members = slice(words["starts"][c], words["starts"][c + 1])
+            own = p["own"][members] @ h + p["own_bias"][members]
+            total += own[code[i] - members.start] - np.log(np.exp(own).sum())
+        else:
+            total += share[w][1]
+    return total
+
+
+def test_scores_equal_a_word_at_a_time(spark, documents, edge):
+    rows = documents.select("doc_id", "text").union(edge.select("doc_id", "text"))
+    encoded, words = lmscore.prepared(rows.repartition(3))
+    texts = [r.text for r in rows.collect()]
+    rank, share = plain_vocabulary(texts)
+    assert [lmscore.hashes_of([w])[0] for w in sorted(rank, key=rank.get)] == words["hashes"].tolist()
+    sizes = np.diff(words["starts"])
+    assert len(sizes) <= lmscore.CLASSES and sizes.sum() == len(rank) and (words["class_of"] == np.repeat(np.arange(len(sizes)), sizes)).all()
+    flat = lmscore.initial(4) * 5
+    got = []
+    for row in encoded.collect():
+        row = row.asDict()
+        codes, shares = lmscore._codes(row), np.frombuffer(row["shares"], "<f4").astype(float)[lmscore._unpacked(row["words"])]
+        lengths = np.array(row["lengths"])
+        got += zip(row["doc_ids"], lengths.tolist(), lmscore.score_texts(codes, shares, lengths, flat, words))
+    short = [t for t in texts if len(t or "") < 3_000]
+    want = sorted((len((t or "").encode().split()), plain_score(t, rank, share, flat, words)) for t in short)
+    assert len(got) == len(texts)
+    small = sorted((n, x) for i, n, x in got if any(n == w for w, _ in want))
+    for n, x in want:
+        assert any(m == n and abs(x - y) < 1e-3 * max(1, n) for m, y in small)
+
+
+def test_probabilities_add_up_to_one(spark, documents):
+    encoded, words = lmscore.prepared(documents.limit(50))
+    p = lmscore._parts(lmscore.initial(2) * 20)
+    near = np.random.default_rng(0).integers(0, lmscore.INPUTS, (len(lmscore.OFFSETS), 1))
+    known = len(words["hashes"])
+    own = [np.exp(lmscore._log_probabilities(p, near, np.array([c]), words)[0]) for c in range(known)]
+    bands = [np.exp(lmscore._log_probabilities(p, near, np.array([lmscore.OWN + k]), words)[0]) for k in range(lmscore.BANDS)]
+    hidden = lmscore._hidden(p, near) @ p["out"] + p["bias"]
+    empty_classes = range(len(words["starts"]) - 1, lmscore.CLASSES)  # of a small vocabulary
+    empty = [np.exp(lmscore._log_softmax_at(hidden.copy(), np.array([c]))[0]) for c in empty_classes]
+    assert sum(own) + sum(bands) + sum(empty) == pytest.approx(1, abs=1e-3)
+
+
+def test_gradient_equals_finite_differences(spark, documents):
+    _, words = lmscore.prepared(documents.limit(80))
+    draw = np.random.default_rng(3)
+    codes = np.where(draw.random(40) < 0.8, draw.integers(0, len(words["hashes"]), 40), lmscore.OWN + draw.integers(0, 5, 40))
+    near = lmscore.neighbours(codes, np.array([15, 0, 25]))
+    flat = (lmscore.initial(6) * 3).astype(np.float64)
+    grad = np.zeros(lmscore.SIZE)
+    lmscore.gradient(lmscore._parts(flat), lmscore._parts(grad), near, codes, words)
+
+    def loss(at, step):
+        moved = flat.copy()
+        moved[at] += step
+        return -lmscore._log_probabilities(lmscore._parts(moved), near, codes, words).mean()
+
+    used = np.flatnonzero(grad)
+    for at in draw.choice(used, 60, replace=False):
+        assert (loss(at, 1e-5) - loss(at, -1e-5)) / 2e-5 == pytest.approx(grad[at], rel=1e-3, abs=1e-8)
+
+
+def test_training_on_spark_equals_training_in_place(spark, documents, edge, empty):
+    encoded, words = lmscore.prepared(documents.coalesce(1))
+    flat = lmscore.fit(encoded, words)
+    want = lmscore.initial()
+    rows = [r.asDict() for r in encoded.collect()]
+    for turn in range(lmscore.ROUNDS):
+        total = lmscore.train_on((lmscore._texts_of_turn(lmscore._codes(r), np.array(r["lengths"]), turn) for r in rows), want, words)
+        want = (total[:-1] / total[-1]).astype(np.float32)
+    assert np.allclose(flat, want, atol=1e-3)
+    got = {r.doc_id: r for r in lmscore.scores(documents).collect()}
+    assert all(r.log_prob < 0 and r.mean_log_prob == pytest.approx(r.log_prob / r.n_tokens) for r in got.values() if r.n_tokens)
+    trained, start, better, long = 0.0, 0.0, 0, 0
+    draw = np.random.default_rng(5)
+    for row in rows:
+        codes, shares, lengths = lmscore._codes(row), np.frombuffer(row["shares"], "<f4").astype(float)[lmscore._unpacked(row["words"])], np.array(row["lengths"])
+        trained += lmscore.score_texts(codes, shares, lengths, flat, words).sum()
+        start += lmscore.score_texts(codes, shares, lengths, lmscore.initial(), words).sum()
+        ends = np.cumsum(lengths)
+        for b, n in zip(ends, lengths):
+            if n >= 50:
+                turn = draw.permutation(n)
+                pair = [lmscore.score_texts(codes[b - n : b][o], shares[b - n : b][o], np.array([n]), flat, words)[0] for o in (np.arange(n), turn)]
+                better, long = better + (pair[0] > pair[1]), long + 1
+    assert trained > start and better > 0.6 * long
+    assert Counter(r.doc_id for r in lmscore.scores(edge).collect()) == Counter(EDGE_IDS)
+    none = [r for r in lmscore.scores(edge.filter("doc_id < 4")).collect()]
+    assert {(r.n_tokens, r.log_prob, r.mean_log_prob) for r in none} == {(0, 0.0, None)} and len(none) == 3
     assert lmscore.scores(empty).count() == 0
 
 

@@ -485,8 +485,8 @@ def _variances() -> str:
             f"k_{r} AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS c FROM d_{r} a JOIN d_{r} b ON a.rid = b.rid GROUP BY ALL)",
         ]
     body = " UNION ALL ".join(
-        f"""SELECT '{role}' AS role, count(*) FILTER (WHERE i = j) AS components, round(sum(c) FILTER (WHERE i = j) / t, 6) AS total,
-  round(sum(c * c) / t ** 2, 6) AS squares, 1.0::DOUBLE AS cumulative
+        f"""SELECT '{role}' AS role, count(*) FILTER (WHERE i = j) AS components, round(CASE WHEN t > 1e-12 THEN sum(c) FILTER (WHERE i = j) / t ELSE 0 END, 6) AS total,
+  round(CASE WHEN t > 1e-12 THEN sum(c * c) / t ** 2 ELSE 0 END, 6) AS squares, CASE WHEN t > 1e-12 THEN 1.0 ELSE 0.0 END::DOUBLE AS cumulative
 FROM k_{role.lower()}, (SELECT sum(c) AS t FROM k_{role.lower()} WHERE i = j) GROUP BY t"""
         for role in names
     )

@@ -129,8 +129,8 @@ def component_columns(df: DataFrame, k: int) -> DataFrame:
 
 
 def explained_variance(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    """Share of variance per component and running sum: k rows."""
-    ratios = [float(v) for v in model.stages[-1].explainedVariance]
+    """Share of variance per component and running sum: k rows; 0 where there is no variance at all."""
+    ratios = np.nan_to_num([float(v) for v in model.stages[-1].explainedVariance]).tolist()
     rows, total = [], 0.0
     for i, r in enumerate(ratios):
         total += r
@@ -175,7 +175,7 @@ def component_checks(model: PipelineModel, df: DataFrame, within: float = 1e-9)
     off = np.abs(c @ found - found * values).max(axis=0)
     apart = np.abs(found.T @ found - np.eye(k))
     scale = max(float(np.abs(c).max()), 1e-300)
-    stated = np.array([float(v) for v in model.stages[-1].explainedVariance])
+    stated = np.nan_to_num([float(v) for v in model.stages[-1].explainedVariance])
     rows = [
         (
             i,

@@ -51,6 +51,7 @@ BANDS = 24
 SIDE, WIDTH = 2, 16
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
+SCORED = 16_384  # words scored at a time
 CHUNK_BYTES = 16 << 20
 # Tasks that add up the parameters of all others.
 ADDERS = 8
@@ -232,13 +233,20 @@ def _parts(flat: np.ndarray) -> dict[str, np.ndarray]:
 def neighbours(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Inputs beside each word, a row per offset; texts are set apart by edges."""
     places = np.arange(len(codes)) + SIDE * (1 + np.repeat(np.arange(len(lengths)), lengths))
-    line = np.zeros(len(codes) + SIDE * (len(lengths) + 1), dtype=np.int32)
+    line = np.zeros(len(codes) + SIDE * (len(lengths) + 1), dtype=np.uint16)
     line[places] = codes + 1
     return np.stack([line[places + k] for k in OFFSETS])
 
 
+def _logits(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits that can be raised to powers: the hidden values are from -1 to 1, so the weights bound them; the largest is taken off only where it must."""
+    logits = hidden @ weights + bias
+    if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -246,7 +254,6 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of one column of each row."""
-    logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(at)), at]
     return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
 
@@ -280,16 +287,16 @@ def targets(codes: np.ndarray, words: dict) -> np.ndarray:
 def _log_probabilities(p: dict, near: np.ndarray, codes: np.ndarray, words: dict) -> np.ndarray:
     """Of each word's class, and of the word within it where the network predicts that."""
     hidden = _hidden(p, near)
-    out = _log_softmax_at(hidden @ p["out"] + p["bias"], targets(codes, words))
+    out = _log_softmax_at(_logits(hidden, p["out"], p["bias"]), targets(codes, words))
     for members, at, own in _by_class(codes, words):
-        out[at] += _log_softmax_at(hidden[at] @ p["own"][members].T + p["own_bias"][members], own)
+        out[at] += _log_softmax_at(_logits(hidden[at], p["own"][members].T, p["own_bias"][members]), own)
     return out
 
 
 def gradient(p: dict, g: dict, near: np.ndarray, codes: np.ndarray, words: dict) -> None:
     """The gradient of the mean negative log-probability, into ``g``."""
     hidden, many = _hidden(p, near), len(codes)
-    d = _softmax(hidden @ p["out"] + p["bias"])
+    d = _softmax(_logits(hidden, p["out"], p["bias"]))
     d[np.arange(many), targets(codes, words)] -= 1
     d /= many
     g["out"][:], g["bias"][:] = hidden.T @ d, d.sum(axis=0)
@@ -297,17 +304,20 @@ def gradient(p: dict, g: dict, near: np.ndarray, codes: np.ndarray, words: dict)
     g["own"][:], g["own_bias"][:] = 0, 0
     for members, at, own in _by_class(codes, words):
         h = hidden[at]
-        d = _softmax(h @ p["own"][members].T + p["own_bias"][members])
+        d = _softmax(_logits(h, p["own"][members].T, p["own_bias"][members]))
         d[np.arange(len(at)), own] -= 1
         d /= many
         g["own"][members], g["own_bias"][members] = d.T @ h, d.sum(axis=0)
         below[at] += d @ p["own"][members]
     below *= 1 - hidden * hidden
     g["hidden"][:] = below.sum(axis=0)
-    spread, flat = np.arange(WIDTH), below.reshape(-1)
+    g["embed"][:] = 0
     for j in range(len(OFFSETS)):
-        cells = (near[j][:, None] * WIDTH + spread).reshape(-1)
-        g["embed"][j] = np.bincount(cells, flat, INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+        # The rows of equal inputs, brought together, are added up.
+        order = np.argsort(near[j], kind="stable")
+        inputs = near[j][order]
+        starts = np.flatnonzero(np.append(True, inputs[1:] != inputs[:-1]))
+        g["embed"][j][inputs[starts]] = np.add.reduceat(below[order], starts, axis=0)
 
 
 def _texts_of_turn(codes: np.ndarray, lengths: np.ndarray, turn: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -382,8 +392,8 @@ def score_texts(codes: np.ndarray, shares: np.ndarray, lengths: np.ndarray, flat
     """Summed log-probability of each text; ``shares`` are the words' log shares of their bands, 0 for words of the vocabulary."""
     p, near = _parts(flat), neighbours(codes, lengths)
     logs = np.zeros(len(codes) + 1)
-    for a in range(0, len(codes), BATCH):
-        b = min(a + BATCH, len(codes))
+    for a in range(0, len(codes), SCORED):
+        b = min(a + SCORED, len(codes))
         logs[a + 1 : b + 1] = _log_probabilities(p, near[:, a:b], codes[a:b], words) + shares[a:b]
     sums, ends = np.cumsum(logs), np.cumsum(lengths)
     return sums[ends] - sums[ends - lengths]

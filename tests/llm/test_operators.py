@@ -416,7 +416,7 @@ def test_scores_equal_a_word_at_a_time(spark, documents, edge):
 def test_probabilities_add_up_to_one(spark, documents):
     encoded, words = lmscore.prepared(documents.limit(50))
     p = lmscore._parts(lmscore.initial(2) * 20)
-    near = np.random.default_rng(0).integers(0, lmscore.INPUTS, (len(lmscore.OFFSETS), 1))
+    near = np.random.default_rng(0).integers(0, lmscore.INPUTS, (len(lmscore.OFFSETS), 1)).astype(np.uint16)
     known = len(words["hashes"])
     own = [np.exp(lmscore._log_probabilities(p, near, np.array([c]), words)[0]) for c in range(known)]
     bands = [np.exp(lmscore._log_probabilities(p, near, np.array([lmscore.OWN + k]), words)[0]) for k in range(lmscore.BANDS)]

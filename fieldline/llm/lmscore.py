@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
 SCORED = 16_384  # words scored at a time
 CHUNK_BYTES = 16 << 20
-# Tasks that add up the parameters of all others.
+# Tasks that bring the sums of parameters to the driver; more than ADDERS ** 2 tasks are added up in two steps.
 ADDERS = 8
 
 INPUTS = 1 + OWN + BANDS  # 0 is the edge of a text
@@ -348,8 +349,9 @@ def train_on(texts: Iterator[tuple[np.ndarray, np.ndarray]], flat: np.ndarray, w
 
 
 def _averaged(encoded: DataFrame, turn: int, flat: np.ndarray, words: dict) -> np.ndarray:
-    """Parameters after every task has trained on its share of this round: ADDERS tasks add them up, the driver averages."""
+    """Parameters after every task has trained on its share of this round: they are added up in a few tasks, the driver averages."""
     sent = encoded.sparkSession.sparkContext.broadcast((flat, words))
+    wide = max(ADDERS, isqrt(encoded.rdd.getNumPartitions()))
 
     def train(batches):
         def texts():
@@ -360,7 +362,7 @@ def _averaged(encoded: DataFrame, turn: int, flat: np.ndarray, words: dict) -> n
 
         total = train_on(texts(), *sent.value)
         if total is not None:
-            number = TaskContext.get().partitionId() % ADDERS
+            number = TaskContext.get().partitionId() % wide
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["adder", "total"])
 
     def add(batches):
@@ -370,11 +372,14 @@ def _averaged(encoded: DataFrame, turn: int, flat: np.ndarray, words: dict) -> n
                 part = np.frombuffer(data)
                 total = part.copy() if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["adder", "total"])
+            number = TaskContext.get().partitionId() % ADDERS
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["adder", "total"])
 
     schema = "adder int, total binary"
-    trained = map_batches(encoded.select("words", "codes", "lengths"), train, schema)
-    found = map_batches(trained.repartition(ADDERS, "adder"), add, schema).collect()  # ADDERS rows of the model's size at most
+    added = map_batches(map_batches(encoded.select("words", "codes", "lengths"), train, schema).repartition(wide, "adder"), add, schema)
+    if wide > ADDERS:
+        added = map_batches(added.repartition(ADDERS, "adder"), add, schema)
+    found = added.collect()  # ADDERS rows of the model's size
     sent.unpersist()
     total = sum((np.frombuffer(r.total) for r in found), np.zeros(SIZE + 1))
     return (total[:-1] / total[-1]).astype(np.float32) if total[-1] else flat

@@ -454,6 +454,8 @@ def test_training_on_spark_equals_training_in_place(spark, documents, edge, empt
         total = lmscore.train_on((lmscore._texts_of_turn(lmscore._codes(r), np.array(r["lengths"]), turn) for r in rows), want, words)
         want = (total[:-1] / total[-1]).astype(np.float32)
     assert np.allclose(flat, want, atol=1e-3)
+    many, few = (lmscore._averaged(encoded.repartition(n), 0, want, words) for n in (100, 3))  # added up in two steps, and in one
+    assert np.isfinite(many).all() and np.allclose(many, few, atol=1e-3)
     got = {r.doc_id: r for r in lmscore.scores(documents).collect()}
     assert all(r.log_prob < 0 and r.mean_log_prob == pytest.approx(r.log_prob / r.n_tokens) for r in got.values() if r.n_tokens)
     trained, start, better, long = 0.0, 0.0, 0, 0

@@ -14,7 +14,8 @@ into byte ranges, at closing braces instead of line ends. Two passes follow:
    two a range, are brought together by the range in which they begin.
 
 So no task holds more than a range at a time, and no text is shuffled but
-the pieces at borders. Range sizes are those of ``spark.sql.files.maxPartitionBytes``.
+the pieces at borders. Range sizes are those of ``spark.sql.files.maxPartitionBytes``;
+a task takes one range after another if ``ranges_of`` bounds the number of tasks.
 
 Records are the objects of the outermost level, of one array or of several
 values one after another; other values there are skipped.
@@ -24,12 +25,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldline.session import _file_system
+
+# What a task takes of ranges that are smaller.
+TASK_BYTES = 128 << 20
+
 # What is left of a string; it ends with a quotation mark or with the fragment.
 _REST = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*(?:(")|\\?\Z)', re.DOTALL)
 
@@ -173,6 +181,22 @@ def _cut(batches):
         yield packed([piece(False, here)])
 
 
+@contextmanager
+def ranges_of(spark: SparkSession, path: str, size: str) -> Iterator[int]:
+    """While it lasts, files are read in ranges of ``size``, by a task for every 128 MB of ``path``, and a few per core at least."""
+    files, place = _file_system(spark, path)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, files.getContentSummary(place).getLength() // TASK_BYTES)
+    wanted = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield tasks
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The text of each record of the JSON array files at ``path``, in a column ``value``."""
     notes = _fragments(spark, path).mapInArrow(_note, _NOTES)
@@ -193,16 +217,21 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return read_records(spark, path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record")).select("record.*")
 
 
-def write_arrays(df: DataFrame, path: str) -> None:
-    """``df`` as JSON arrays, one file per partition."""
+def write_arrays(df: DataFrame, path: str, files: int | None = None) -> None:
+    """``df`` as JSON arrays, one file per partition, or so many ``files``.
+
+    With ``files``, records become text in the tasks of ``df``; those that write
+    a file only put marks between them, some records at a time.
+    """
 
     def run(batches):
         mark = "["
         for batch in batches:
             if len(batch):
-                rows = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([mark + rows[0], *("," + r for r in rows[1:])], pa.string())], names=["value"])
+                marks = pa.array([mark, *[","] * (len(batch) - 1)], batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column(0), "")], names=["value"])
                 mark = ","
         yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"], pa.string())], names=["value"])
 
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.text(path)
+    text = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    (text if files is None else text.repartition(files)).mapInArrow(run, "value string").write.text(path)

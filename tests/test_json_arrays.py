@@ -87,3 +87,26 @@ def test_event_log_as_array(spark, tmp_path, split):
     assert readers.read_events(spark, str(tmp_path), layout="array").orderBy("id").collect() == whole
     lines = spark.read.schema("value string").text(str(tmp_path))
     assert lines.select(F.count("*")).first()[0] == 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, split):
+    rows = records(3, 3_000)
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    with json_arrays.ranges_of(spark, str(tmp_path), "1000") as tasks:
+        assert tasks == 4 * spark.sparkContext.defaultParallelism
+        fragments = json_arrays._fragments(spark, str(tmp_path))
+        assert fragments.select("start").distinct().count() > 5 * tasks
+        assert fragments.rdd.getNumPartitions() <= tasks + 1
+        got = [json.loads(r["value"]) for r in json_arrays.read_records(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r["id"]) == rows
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+
+
+def test_one_file_written_from_many_tasks(spark, tmp_path):
+    df = spark.range(0, 25_000, numPartitions=6).select("id", F.concat(F.lit("}],é"), "id").alias("t"))
+    json_arrays.write_arrays(df, str(tmp_path / "one"), files=1)
+    (only,) = (tmp_path / "one").glob("part-*")
+    assert sorted((r["id"], r["t"]) for r in json.loads(only.read_text())) == [(i, f"}}],é{i}") for i in range(25_000)]
+    json_arrays.write_arrays(df.filter("id < 0"), str(tmp_path / "none"), files=1)
+    (only,) = (tmp_path / "none").glob("part-*")
+    assert json.loads(only.read_text()) == []

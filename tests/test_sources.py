@@ -125,3 +125,11 @@ def test_materialise_keeps_rows_and_schema(spark):
     assert stored.dtypes == df.dtypes and sorted(stored.collect()) == sorted(df.collect())
     assert "Range" not in stored._jdf.queryExecution().toString()
     assert shared_folder(spark)
+
+
+def test_lines_without_quotation_marks_are_split_at_every_comma(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',playerId,matchId,m\n0, 5 ,7,1.5\n1,6,7,\n2,"8",7,"2.5"\n3,9,"7,1",4\n')
+    cells = [r["cells"] for r in readers._measure_lines(spark, str(tmp_path)).filter("NOT is_header").orderBy("cells").collect()]
+    assert cells == [["0", "5", "7", "1.5"], ["1", "6", "7", ""], ["2", "8", "7", "2.5"], ["3", "9", "7,1", "4"]]
+    plan = readers._measure_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(value#" in plan and ", ,, -1)" in plan

@@ -115,6 +115,37 @@ def test_groups_of_points_are_clustered_side_by_side(spark, cloud):
         assert np.allclose(got[g], lloyd(data, start[g], 100))
 
 
+def test_rounds_read_blocks_of_points(spark, cloud):
+    rows = [("a", list(map(float, r))) for r in cloud] + [("b", [float(i)]) for i in range(7)] + [("c", None)]
+    points = spark.createDataFrame(rows, "group string, components array<double>").coalesce(1)
+    packed = roles._packed(points, {"a": 6, "b": 1}).collect()
+    assert len(packed) < len(rows) / 8 and {r["group"] for r in packed} == {"a", "b"}
+    back = np.frombuffer(b"".join(bytes(r["block"]) for r in packed if r["group"] == "a")).reshape(-1, 6)
+    assert np.array_equal(np.array(sorted(back.tolist())), np.array(sorted(cloud.tolist())))
+    for bad in ({"a": 3}, {"c": 6}):
+        with pytest.raises(Exception, match="that has not"):
+            roles._packed(points, bad).collect()
+
+
+def test_rounds_read_only_points_near_borders(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    data = draw.normal(size=(4_000, 3))
+    read = []
+    sums = roles._cluster_sums
+
+    def counted(packed, *others):
+        found = sums(packed, *others)
+        read.append(sum(float(f[:, -1].sum()) for f in found.values()))
+        return found
+
+    monkeypatch.setattr(roles, "_cluster_sums", counted)
+    points = spark.createDataFrame([("all", list(map(float, r))) for r in data], "group string, components array<double>")
+    start = [list(map(float, r)) for r in data[:5]] + [[90.0] * 3]
+    got = roles.grouped_kmeans(points, {"all": start}, tolerance=1e-18)["all"]
+    assert np.allclose(got, lloyd(data, start, 300))
+    assert len(read) > 20 and min(read) < 0.5 * len(data)
+
+
 def test_component_signs_and_checks(spark, cloud):
     df, names = as_columns(spark, cloud)
     model = roles.principal_components(names, 3).fit(df)

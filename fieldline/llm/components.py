@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 
 from fieldline.session import discard, materialise
 
+# Rounds of more edges than this join by shuffle: their files may be small enough for a broadcast when their rows are not.
+BROADCAST_EDGES = 250_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _by_shuffle(least: DataFrame, many: bool) -> DataFrame:
+    return least.hint("shuffle_merge") if many else least
+
+
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(_by_shuffle(least, many), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     """Edges point from the smaller node a to the larger b."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b")
+    moved = edges.join(_by_shuffle(least, many), "b")
     return (
         moved.select(F.col("m").alias("x"), F.col("a").alias("y"))
         .unionByName(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
@@ -39,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         if size == before or not size[0]:
             break
         before = size
-        after = materialise(_small_star(_large_star(current)), "components")
+        many = size[0] > BROADCAST_EDGES
+        after = materialise(_small_star(_large_star(current, many), many), "components")
         discard(current)
         current = after
     out = materialise(

@@ -168,7 +168,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     places = placed.groupBy("key").agg(F.min(F.struct("slot", "within")).alias("p")).select(F.col("key").alias(into[2]), F.col("p.slot").alias(into[0]), F.col("p.within").alias(into[1]))
     places = materialise(places, "mix-places")
     keyed = docs.withColumn(into[2], _key(seed, doc_id, source, text))
-    found = keyed.join(places, into[2])
+    # A row for each document: not for the driver, however small its files.
+    found = keyed.join(places.hint("shuffle_merge"), into[2])
     return found.repartitionByRange(*into).sortWithinPartitions(*into).select(*docs.columns)
 
 

@@ -108,10 +108,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, paired: int = PAIRED) ->
     """
     if max_bits != 2:
         raise ValueError("two segments with one wildcard serve a distance of 2")
-    signatures = _signatures(prints)
+    # All joins of tables that grow with the corpus are by shuffle: Spark takes the exploded rows for as many as there are
+    # prints, and stored ones for as large as their compressed files, and would send them through the driver.
+    signatures = _signatures(prints).hint("shuffle_merge")
     shared = signatures.groupBy("sig").agg(F.count("*").alias("holders")).filter("holders > 1")
     held = materialise(signatures.join(shared, "sig"), "simhash-shared")
-    few = held.filter(F.col("holders") <= paired).select("sig", "fp")
+    few = held.filter(F.col("holders") <= paired).select("sig", "fp").hint("shuffle_merge")
     distance = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
     pairs = (
         few.alias("l")
@@ -145,10 +147,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     edges = links(prints.select("fp"), max_bits)
     roots = components(edges)
     # Fingerprints without a link are components of their own and skip the grouping.
-    linked = prints.join(roots, prints["fp"] == roots["node"])
+    linked = prints.join(roots.hint("shuffle_merge"), prints["fp"] == roots["node"])
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     members = linked.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
-    alone = prints.join(roots, prints["fp"] == roots["node"], "left_anti")
+    alone = prints.join(roots.hint("shuffle_merge"), prints["fp"] == roots["node"], "left_anti")
     alone = alone.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     found = materialise(members.unionByName(alone), "simhash-components")
     discard(prints, edges, roots)
@@ -170,7 +172,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     rows, found = groups(docs, doc_id, text, shingle, max_bits)
     chosen = (
         rows.groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
-        .join(found, "fp")
+        .join(found.hint("shuffle_merge"), "fp")
         .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "copies")).alias("pick"))
         .select(F.col("pick.doc_id").alias("_keep_id"), F.col("pick.fp").alias("_keep_fp"), F.col("pick.copies").alias("_copies"))
     )
@@ -178,7 +180,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     discard(rows, found)
     into = free_name(docs.columns, "fp")
     marked = with_fingerprint(docs, text, into, shingle)
-    kept = marked.join(chosen, (marked[into] == chosen["_keep_fp"]) & marked[doc_id].eqNullSafe(chosen["_keep_id"]), "left_semi")
+    kept = marked.join(chosen.hint("shuffle_merge"), (marked[into] == chosen["_keep_fp"]) & marked[doc_id].eqNullSafe(chosen["_keep_id"]), "left_semi")
     if chosen.filter("_copies > 1").limit(1).count():
         kept = kept.dropDuplicates([doc_id, into])
     return kept.drop(into)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from datetime import date, timedelta
@@ -14,7 +15,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import regex
-from cases import EDGE_TEXTS, documents, edge, empty, folder, texts  # noqa: F401
+from cases import EDGE_TEXTS, SCHEMA, documents, edge, empty, folder, rows_of, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -22,7 +23,7 @@ import brute
 from fieldline.llm import decontaminate, langid, lmscore, mixing, pii, quality, repeats, secrets, simhash, tokens
 from fieldline.llm.components import components
 from fieldline.llm.ordering import running_total
-from fieldline.session import new_path
+from fieldline.session import materialise, new_path
 
 EDGE_IDS = [e[0] for e in EDGE_TEXTS]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +73,46 @@ def test_keep_one_row_of_each_component(spark, documents, edge, empty):
     assert simhash.keep_one(empty).count() == simhash.near_duplicates(empty).count() == 0
 
 
+def broadcast_keys(df):
+    """First keys of the joins by broadcast that Spark plans."""
+    return re.findall(r"Broadcast(?:HashJoin \[(\w+)|NestedLoopJoin)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """``broadcast_keys`` of all tables that SimHash and its components store, by name.
+
+    The smallest ids meet the components by root: Spark takes that table for the product of two, and broadcasts it only
+    where this is little.
+    """
+    found = {}
+
+    def told(df, name="table"):
+        found.setdefault(name, []).extend(k for k in broadcast_keys(df) if (name, k) != ("simhash-components", "root"))
+        return materialise(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", told)
+    monkeypatch.setattr(sys.modules[components.__module__], "materialise", told)
+    monkeypatch.setattr(sys.modules[components.__module__], "BROADCAST_EDGES", 0)
+    return found
+
+
+@pytest.fixture
+def near_copies(spark):
+    """Texts of which some differ in a word, in a table that Spark takes for small."""
+    draw = random.Random(5)
+    base = [[f"w{draw.randrange(500)}" for _ in range(300)] for _ in range(12)]
+    texts = [" ".join([*words[:-1], f"end{k % 3}"]) for words in base for k in range(5)]
+    return spark.createDataFrame(rows_of([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA)
+
+
+def test_kept_rows_and_places_are_not_broadcast(plans, near_copies):
+    kept = simhash.keep_one(near_copies)
+    assert 0 < kept.count() < 60
+    assert not any(plans.values()) and not broadcast_keys(kept)
+    assert not broadcast_keys(mixing.mixed(near_copies))
+
+
 def test_components_of_random_graphs(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]

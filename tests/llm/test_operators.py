@@ -106,6 +106,14 @@ def near_copies(spark):
     return spark.createDataFrame(rows_of([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA)
 
 
+def test_signatures_are_not_broadcast(spark, plans, near_copies):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10MB", "10485760b")
+    out = simhash.near_duplicates(near_copies)
+    assert out.select("component_id").distinct().count() < out.count() == 60
+    assert {"simhash-shared", "simhash-links", "components", "simhash-components"} <= set(plans)
+    assert not any(plans.values()) and not broadcast_keys(out)
+
+
 def test_kept_rows_and_places_are_not_broadcast(plans, near_copies):
     kept = simhash.keep_one(near_copies)
     assert 0 < kept.count() < 60
